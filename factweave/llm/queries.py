@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import mixing, packing, sharding, simhash, token_counts
+from factweave.llm import embeddings, linededup, media, mixing, packing, quality, sharding, simhash, token_counts, toxicity
 from factweave.llm.common import table
 
 
@@ -26,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
+
+
 def op2_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,17 +39,53 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=1024)
 
 
+def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+def op8_boosted_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1, threshold=0.5)
+
+
+def op9_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_karmarkar_karp_shards, op3_simhash_pigeonring, op4_token_counts, op6_retrieval_packing, op10_entropy_balanced_mix)}
+    found = (
+        op1_nnpu_toxicity,
+        op2_karmarkar_karp_shards,
+        op3_simhash_pigeonring,
+        op4_token_counts,
+        op5_metric_range_join,
+        op6_retrieval_packing,
+        op7_interleaved_media,
+        op8_boosted_gam_quality,
+        op9_patience_line_dedup,
+        op10_entropy_balanced_mix,
+        pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: see above. ``corpus_pipeline.ORACLE_SQL`` is None for the same reason."""
     return {}
