@@ -29,7 +29,10 @@ class PuParams:
     classifiers: int = 3
     steps: int = 400
     rate: float = 0.05
-    l2: float = 1e-4
+    l2: float = 5e-4
+    #: A feature counts if it is in this share of the positives and, by the prior, so likely toxic where it stands.
+    least_share: float = 0.01
+    least_precision: float = 0.5
 
 
 def word_features(word: str) -> set[int]:
@@ -58,14 +61,17 @@ class PuModel:
         return float(np.mean(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
-    """Features whose document frequency among the positives stands out from the unlabelled, by a two-sample z score."""
-    p, u = (np.bincount(np.concatenate(x) if x else np.empty(0, np.int32), minlength=BUCKETS) for x in (positive, unlabelled))
+def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: PuParams) -> np.ndarray:
+    """Features whose document frequency among the positives stands out from the unlabelled.
+
+    By a two-sample z score, among those that are toxic often enough: prior * P(f | toxic) / P(f).
+    """
+    c, u = (np.bincount(np.concatenate(x) if x else np.empty(0, np.int32), minlength=BUCKETS) for x in (positive, unlabelled))
     n, m = max(1, len(positive)), max(1, len(unlabelled))
-    pooled = (p + u + 1) / (n + m + 2)
-    z = (p / n - u / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-    z[p < 3] = 0
-    best = np.argsort(-z, kind="stable")[:most]
+    pooled = (c + u + 1) / (n + m + 2)
+    z = (c / n - u / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    z[(c < max(3, p.least_share * n)) | (prior * c / n < p.least_precision * (u + 0.5) / m)] = 0
+    best = np.argsort(-z, kind="stable")[: p.features]
     return best[z[best] > 4]
 
 
@@ -76,17 +82,23 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, p: PuParams, seed: int)
     part falls below zero, which only overfitting can do, its gradient is followed upwards instead.
     """
     rng = np.random.default_rng(seed)
-    xp, xu = xp[rng.integers(0, len(xp), len(xp))], xu[rng.integers(0, len(xu), len(xu))]
+
+    def drawn(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A bootstrap sample, equal rows once with their share."""
+        rows, n = np.unique(x[rng.integers(0, len(x), len(x))], axis=0, return_counts=True)
+        return rows.astype(np.float64), n / len(x)
+
+    (xp, pp), (xu, pu) = drawn(xp), drawn(xu)
     w, b = np.zeros(xp.shape[1]), math.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     soft = lambda z: np.logaddexp(0, z)
-    grad = lambda x, s: np.append(x.T @ s, s.sum()) / len(x)
+    grad = lambda x, s: np.append(s @ x, s.sum())
     for step in range(1, p.steps + 1):
         zp, zu = xp @ w + b, xu @ w + b
-        negative = soft(zu).mean() - prior * soft(zp).mean()
-        g_negative = grad(xu, sig(zu)) - prior * grad(xp, sig(zp))
-        g = -g_negative if negative < 0 else g_negative + prior * grad(xp, sig(zp) - 1)
+        negative = pu @ soft(zu) - prior * (pp @ soft(zp))
+        g_negative = grad(xu, pu * sig(zu)) - prior * grad(xp, pp * sig(zp))
+        g = -g_negative if negative < 0 else g_negative + prior * grad(xp, pp * (sig(zp) - 1))
         g[:-1] += p.l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -95,14 +107,14 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, p: PuParams, seed: int)
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: PuParams = PuParams()) -> PuModel:
-    chosen = choose(positive, unlabelled, p.features)
     prior = min(max(prior, 1e-4), 0.9)
+    chosen = choose(positive, unlabelled, prior, p)
     at = {int(f): i for i, f in enumerate(chosen)}
     if not positive or not unlabelled or not at:
         return PuModel({}, np.zeros((1, 0)), np.array([math.log(prior / (1 - prior))]))
 
     def dense(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(at)), np.float32)
+        x = np.zeros((len(rows), len(at)), np.int8)
         for i, r in enumerate(rows):
             x[i, [at[f] for f in r[np.isin(r, chosen)].tolist()]] = 1
         return x
