@@ -259,10 +259,10 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     key = F.col("o_orderkey")
-    near = F.struct(key.alias("a"), F.lag(key).over(w).alias("b"))
-    branch = F.struct(key.alias("a"), F.when(key % 4 == 0, F.lag(key, 2).over(w)).alias("b"))
-    cycle = F.struct(F.first(key).over(whole).alias("a"), F.when(F.col("o_custkey") % 10 == 0, F.last(key).over(whole)).alias("b"))
-    return o.select(F.inline(F.array(near, branch, cycle))).filter("b is not null").distinct()
+    first, last = F.first(key).over(whole), F.when(F.col("o_custkey") % 10 == 0, F.last(key).over(whole))
+    o = o.select(key.alias("k"), F.lag(key).over(w).alias("before"), F.when(key % 4 == 0, F.lag(key, 2).over(w)).alias("branch"), first.alias("first"), last.alias("last"))
+    pair = lambda a, z: F.struct(F.col(a).alias("a"), F.col(z).alias("b"))
+    return o.select(F.inline(F.array(pair("k", "before"), pair("k", "branch"), pair("first", "last")))).filter("b is not null").distinct()
 
 
 # -- recipes -------------------------------------------------------------------------------------
