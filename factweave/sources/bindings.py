@@ -145,7 +145,11 @@ IDENTITY = (*GROUP, "source_key", "revision", "raw_id", "value")
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """Statements about users: one fact per event type and last digit of the day."""
-    return table(spark, sf, "events").select(
+    return obs_of(table(spark, sf, "events"))
+
+
+def obs_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("seq"),
         F.lit("user").alias("subject_kind"),
         F.col("user_id").alias("subject_key"),
@@ -309,9 +313,13 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf: str) -> DataFrame:
+    return probes_of(table(spark, sf, "events"))
+
+
+def probes_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     digest = F.sha2(F.floor(F.col("value") / 100).cast("long").cast("string"), 256)
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").alias("item_id"),
         F.col("event_id").alias("attempt"),
         F.to_date("ts").cast("string").alias("session"),

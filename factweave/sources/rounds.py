@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the shared folder of ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset.
 
-    Where that is unset, a cluster uses its shared warehouse and a single process a temporary folder.
+    A cluster without the setting uses its shared warehouse, a single process a temporary folder.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factweave-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        found = tempfile.mkdtemp(prefix="factweave-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
