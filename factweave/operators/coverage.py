@@ -63,10 +63,10 @@ def merge_sessions(probes: DataFrame, key: str, session: str, order: str, outcom
     retryable until ``limit`` attempts make it terminal; otherwise the last outcome stands. Repeating
     a session changes nothing. Each item is folded by itself.
     """
-    per = probes.groupBy(key, session).agg(F.max_by(outcome, order).alias("o"), F.max(order).alias("s"))
-    seq = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "o"))).alias("t"))
+    per = probes.groupBy(key, session).agg(F.max_by(outcome, order).alias("_o"), F.max(order).alias("_s"))
+    seq = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_s", "_o"))).alias("_t"))
     zero = "named_struct('state', 'queued', 'attempts', 0)"
     step = f"""case when acc.state in ('refresh_proven', 'historical', 'terminal') then acc
-      when x.o = 'timeout' then named_struct('state', if(acc.attempts + 1 >= {limit}, 'terminal', 'retryable'), 'attempts', acc.attempts + 1)
-      else named_struct('state', x.o, 'attempts', acc.attempts + 1) end"""
-    return seq.select(key, F.expr(f"aggregate(t, {zero}, (acc, x) -> {step})").alias("r")).select(key, "r.state", "r.attempts")
+      when x._o = 'timeout' then named_struct('state', if(acc.attempts + 1 >= {limit}, 'terminal', 'retryable'), 'attempts', acc.attempts + 1)
+      else named_struct('state', x._o, 'attempts', acc.attempts + 1) end"""
+    return seq.select(key, F.expr(f"aggregate(_t, {zero}, (acc, x) -> {step})").alias("r")).select(key, "r.state", "r.attempts")
