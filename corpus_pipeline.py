@@ -34,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     kept = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    rows = docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return rows.withColumn("_at", first).filter("_at = 1").select(*COLUMNS)
 
@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     copies = stash(mixing.mix(docs).filter("copies > 0").select("doc_id", "copies"))
-    rows = docs.select(*COLUMNS).join(copies, "doc_id")
+    rows = docs.select(*COLUMNS).join(copies.hint("merge"), "doc_id")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 

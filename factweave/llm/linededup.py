@@ -141,7 +141,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = stash(line_table(docs, id_col, text_col))
     removed = stash(aligned_lines(lines, rare, long_words, min_words)).select(F.col("key").alias(_KEY), F.col("removed").alias("_line_removed"))
-    out = docs.withColumn(_KEY, row_key(id_col, text_col)).join(removed, _KEY, "left")
+    # the same join at every size: small results would otherwise be broadcast and hide what large ones cost
+    out = docs.withColumn(_KEY, row_key(id_col, text_col)).join(removed.hint("merge"), _KEY, "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(parts, lambda _, k: ~F.array_contains("_line_removed", k))
     text = F.when(F.col("_line_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
