@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from factweave.sources.rounds import settle
 
-#: Steps along the edges between two cuts of lineage.
-STEPS = 2
 
 def traverse(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int) -> tuple[DataFrame, DataFrame]:
     """Breadth-first from many roots at once, ``root`` kept as a key: ``(nodes, links)``.
@@ -63,10 +61,8 @@ def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     rest = settle(edges.filter("a <> b").select("a", "b").distinct())
     size = rest.count()
     for _ in range(rounds):
-        for _ in range(STEPS):
-            rest = rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-            rest = rest.join(rest.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        rest = settle(rest)
+        into, out = rest.select(F.col("b").alias("a")).distinct(), rest.select(F.col("a").alias("b")).distinct()
+        rest = settle(rest.join(into, "a", "left_semi").join(out, "b", "left_semi").select("a", "b"))  # cut each time: every step names the last one thrice
         left = rest.count()
         if left == size:
             break
@@ -78,12 +74,10 @@ def _reach(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """The least label that reaches each node along ``edges(a, b)`` within ``labels(node, part, label)``; only inside a part."""
     seen = None
     while True:
-        for _ in range(STEPS):
-            src = labels.select(F.col("node").alias("a"), F.col("part").alias("_pa"), "label")
-            dst = labels.select(F.col("node").alias("b"), F.col("part").alias("_pb"))
-            came = edges.join(src, "a").join(dst, "b").filter("_pa = _pb").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_l"))
-            labels = labels.join(came, "node", "left").select("node", "part", F.least("label", F.coalesce("_l", "label")).alias("label"))
-        labels = settle(labels)
+        src = labels.select(F.col("node").alias("a"), F.col("part").alias("_pa"), "label")
+        dst = labels.select(F.col("node").alias("b"), F.col("part").alias("_pb"))
+        came = edges.join(src, "a").join(dst, "b").filter("_pa = _pb").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_l"))
+        labels = settle(labels.join(came, "node", "left").select("node", "part", F.least("label", F.coalesce("_l", "label")).alias("label")))
         now = tuple(labels.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "label"))).first())
         if now == seen:
             return labels
