@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import stash
+from factweave.llm.common import chunks_for, stash
+
+#: Edges that one task handles; fewer tasks than partitions are used where few edges are left.
+EDGES_PER_TASK = 200_000
 
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """One contraction: each node ties its larger (or its smaller) neighbours to the least node it sees.
 
     The least neighbour is a map-side combined minimum, stashed so that the join with the edges of a
     hub can be split by adaptive execution; the neighbours of a node are never gathered.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = stash(both.groupBy("a").agg(F.min("b").alias("m")))
+    least = stash(both.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks))
     joined = both.join(least, "a")
     low = F.least("a", "m")
     if large:
         moved = joined.filter("b > a").select(F.col("b").alias("a"), low.alias("b"))
     else:
         moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return stash(moved.filter("a > b").distinct())
+    return stash(moved.filter("a > b").distinct().coalesce(tasks))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -39,7 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     before = _digest(edges)
     while before[0]:
-        edges = _star(_star(edges, large=True), large=False)
+        tasks = chunks_for(before[0], EDGES_PER_TASK)
+        edges = _star(_star(edges, True, tasks), False, tasks)
         after = _digest(edges)
         if after == before:
             break
