@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import map_rows, record, stash, text_of
 
 #: Pre-tokens whose counts travel with the tasks; all others are joined.
-HOT = 200_000
+HOT = 100_000
 #: The model writes a space as this character, so it means a space in a text too.
 _SPACE = "▁"
 #: A pre-token starts at a run of spaces or at a line break; no piece of the model reaches across one.
@@ -98,15 +98,19 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         get = shared.value.get
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, sums, rest = [], [], []
+            sizes, sums, ends, keys, times = [], [], [0], [], []
             for text in batch.column(1).to_pylist():
                 words = pretokens(text)
                 found = list(map(get, words))
                 unknown = found.count(None)
-                rest.append([*Counter(w for w, n in zip(words, found, strict=True) if n is None).items()] if unknown else [])
+                if unknown:
+                    rest = Counter(w for w, n in zip(words, found, strict=True) if n is None)
+                    keys += rest.keys()
+                    times += rest.values()
+                ends.append(len(keys))
                 sums.append(sum(n for n in found if n is not None) if unknown else sum(found))
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
-            cold = pa.array([[{"key": k, "n": n} for k, n in x] for x in rest], pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())])))
+            cold = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(times, pa.int64())], ["key", "n"]))
             return record(id=batch.column(0), n_bytes=pa.array(sizes, pa.int64()), hot_tokens=pa.array(sums, pa.int64()), cold=cold)
 
         return apply
