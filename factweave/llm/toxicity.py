@@ -80,6 +80,8 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, p: PuParams, seed: int)
 
     risk = prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Where the second
     part falls below zero, which only overfitting can do, its gradient is followed upwards instead.
+    The bias stays at or below the prior's log-odds: all features speak for toxicity, so a document
+    without any can't be likelier toxic than one not looked at.
     """
     rng = np.random.default_rng(seed)
 
@@ -90,6 +92,7 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, p: PuParams, seed: int)
 
     (xp, pp), (xu, pu) = drawn(xp), drawn(xu)
     w, b = np.zeros(xp.shape[1]), math.log(prior / (1 - prior))
+    most = b
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     soft = lambda z: np.logaddexp(0, z)
@@ -102,7 +105,7 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, p: PuParams, seed: int)
         g[:-1] += p.l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = w - move[:-1], min(b - move[-1], most)
     return w, b
 
 
