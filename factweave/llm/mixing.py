@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import WORD, stash, text_of
 
 #: Rows of a cell that one task counts off.
-CELL_ROWS = 50_000
+CELL_ROWS = 500
 
 
 def source_targets(sized: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
