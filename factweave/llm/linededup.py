@@ -76,40 +76,78 @@ def blocks(matches: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, hashes, words)``: each document's lines but blank ones; rows that repeat id and text are one document."""
+def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """From each line on, the shortest run of lines with ``min_words`` words, as first line and end."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    ends = np.searchsorted(total, total[:-1] + min_words).tolist()
+    return [(k, end) for k, end in enumerate(ends) if end < len(total)]
+
+
+def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Positions of ``b`` in blocks of ``min_words`` or more that ``a`` holds too; ``words`` are those of ``b``'s lines.
+
+    These are the aligned blocks, and runs that no alignment in one order can show because they
+    stand in another order or more than once.
+    """
+    taken = {j for run in blocks(patience(a, b)) if sum(words[j] for j in run) >= min_words for j in run}
+    size = dict(zip(b, words, strict=True))
+    held = {tuple(a[i:end]) for i, end in runs([size.get(h, min_words) for h in a], min_words)}
+    taken.update(j for k, end in runs(words, min_words) if tuple(b[k:end]) in held for j in range(k, end))
+    return sorted(taken)
+
+
+def line_marks(hashes: np.ndarray, words: list[int], min_words: int) -> dict[int, bool]:
+    """What may pair a document: the hashes of its lines, and of its ``runs``; true for runs, which are too long to be shared by chance.
+
+    A run of one line has the line's hash. Blank lines are left out before.
+    """
+    marks = dict.fromkeys(hashes.tolist(), False)
+    for k, end in runs(words, min_words):
+        marks[int(hashes[k]) if end == k + 1 else xxhash.xxh64_intdigest(hashes[k:end].tobytes()) - (1 << 63)] = True
+    return marks
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``(id, key, hashes, words, marks)``: each document's lines, blank ones with hash zero, and its marks; rows that repeat id and text are one document."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hashes, words = [], []
+            hashes, words, marks, sure, ends = [], [], [], [], [0]
             for text in batch.column(2).to_pylist():
                 lines = [x.strip() for x in text.encode("utf-8", "surrogatepass").split(b"\n")]
-                hashes.append(np.array([xxhash.xxh64_intdigest(x) if x else 0 for x in lines], "<u8").view("<i8").tolist())
-                words.append([len(x.split()) for x in lines])
-            return record(id=batch.column(0), key=batch.column(1), hashes=pa.array(hashes, pa.list_(pa.int64())), words=pa.array(words, pa.list_(pa.int32())))
+                own = np.array([xxhash.xxh64_intdigest(x) if x else 0 for x in lines], "<u8").view("<i8")
+                counts = [len(x.split()) for x in lines]
+                found = line_marks(own[own != 0], [w for w, h in zip(counts, own.tolist(), strict=True) if h], min_words)
+                hashes.append(own.tolist())
+                words.append(counts)
+                marks += found.keys()
+                sure += found.values()
+                ends.append(len(marks))
+            marked = pa.StructArray.from_arrays([pa.array(marks, pa.int64()), pa.array(sure, pa.bool_())], ["h", "sure"])
+            marked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), marked)
+            return record(id=batch.column(0), key=batch.column(1), hashes=pa.array(hashes, pa.list_(pa.int64())), words=pa.array(words, pa.list_(pa.int32())), marks=marked)
 
         return apply
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
-    return map_rows(rows, make, "id long, key string, hashes array<long>, words array<int>").dropDuplicates(["key"])
+    return map_rows(rows, make, "id long, key string, hashes array<long>, words array<int>, marks array<struct<h: long, sure: boolean>>").dropDuplicates(["key"])
 
 
 def row_key(id_col: str, text_col: str):
     return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), text_of(text_col)))
 
 
-def aligned_lines(lines: DataFrame, rare: int, long_words: int, min_words: int) -> DataFrame:
+def aligned_lines(lines: DataFrame, rare: int, min_words: int) -> DataFrame:
     """``(key, removed)``: line numbers of each later document that an earlier one holds in aligned blocks.
 
-    A line pairs its documents if it is rare (in ``rare`` documents at most) or has ``long_words``
-    words, which no two documents share by chance however many hold it. Every holder is paired with
-    the line's earliest holder only, so pairs grow with the lines and not with the square of a
-    group; a line's earliest occurrence is never removed. A block must hold ``min_words`` words.
+    A line pairs its documents if it is rare (in ``rare`` documents at most). ``runs`` of
+    ``min_words`` words do so however many documents hold them, and every block begins with one, so
+    none is missed. Each holder is paired with the earliest holder only, so pairs grow with the
+    lines and not with the square of a group; the earliest occurrence is never removed.
     """
-    held = lines.select("id", "key", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("id", "key", F.col("l.hashes").alias("h"), F.col("l.words").alias("w"))
-    held = held.filter("w > 0").distinct()
-    first = held.groupBy("h").agg(F.count_distinct("key").alias("n"), F.max("w").alias("w"), F.min(F.struct("id", "key")).alias("first"))
-    first = stash(first.filter((F.col("n") > 1) & ((F.col("n") <= rare) | (F.col("w") >= long_words))).select("h", F.col("first.key").alias("early")))
+    held = lines.select("id", "key", F.inline("marks"))
+    first = held.groupBy("h").agg(F.count("*").alias("n"), F.bool_or("sure").alias("sure"), F.min(F.struct("id", "key")).alias("first"))
+    first = stash(first.filter((F.col("n") > 1) & ((F.col("n") <= rare) | F.col("sure"))).select("h", F.col("first.key").alias("early")))
     held = held.select("h", "key")
     pairs = stash(held.join(first, "h").filter("key != early").select(F.col("key").alias("late"), "early").distinct())
     early = lines.select(F.col("key").alias("early"), F.col("hashes").alias("a"))
@@ -121,9 +159,8 @@ def aligned_lines(lines: DataFrame, rare: int, long_words: int, min_words: int)
             found = []
             for a, b, words in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "words")), strict=True):
                 keep_a, keep_b = ([k for k, h in enumerate(x) if h] for x in (a, b))
-                runs = blocks(patience([a[k] for k in keep_a], [b[k] for k in keep_b]))
-                real = [[keep_b[j] for j in run] for run in runs]
-                found.append([j for run in real if sum(words[j] for j in run) >= min_words for j in run])
+                taken = common_blocks([a[k] for k in keep_a], [b[k] for k in keep_b], [words[k] for k in keep_b], min_words)
+                found.append([keep_b[j] for j in taken])
             return record(key=batch.column(0), removed=pa.array(found, pa.list_(pa.int32())))
 
         return apply
@@ -132,15 +169,15 @@ def aligned_lines(lines: DataFrame, rare: int, long_words: int, min_words: int)
     return removed.select("key", F.explode("removed").alias("r")).groupBy("key").agg(F.sort_array(F.collect_set("r")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, long_words: int = 25, min_words: int = 25) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, min_words: int = 25) -> DataFrame:
     """``docs`` with the text of later documents cleared of aligned blocks, and ``n_lines`` and ``removed_lines``.
 
     Documents are ordered by id (then by content); lines are compared without white space at their
     ends. Texts without a removed line stay byte for byte; a document may end up empty but no row is
     dropped. A null text stays null; an empty table gives no rows; further columns are kept.
     """
-    lines = stash(line_table(docs, id_col, text_col))
-    removed = stash(aligned_lines(lines, rare, long_words, min_words)).select(F.col("key").alias(_KEY), F.col("removed").alias("_line_removed"))
+    lines = stash(line_table(docs, id_col, text_col, min_words))
+    removed = stash(aligned_lines(lines, rare, min_words)).select(F.col("key").alias(_KEY), F.col("removed").alias("_line_removed"))
     # the same join at every size: small results would otherwise be broadcast and hide what large ones cost
     out = docs.withColumn(_KEY, row_key(id_col, text_col)).join(removed.hint("merge"), _KEY, "left")
     parts = F.split(F.col(text_col), "\n", -1)

@@ -432,3 +432,27 @@ def test_a_line_in_very_many_documents_is_paired_with_its_first_holder_only(spar
     data = [(i, f"{words(rng, 9)}\n{shared}\n{words(rng, 9)}") for i in range(60)]
     out = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert out == {0: 0} | {i: 1 for i in range(1, 60)}
+
+
+def test_no_run_of_lines_stays_in_two_documents(spark):
+    """Short lines, blocks in any order and repeated, held by few or by very many documents."""
+    rng = random.Random(4)
+    shared = [[words(rng, rng.choice([3, 8, 12, 30])) for _ in range(6)] for _ in range(6)]
+    texts = []
+    for i in range(60):
+        parts = [[words(rng, 9)] for _ in range(3)] + rng.choices(shared, k=rng.choice([0, 1, 2, 3])) + [shared[0]] * (i % 2)
+        rng.shuffle(parts)
+        texts.append("\n".join(x for p in parts for x in p))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text.split("\n") for r in linededup.dedup_lines(rows).collect()}
+    seen = {}
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        for k, end in linededup.runs([len(x.split()) for x in lines], 25):
+            first = seen.setdefault(tuple(lines[k:end]), i)
+            if first != i:
+                assert not any("\n".join(found[i][j : j + end - k]) == "\n".join(lines[k:end]) for j in range(len(found[i]))), (i, first)
+    held = {x for block in shared for x in block}
+    for i, text in enumerate(texts):
+        assert [x for x in found[i] if x not in held] == [x for x in text.split("\n") if x not in held]  # what is a document's own stays
+    assert "\n".join(found[0]) == texts[0]
