@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.llm import linededup, mixing, packing, simhash, toxicity
-from factweave.llm.common import stash, table
+from factweave.llm.common import WORD, stash, table, text_of
 from factweave.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,19 +31,34 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cleared.withColumn("n_chars", chars.cast("long")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the doc_id, or for a row without one a digest of it above all ids."""
+    of_row = F.xxhash64("text", "lang", "source", "n_chars").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    return docs.select(*COLUMNS).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), of_row))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    kept = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    """One document of each near-duplicate group: the one with the smallest id, one without an id if there is no other.
+
+    Of rows that repeat an id one stays.
+    """
+    docs = keyed(docs)
+    kept = simhash.near_duplicates(docs, id_col="_key").filter("_key = component_id").select("_key").distinct()
+    rows = docs.join(kept.hint("merge"), "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
     return rows.withColumn("_at", first).filter("_at = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = stash(mixing.mix(docs).filter("copies > 0").select("doc_id", "copies"))
-    rows = docs.select(*COLUMNS).join(copies.hint("merge"), "doc_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
+    """Each document as many times as the mix takes it; rows that repeat an id or have none are mixed one by one."""
+    docs = keyed(docs)
+    taken = F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("_taken")
+    taken = stash(mixing.mix(docs, id_col="_key").groupBy("_key").agg(taken).filter("exists(_taken, t -> t.copies > 0)"))
+    rows = docs.join(taken.hint("merge"), "_key")
+    size = F.when(F.size("_taken") > 1, F.regexp_count(text_of(), F.lit(WORD)))
+    at = F.row_number().over(Window.partitionBy("_key").orderBy("source", size, "text"))
+    rows = rows.withColumn("_copies", F.get(F.col("_taken.copies"), at - 1)).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

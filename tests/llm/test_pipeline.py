@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from factweave.llm import linededup, mixing, simhash
@@ -64,3 +67,26 @@ def test_packing_covers_every_copy(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, cp.run(spark, SF).collect())) == sorted(map(tuple, stages["pack"].collect()))
+
+
+def test_rows_without_or_with_repeated_ids_are_kept_apart(spark):
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(None, words(1, 40), "en", "a", 1), (None, words(2, 30), "en", "b", 1), (None, None, "en", None, None), (1, words(3, 50), "en", "a", 1), (1, words(3, 50), "en", "a", 1), (1, words(4, 9), "en", "b", 1), (2, words(5, 60), None, "b", 1), (3, words(2, 30), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [tuple(r) for r in cp.drop_near_copies(spark, docs.withColumn("_key", F.lit("a clashing name")), SF).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[2], rows[3], rows[6], rows[7]]))
+    mixed = Counter(tuple(r) for r in cp.mix_sources(spark, docs, SF).collect())
+    copies = {}
+    for r in mixing.mix(cp.keyed(docs), id_col="_key").collect():
+        at = (None if r._key > 1 << 61 else r._key, r.source, r.size)
+        copies[at] = copies.get(at, 0) + r.copies
+    found = {}
+    for r, n in mixed.items():
+        at = (r[0], r[3], len((r[1] or "").split()))
+        found[at] = found.get(at, 0) + n
+    assert found == {k: n for k, n in copies.items() if n}
+
+
+def test_stages_take_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [stage(spark, none, SF).count() for _, stage in cp.STAGES] == [0] * 5
