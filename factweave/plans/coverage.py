@@ -12,13 +12,13 @@ from factweave.sources import bindings as b
 from factweave.sources import tables
 
 DEPTH = 6
-_WALK = f""", walk AS (SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth FROM orders WHERE o_custkey % 10 = 0 UNION SELECT w.root, e.b, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.a WHERE w.depth < {DEPTH}),
+_WALK = f""", walk AS (SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth FROM orders UNION SELECT w.root, e.b, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.a WHERE w.depth < {DEPTH}),
   nodes AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL)"""
 
 
 def _walk(spark: SparkSession, sf: str, depth: int = DEPTH):
-    """From every order of a tenth of the customers (the feature: roots are a parameter), over all edges."""
-    roots = tables.table(spark, sf, "orders").filter("o_custkey % 10 = 0").select(F.col("o_orderkey").alias("root"))
+    """From every order, over all edges."""
+    roots = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("root"))
     edges = b.edges(spark, sf)
     return (*g.traverse(edges, roots, depth, 500), edges)
 
@@ -53,11 +53,11 @@ def g03(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "g04_group_consistency",
-    """WITH m AS (SELECT DISTINCT l_suppkey AS o, l_partkey % 50 AS m FROM lineitem WHERE l_suppkey < 50 AND l_linenumber = 1), s AS (SELECT o, list_sort(list(DISTINCT m)) AS s FROM m GROUP BY o)
+    """WITH m AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS m FROM lineitem), s AS (SELECT o, list_sort(list(DISTINCT m)) AS s FROM m GROUP BY o)
   SELECT DISTINCT least(m.o, m.m) AS "left", greatest(m.o, m.m) AS "right" FROM m JOIN s a ON a.o = m.o JOIN s c ON c.o = m.m WHERE m.o <> m.m AND a.s <> c.s""",
 )
 def g04(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tables.table(spark, sf, "lineitem").filter("l_suppkey < 50 and l_linenumber = 1").select(F.col("l_suppkey").alias("o"), (F.col("l_partkey") % 50).alias("m")).distinct()
+    rows = tables.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("o"), F.col("l_partkey").alias("m")).distinct()
     return g.group_consistency(rows, "o", "m")
 
 
