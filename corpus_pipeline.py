@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, later ones without the blocks that earlier ones hold; ``n_chars`` follows the text."""
-    cleared = linededup.dedup_lines(docs.select(*COLUMNS))
-    chars = F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    cleared = linededup.dedup_lines(docs.select(*COLUMNS, F.length("text").alias("_before")))
+    chars = F.when(F.length("text") != F.col("_before"), F.length("text")).otherwise(F.col("n_chars"))
     return cleared.withColumn("n_chars", chars.cast("long")).select(*COLUMNS)
 
 

@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import map_rows, record, stash, text_of
+from factweave.llm.common import WORD, map_rows, record, stash, text_of
 
 _KEY = "_line_key"
+_WORD = re.compile(WORD.encode())
+#: One word of so many, by its hash, ends a piece of a line.
+_CUT = 6
+#: Removed words in a row that a line which keeps others must have; fewer may be equal by chance.
+_LEAST_PART = 5
+
+
+@lru_cache(1 << 17)
+def _cuts(word: bytes) -> bool:
+    return xxhash.xxh64_intdigest(word) % _CUT == 0
+
+
+def piece_ends(words: list[bytes]) -> list[int]:
+    """Where the pieces of a line end, in words. The words alone decide, so a passage is cut alike wherever in a line it stands."""
+    ends = [k for k, w in enumerate(words, 1) if _cuts(w)]
+    return ends if ends and ends[-1] == len(words) else [*ends, len(words)]
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -83,41 +102,56 @@ def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return [(k, end) for k, end in enumerate(ends) if end < len(total)]
 
 
+def both_runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The ``runs``, and the shortest ones up to each line: together they cover a shared block to its last line."""
+    n = len(words)
+    return runs(words, min_words) + [(n - end, n - k) for k, end in runs(words[::-1], min_words)]
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Positions of ``b`` in blocks of ``min_words`` or more that ``a`` holds too; ``words`` are those of ``b``'s lines.
+    """Positions of ``b`` in blocks of ``min_words`` or more that ``a`` holds too; ``words`` are those of ``b``'s lines or pieces.
 
     These are the aligned blocks, and runs that no alignment in one order can show because they
     stand in another order or more than once.
     """
     taken = {j for run in blocks(patience(a, b)) if sum(words[j] for j in run) >= min_words for j in run}
     size = dict(zip(b, words, strict=True))
-    held = {tuple(a[i:end]) for i, end in runs([size.get(h, min_words) for h in a], min_words)}
-    taken.update(j for k, end in runs(words, min_words) if tuple(b[k:end]) in held for j in range(k, end))
+    held = {tuple(a[i:end]) for i, end in both_runs([size.get(h, min_words) for h in a], min_words)}
+    taken.update(j for k, end in both_runs(words, min_words) if tuple(b[k:end]) in held for j in range(k, end))
     return sorted(taken)
 
 
-def line_marks(hashes: np.ndarray, words: list[int], min_words: int) -> dict[int, bool]:
-    """What may pair a document: the hashes of its lines, and of its ``runs``; true for runs, which are too long to be shared by chance.
+def line_marks(lines: list[int], hashes: np.ndarray, words: list[int], min_words: int) -> dict[int, bool]:
+    """What may pair a document: the hashes of its lines, and of its pieces' ``runs``; true for runs, which are too long to be shared by chance.
 
-    A run of one line has the line's hash. Blank lines are left out before.
+    A run of one piece has the piece's hash. Blank lines are left out before.
     """
-    marks = dict.fromkeys(hashes.tolist(), False)
+    marks = dict.fromkeys(lines, False)
     for k, end in runs(words, min_words):
         marks[int(hashes[k]) if end == k + 1 else xxhash.xxh64_intdigest(hashes[k:end].tobytes()) - (1 << 63)] = True
     return marks
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``(id, key, hashes, words, marks)``: each document's lines, blank ones with hash zero, and its marks; rows that repeat id and text are one document."""
+    """``(id, key, hashes, words, marks)``: each document's pieces of lines that are not blank, and its marks; rows that repeat id and text are one document."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             hashes, words, marks, sure, ends = [], [], [], [], [0]
+            digest = xxhash.xxh64_intdigest
             for text in batch.column(2).to_pylist():
-                lines = [x.strip() for x in text.encode("utf-8", "surrogatepass").split(b"\n")]
-                own = np.array([xxhash.xxh64_intdigest(x) if x else 0 for x in lines], "<u8").view("<i8")
-                counts = [len(x.split()) for x in lines]
-                found = line_marks(own[own != 0], [w for w, h in zip(counts, own.tolist(), strict=True) if h], min_words)
+                lines, own, counts = [], [], []
+                for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+                    if not (parts := line.split()):
+                        continue
+                    lines.append(digest(b" ".join(parts)))
+                    start = 0
+                    for end in piece_ends(parts):
+                        own.append(digest(b" ".join(parts[start:end])))
+                        counts.append(end - start)
+                        start = end
+                own = np.array(own, "<u8").view("<i8")
+                found = line_marks(np.array(lines, "<u8").view("<i8").tolist(), own, counts, min_words)
                 hashes.append(own.tolist())
                 words.append(counts)
                 marks += found.keys()
@@ -130,15 +164,39 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
         return apply
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
-    return map_rows(rows, make, "id long, key string, hashes array<long>, words array<int>, marks array<struct<h: long, sure: boolean>>").dropDuplicates(["key"])
+    return map_rows(rows, make, "id long, key binary, hashes array<long>, words array<int>, marks array<struct<h: long, sure: boolean>>").dropDuplicates(["key"])
+
+
+def without(text: str, removed: set[int]) -> tuple[str, int]:
+    """``text`` without the numbered pieces, and how many lines went whole; a line that keeps a part keeps its own white space."""
+    out, at, whole = [], 0, 0
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        spans = [m.span() for m in _WORD.finditer(line)]
+        gone: list[list[int]] = []
+        start = 0
+        for end in piece_ends([line[i:j] for i, j in spans]) if spans else []:
+            if at in removed:
+                if gone and gone[-1][1] == start:
+                    gone[-1][1] = end
+                else:
+                    gone.append([start, end])
+            at, start = at + 1, end
+        if gone == [[0, len(spans)]]:
+            whole += 1
+            continue
+        for start, end in gone[::-1]:
+            if end - start >= _LEAST_PART:
+                line = line[: spans[start][0]] + line[spans[end][0] :] if end < len(spans) else line[: spans[start - 1][1]]
+        out.append(line)
+    return b"\n".join(out).decode("utf-8", "surrogatepass"), whole
 
 
 def row_key(id_col: str, text_col: str):
-    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), text_of(text_col)))
+    return F.unhex(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), text_of(text_col))))
 
 
 def aligned_lines(lines: DataFrame, rare: int, min_words: int) -> DataFrame:
-    """``(key, removed)``: line numbers of each later document that an earlier one holds in aligned blocks.
+    """``(key, removed)``: numbers of each later document's pieces that an earlier one holds in aligned blocks.
 
     A line pairs its documents if it is rare (in ``rare`` documents at most). ``runs`` of
     ``min_words`` words do so however many documents hold them, and every block begins with one, so
@@ -158,30 +216,35 @@ def aligned_lines(lines: DataFrame, rare: int, min_words: int) -> DataFrame:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
             for a, b, words in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "words")), strict=True):
-                keep_a, keep_b = ([k for k, h in enumerate(x) if h] for x in (a, b))
-                taken = common_blocks([a[k] for k in keep_a], [b[k] for k in keep_b], [words[k] for k in keep_b], min_words)
-                found.append([keep_b[j] for j in taken])
+                found.append(common_blocks(a, b, words, min_words))
             return record(key=batch.column(0), removed=pa.array(found, pa.list_(pa.int32())))
 
         return apply
 
-    removed = map_rows(both, make, "key string, removed array<int>").filter("size(removed) > 0")
+    removed = map_rows(both, make, "key binary, removed array<int>").filter("size(removed) > 0")
     return removed.select("key", F.explode("removed").alias("r")).groupBy("key").agg(F.sort_array(F.collect_set("r")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, min_words: int = 25) -> DataFrame:
     """``docs`` with the text of later documents cleared of aligned blocks, and ``n_lines`` and ``removed_lines``.
 
-    Documents are ordered by id (then by content); lines are compared without white space at their
-    ends. Texts without a removed line stay byte for byte; a document may end up empty but no row is
-    dropped. A null text stays null; an empty table gives no rows; further columns are kept.
+    Documents are ordered by id (then by content). Lines are cut at words that their hash chooses
+    and compared by these pieces' words, so a block may begin and end inside lines; up to a piece of
+    it stays at such an end. ``removed_lines`` counts lines that went whole. Texts without a removed
+    piece stay byte for byte; a document may end up empty but no row is dropped. A null text stays
+    null; an empty table gives no rows; further columns are kept.
     """
     lines = stash(line_table(docs, id_col, text_col, min_words))
     removed = stash(aligned_lines(lines, rare, min_words)).select(F.col("key").alias(_KEY), F.col("removed").alias("_line_removed"))
     # the same join at every size: small results would otherwise be broadcast and hide what large ones cost
     out = docs.withColumn(_KEY, row_key(id_col, text_col)).join(removed.hint("merge"), _KEY, "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(parts, lambda _, k: ~F.array_contains("_line_removed", k))
-    text = F.when(F.col("_line_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("removed_lines", F.coalesce(F.size("_line_removed"), F.lit(0)))
-    return out.withColumn(text_col, text).drop(_KEY, "_line_removed")
+
+    @F.pandas_udf("text string, whole int")
+    def cleared(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
+        found = [(None, 0) if r is None else without(t or "", set(r.tolist())) for t, r in zip(texts, removed, strict=True)]
+        return pd.DataFrame(found, columns=["text", "whole"])
+
+    gone = F.col("_line_removed").isNotNull()
+    out = out.withColumn("_line_cleared", cleared(F.when(gone, F.col(text_col)), F.col("_line_removed")))
+    out = out.withColumn("n_lines", F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0))).withColumn("removed_lines", F.col("_line_cleared.whole"))
+    return out.withColumn(text_col, F.when(gone, F.col("_line_cleared.text")).otherwise(F.col(text_col))).drop(_KEY, "_line_removed", "_line_cleared")

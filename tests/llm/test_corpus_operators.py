@@ -456,3 +456,21 @@ def test_no_run_of_lines_stays_in_two_documents(spark):
     for i, text in enumerate(texts):
         assert [x for x in found[i] if x not in held] == [x for x in text.split("\n") if x not in held]  # what is a document's own stays
     assert "\n".join(found[0]) == texts[0]
+
+
+def test_a_passage_glued_into_other_lines_goes(spark):
+    rng = random.Random(12)
+    shared = [words(rng, 30), words(rng, 24), words(rng, 30)]
+    glued = lambda i: "\n".join([words(rng, 9), f"{words(rng, 12)} {shared[0]}", shared[1], f"{shared[2]} {words(rng, 12)}", words(rng, 9)])
+    texts = [glued(i) for i in range(20)] + [f"{words(rng, 10)} {shared[0]} {words(rng, 10)}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in linededup.dedup_lines(rows).collect()}
+    passage = " ".join(shared).split()
+    windows = {tuple(passage[k : k + 25]) for k in range(len(passage) - 24)}
+    assert found[0] == texts[0]
+    for i in range(1, 21):
+        left = found[i].split()
+        assert not any(tuple(left[k : k + 25]) in windows for k in range(len(left))), i
+        own = texts[i].split()
+        assert left[:8] == own[:8] and left[-8:] == own[-8:]
+    assert linededup.without("a b\n\nc", set()) == ("a b\n\nc", 0)
