@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,13 +206,86 @@ def _again(first, others):
     yield from others
 
 
+def directions(terms: int, width: int = 32) -> np.ndarray:
+    """A fixed random direction for each vocabulary id."""
+    return np.random.default_rng(7).standard_normal((terms, width)).astype(np.float32)
+
+
+def content_vector(term: np.ndarray, count: np.ndarray, idf: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, int]:
+    """The unit vector of a document's weighted terms, and its heaviest term that another document holds (0 for none)."""
+    if not len(term):
+        return np.zeros(to.shape[1], np.float32), 0
+    weight = (idf[term] * count / (count + 1.2)).astype(np.float32)
+    v = weight @ to[term]
+    own = weight * (idf[term] < idf.max())  # a term of one document joins nothing
+    return v / max(float(np.linalg.norm(v)), 1e-9), int(term[np.argmax(own)])
+
+
+def centres(vectors: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` spherical k-means centres, each next to a similar one in order."""
+    k = min(most, len(vectors))
+    found = vectors[np.linspace(0, len(vectors) - 1, k).astype(int)]
+    for _ in range(12):
+        at = np.argmax(vectors @ found.T, axis=1)
+        total = np.zeros_like(found)
+        np.add.at(total, at, vectors)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        found = np.where(size > 1e-6, total / np.maximum(size, 1e-9), found)
+    order, left = [0], set(range(1, k))
+    while left:
+        order.append(max(left, key=lambda c: (float(found[c] @ found[order[-1]]), -c)))
+        left.remove(order[-1])
+    return found[order]
+
+
+#: Documents whose vectors the driver sees, centres, and groups that heaviest terms cut each centre's documents into.
+_SAMPLE, _CENTRES, _PARTS = 20_000, 256, 64
+
+
+def deal(made: DataFrame, shards: int, idf: np.ndarray, shared, narrow: str) -> DataFrame:
+    """``made`` with ``shard``, so that documents of like content meet; at most ``_CENTRES`` x ``_PARTS`` counts reach the driver."""
+    if shards == 1:
+        return made.withColumn("shard", F.lit(0).cast("long"))
+    spark = made.sparkSession
+
+    @F.pandas_udf("array<float>")
+    def vector(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        to = directions(len(shared.value))
+        for terms, counts in parts:
+            yield pd.Series([content_vector(np.frombuffer(t, narrow), np.frombuffer(c, "<u2"), shared.value, to)[0] for t, c in zip(terms, counts, strict=True)])
+
+    sample = made.orderBy("hash", "id", "n").limit(_SAMPLE).select(vector("terms", "counts").alias("v")).collect()
+    middle = spark.sparkContext.broadcast(centres(np.array([r.v for r in sample], np.float32), min(_CENTRES, 4 * shards)))
+
+    @F.pandas_udf("long")
+    def group(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        to = directions(len(shared.value))
+        for terms, counts in parts:
+            found = [content_vector(np.frombuffer(t, narrow), np.frombuffer(c, "<u2"), shared.value, to) for t, c in zip(terms, counts, strict=True)]
+            near = np.argmax(np.array([v for v, _ in found]) @ middle.value.T, axis=1)
+            yield pd.Series(near * _PARTS + np.array([t % _PARTS for _, t in found]))
+
+    grouped = made.withColumn("group", group("terms", "counts"))
+    sizes = sorted((r["group"], r["count"]) for r in grouped.groupBy("group").count().collect())
+    total, starts = 0, []
+    for g, n in sizes:
+        starts.append((g, total, n))
+        total += n
+    table = F.broadcast(spark.createDataFrame(starts, "group long, first long, many long"))
+    inside = F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("many")
+    shard = F.floor((F.col("first") + inside) * shards / max(total, 1)).cast("long")
+    return grouped.join(table, "group").withColumn("shard", F.least(shard, F.lit(shards - 1).cast("long"))).drop("group", "first", "many")
+
+
 def pack(
     docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", per_shard: int = 3000, bm25: Bm25 = Bm25()
 ) -> DataFrame:
     """One row per piece: ``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
     A document's ids and ``end_id`` are cut into full windows, each a sequence of its own, and a
-    shorter last piece. Documents are dealt by hash into shards of about ``per_shard``; each shard
+    shorter last piece. Documents are dealt by content into shards of about ``per_shard``: k-means
+    centres of a bounded sample, then the heaviest term, order them in groups, and this order is cut;
+    a group that is larger than a shard is split by hash. A seed asks its own shard only. Each shard
     builds an inverted index over the token ids of its whole documents, with document frequencies
     of the whole corpus (one row per vocabulary id), and fills its windows as ``fill_windows`` says.
     A third of all documents being alike makes no shard larger. A null or empty text has ``end_id``
@@ -247,7 +321,7 @@ def pack(
 
     shards = chunks_for(n_docs, per_shard)
     made = map_rows(rows, make, "id long, n long, full array<long>, tail binary, terms binary, counts binary")
-    made = stash(made.withColumn("shard", F.pmod(F.xxhash64("id", "n", "tail"), F.lit(shards)).cast("long")))
+    made = stash(made.withColumn("hash", F.xxhash64("id", "n", "tail")))
 
     def frequencies(batches):
         for batch in batches:
@@ -260,6 +334,7 @@ def pack(
     for r in df:
         idf[r.term] = np.log1p((n_docs - r.n + 0.5) / (r.n + 0.5))
     shared = spark.sparkContext.broadcast(idf)
+    made = deal(made, shards, idf, shared, narrow)
 
     def run(shard: pa.Table) -> pa.Table:
         rows = sorted(shard.to_pylist(), key=lambda r: (r["id"] is None, r["id"] or 0, r["n"], r["tail"]))

@@ -474,3 +474,22 @@ def test_a_passage_glued_into_other_lines_goes(spark):
         own = texts[i].split()
         assert left[:8] == own[:8] and left[-8:] == own[-8:]
     assert linededup.without("a b\n\nc", set()) == ("a b\n\nc", 0)
+
+
+def test_documents_of_one_topic_share_a_shard(spark):
+    """Copies and topical neighbours meet, whatever their ids; one large topic is split."""
+    rng = random.Random(3)
+    topics = [[words(rng, 1) + str(t) + x for x in "abcdefghij"] for t in range(4)]
+    data = [(i, " ".join(rng.choices(topics[i % 4], k=30))) for i in range(400)]
+    rows = spark.createDataFrame(data, "doc_id long, text string")
+    found = packing.pack(rows, tokenizer_path("byte_bpe_50k.json"), window=4096, per_shard=100).collect()
+    mixed = {}
+    for r in found:
+        mixed.setdefault(r.sequence_id >> 32, []).append(r.doc_id % 4)
+    same = sum(max(x.count(t) for t in range(4)) for x in mixed.values())
+    assert len(mixed) <= 4 and same > 0.8 * len(found)
+    alike = spark.createDataFrame([(i, "the same text") for i in range(400)], "doc_id long, text string")
+    sizes = {}
+    for r in packing.pack(alike, tokenizer_path("byte_bpe_50k.json"), window=64, per_shard=100).collect():
+        sizes.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+    assert len(sizes) == 4 and max(map(len, sizes.values())) < 150
