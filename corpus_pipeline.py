@@ -40,11 +40,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id, one without an id if there is no other.
 
-    Of rows that repeat an id one stays.
+    Rows that repeat an id with different texts are grouped apart. Of those that are left under one
+    id, the first in text order stays.
     """
-    docs = keyed(docs)
-    kept = simhash.near_duplicates(docs, id_col="_key").filter("_key = component_id").select("_key").distinct()
-    rows = docs.join(kept.hint("merge"), "_key", "left_semi")
+    docs = keyed(docs).withColumn("_row", F.xxhash64("_key", "text"))
+    groups = simhash.near_duplicates(docs, id_col="_row").select("_row", "component_id").distinct()
+    of_group = groups.join(docs.select("_row", "_key").distinct(), "_row").groupBy("component_id").agg(F.min(F.struct("_key", "_row")).alias("_least"))
+    rows = docs.join(of_group.select("_least._row").hint("merge"), "_row", "left_semi")
     first = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
     return rows.withColumn("_at", first).filter("_at = 1").select(*COLUMNS)
 

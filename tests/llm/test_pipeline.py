@@ -90,3 +90,12 @@ def test_rows_without_or_with_repeated_ids_are_kept_apart(spark):
 def test_stages_take_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert [stage(spark, none, SF).count() for _, stage in cp.STAGES] == [0] * 5
+
+
+def test_a_copy_does_not_stand_in_for_another_text_of_its_id(spark):
+    """Of id 1 one text is a copy of id 0's and the other is like no other: that one stays."""
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    for copied, own in ((1, 2), (2, 1)):
+        rows = [(0, words(copied, 40), "en", "a", 1), (1, words(copied, 40), "en", "a", 1), (1, words(own, 40), "en", "b", 1)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted(tuple(r) for r in cp.drop_near_copies(spark, docs, SF).collect()) == sorted([rows[0], rows[2]])
