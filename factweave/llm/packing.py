@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import array
 import os
 import re
 import zlib
@@ -10,8 +9,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +18,12 @@ from factweave.llm.common import chunks_for, map_rows, record, stash, text_of
 
 #: White space other than space and line break.
 _OTHER_SPACE = re.compile("[\\t\\x0b\\x0c\\r\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-#: Characters of text that are split into words at a time.
-_AT_ONCE = 1_000_000
+#: Characters of text that are encoded together, and of a text that is surely not one endless word.
+_AT_ONCE, _SHORT = 4_000_000, 100_000
+
+
+#: Numbers in a document's content vector.
+WIDTH = 16
 
 
 def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
@@ -31,54 +34,52 @@ def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
 
 
+def load_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def ranks_agree(path: str) -> bool:
+    """Whether encoding by ranks is the same as by this file's merges: then a faster encoder may be used.
+
+    It is if ids are in merge order, and every token's own text is encoded as that token: a pair of
+    neighbours that ranks would join is then always a pair that some merge joins.
+    """
+    tokenizer = load_tokenizer(path)
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    vocabulary = {t: i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t not in special}
+    ranks = byte_ranks(vocabulary)
+    if len(ranks) != len(vocabulary) or sorted(ranks.values()) != list(range(len(ranks))):
+        return False
+    return all([x.id for x in tokenizer.model.tokenize(t)] == [i] for t, i in vocabulary.items())
+
+
 class WordTokenizer:
-    """Ids of whole texts from a byte-level BPE tokenizer file, encoding each space-led word once while it is remembered.
+    """Ids of whole texts from a byte-level BPE tokenizer file, each distinct space-led word of a batch encoded once.
 
     The tokenizer's own splitting never joins what stands on both sides of a single space between
     two other characters, so words can be encoded apart. Texts with other white space beside a
-    space, or with one of the tokenizer's special strings, are encoded whole by the tokenizer.
-    Words go to a faster encoder made from the same file's vocabulary, where that agrees with the
-    tokenizer on every word of the first texts, and to the tokenizer itself where not.
+    space are encoded whole; those with one of the tokenizer's special strings or an endless word go
+    to the tokenizer itself, as all do where ``ranks_agree`` doesn't hold.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, fast: bool):
+        self.tokenizer = load_tokenizer(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.remember = remember
-        self.known: dict[str, bytes] = {}
-        self.fast = self._fast()
-        self.trusted = False
-
-    def _fast(self):
-        """An encoder by ranks, if ids are in merge order as ranks have to be."""
-        import public_tokenizers
-        import tiktoken
-
-        ranks = byte_ranks({t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special})
-        if sorted(ranks.values()) != list(range(len(ranks))):
-            return None
-        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return self._encode(words)
-        pack, encode = array.array, self.fast.encode_ordinary
-        found = [pack("I", encode(w)).tobytes() for w in words]
-        if not self.trusted:
-            if found != (real := self._encode(words)):
-                self.fast = None
-                return real
-            self.trusted = len(words) >= 1000
-        return found
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, in order; about a million characters are in hand at a time."""
+        self.fast = None
+        if fast:
+            import public_tokenizers
+            import tiktoken
+
+            ranks = byte_ranks({t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special})
+            self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.bytes_of = np.zeros(len(ranks), np.int64)
+            self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Unsigned 32-bit ids of each text, in order; some four million characters are in hand at a time."""
         start = size = 0
         for i, text in enumerate(texts):
             size += len(text)
@@ -87,86 +88,122 @@ class WordTokenizer:
                 start, size = i + 1, 0
         yield from self._some(texts[start:])
 
+    def _slow(self, text: str) -> bool:
+        return self.fast is None or any(s in text for s in self.special) or (len(text) > _SHORT and max(map(len, text.split()), default=0) > _SHORT)
+
     def _whole(self, text: str) -> bool:
-        return "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(s in text for s in self.special) or _OTHER_SPACE.search(text) is not None
+        return "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or not text or _OTHER_SPACE.search(text) is not None
 
-    def _some(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split, whole, missing = {}, [], set()
-        get = self.known.get
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        split = []
         for i, text in enumerate(texts):
-            if self._whole(text):
-                whole.append(i)
-                continue
-            head, *words = text.split(" ")
-            found = list(map(get, words))
-            if None in found:
-                missing.update(w for w, f in zip(words, found, strict=True) if f is None)
-            split[i] = head, words, found
-        missing = list(missing)
-        new = dict(zip(missing, self._words([" " + w for w in missing]), strict=True))
-        heads = self._words([head for head, _, _ in split.values()])
-        for (i, (_, words, found)), head in zip(split.items(), heads, strict=True):
-            out[i] = head + b"".join([f if f is not None else new[w] for w, f in zip(words, found, strict=True)] if None in found else found)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        room = self.remember - len(self.known)
-        if room > 0:
-            self.known.update(new if len(new) <= room else {w: new[w] for w in missing[:room]})
+            if self._slow(text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif self._whole(text):
+                out[i] = np.array(self.fast.encode_ordinary(text), np.uint32)
+            else:
+                split.append(i)
+        if split:
+            # a space before each text makes its first word one like any other; its own ids come from the text's head
+            words = pc.split_pattern(pa.array([texts[i] for i in split], pa.string()), " ")
+            bounds = np.array(words.offsets)
+            coded = words.values.dictionary_encode()
+            ids, ends = self._words(coded.dictionary)
+            at = np.array(coded.indices)
+            starts = np.concatenate(([0], ends[:-1]))
+            size = (ends - starts)[at]
+            heads = [np.array(self.fast.encode_ordinary(texts[i].partition(" ")[0]), np.uint32) for i in split]
+            size[bounds[:-1]] = 0
+            total = np.concatenate(([0], np.cumsum(size)))
+            flat = ids[np.repeat(starts[at] - total[:-1], size) + np.arange(total[-1])]
+            cut = total[bounds]
+            for i, head, a, b in zip(split, heads, cut.tolist(), cut[1:].tolist(), strict=False):
+                out[i] = np.concatenate((head, flat[a:b]))
         return out
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words``, each with a space before it, and where each one's end."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.fast.encode_ordinary(" " + joined), np.uint32)
+        reach = np.cumsum(np.array(pc.binary_length(words), np.int64) + 1)
+        bytes_to = np.cumsum(self.bytes_of[ids])
+        ends = np.searchsorted(bytes_to, reach)
+        if not np.array_equal(bytes_to[ends], reach):
+            raise ValueError("a token reaches across words")
+        return ids, ends + 1
+
 
 @dataclass(frozen=True)
 class Bm25:
     k1: float = 1.2
     b: float = 0.75
-    #: Terms of a seed that ask: those with its largest weights.
-    query_terms: int = 24
-    #: Neighbours fetched at a time.
-    fetch: int = 48
 
 
 class ShardIndex:
-    """Inverted index of one shard's documents: for each term the documents that hold it, with BM25 weights."""
-
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean_length: float, p: Bm25):
-        self.n, self.p = len(terms), p
-        sizes = np.array([len(t) for t in terms])
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        term = np.concatenate(terms) if self.n else np.empty(0, np.uint16)
-        tf = np.concatenate(counts).astype(np.float32) if self.n else np.empty(0, np.float32)
+    """Inverted index of one shard's documents: for each term the documents that hold it, with BM25 weights.
+
+    The postings of a term that one document in ``dense`` holds are a row over all documents.
+    """
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean_length: float, p: Bm25, dense: int = 12):
+        self.n = len(terms)
+        sizes = np.array([len(t) for t in terms], np.int64)
+        doc = np.repeat(np.arange(self.n), sizes)
+        term = np.concatenate(terms).astype(np.int64) if self.n else np.empty(0, np.int64)
+        tf = np.concatenate(counts).astype(np.float64) if self.n else np.empty(0)
         length = np.bincount(doc, tf, self.n)
-        weight = (idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length[doc] / max(mean_length, 1e-9)))).astype(np.float32)
+        weight = idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length[doc] / max(mean_length, 1e-9)))
         self.bounds = np.concatenate(([0], np.cumsum(sizes)))
-        self.term, self.weight = term, weight
-        order = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.term = term
+        held = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(held * dense > self.n)
+        self.slot = np.full(len(idf), -1)
+        self.slot[common] = np.arange(len(common))
+        self.kept = np.arange(self.n)
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        much = self.slot[term] >= 0
+        self.rows[self.slot[term[much]], doc[much]] = weight[much]
+        order = np.flatnonzero(~much)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.docs, self.weights, self.ordered = doc[order], weight[order], term[order]
+        self._starts(len(idf))
+
+    def _starts(self, terms: int):
+        self.starts = np.searchsorted(self.ordered, np.arange(terms + 1))
+
+    def keep(self, wanted: np.ndarray):
+        """Forget the postings of all other documents."""
+        held = wanted[self.docs]
+        self.docs, self.weights, self.ordered = self.docs[held], self.weights[held], self.ordered[held]
+        self._starts(len(self.starts) - 1)
+        self.rows, self.kept = np.ascontiguousarray(self.rows[:, wanted[self.kept]]), self.kept[wanted[self.kept]]
 
     def scores(self, seed: int) -> np.ndarray:
-        at = slice(self.bounds[seed], self.bounds[seed + 1])
-        term, weight = self.term[at], self.weight[at]
-        if len(term) > self.p.query_terms:
-            term = term[np.argpartition(-weight, self.p.query_terms)[: self.p.query_terms]]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in term.tolist()]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        """BM25 of every document that is kept for all terms of ``seed``."""
+        term = self.term[self.bounds[seed] : self.bounds[seed + 1]]
+        slot = self.slot[term]
+        asked = np.zeros(len(self.rows), np.float32)
+        asked[slot[slot >= 0]] = 1
+        term = term[slot < 0]
+        spans = [slice(a, b) for a, b in zip(self.starts[term].tolist(), self.starts[term + 1].tolist(), strict=True) if a < b]
+        out = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n) if spans else np.zeros(self.n)
+        out[self.kept] += asked @ self.rows
+        return out
 
 
 def fill_windows(index: ShardIndex, starts: list[int], lengths: list[int], window: int) -> list[tuple[int, int, int, int, int]]:
     """``(doc, start, length, sequence, offset)``: the shard's open pieces packed into windows.
 
-    Seeds are taken longest piece first. Its unused neighbours are tried best first and taken whole
-    where they fit; once none fits, the best one left is cut and its rest stays unused. Documents
-    without a common term come last, so only a shard's last window is padded.
+    Seeds are taken longest piece first. All unused documents are tried best score first (ties by
+    number, those without a common term last) and taken whole where they fit; once none fits, the best
+    one left is cut and its rest stays unused. So only a shard's last window is padded.
     """
     left = np.array(lengths, np.int64)
     start = list(starts)
-    seeds = np.argsort(-left, kind="stable").tolist()
-    spare = iter(seeds[::-1])
+    kept = int(np.count_nonzero(left))
     out, sequence = [], -1
-    for seed in seeds:
+    for seed in np.argsort(-left, kind="stable").tolist():
         while left[seed] > 0:
             sequence += 1
             offset = 0
@@ -180,52 +217,37 @@ def fill_windows(index: ShardIndex, starts: list[int], lengths: list[int], windo
                 offset += n
 
             take(seed, window)
-            if offset < window:
-                scores = np.where(left > 0, index.scores(seed), 0.0)
-                reach = int(np.count_nonzero(scores))
-                near = np.argpartition(-scores, index.p.fetch)[: index.p.fetch] if reach > index.p.fetch else np.flatnonzero(scores)
-                near = near[np.argsort(-scores[near], kind="stable")].tolist()
-                for doc in near:
-                    if left[doc] <= window - offset:
-                        take(doc, window - offset)
-                while offset < window and (doc := next((d for d in near if left[d] > 0), None)) is not None:
-                    take(doc, window - offset)
-                while offset < window:
-                    doc = next((d for d in spare if left[d] > 0), None)
-                    if doc is None:
-                        break
-                    take(doc, window - offset)
-                    if left[doc] > 0:
-                        rest = doc
-                        spare = _again(rest, spare)
+            if offset == window:
+                continue
+            open_ = np.flatnonzero(left)
+            if 2 * len(open_) < kept:
+                index.keep(left > 0)
+                kept = len(open_)
+            near = open_[np.argsort(-index.scores(seed)[open_], kind="stable")]
+            at = 0
+            while offset < window and at < len(near):
+                fits = left[near[at:]] <= window - offset
+                step = int(fits.argmax())
+                if not fits[step]:
+                    break
+                at += step
+                take(int(near[at]), window - offset)
+                at += 1
+            for doc in near[left[near] > 0][:1].tolist() if offset < window else ():
+                take(doc, window - offset)
     return out
 
 
-def _again(first, others):
-    yield first
-    yield from others
-
-
-def directions(terms: int, width: int = 32) -> np.ndarray:
+def directions(terms: int, width: int = WIDTH) -> np.ndarray:
     """A fixed random direction for each vocabulary id."""
     return np.random.default_rng(7).standard_normal((terms, width)).astype(np.float32)
 
 
-def content_vector(term: np.ndarray, count: np.ndarray, idf: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, int]:
-    """The unit vector of a document's weighted terms, and its heaviest term that another document holds (0 for none)."""
-    if not len(term):
-        return np.zeros(to.shape[1], np.float32), 0
-    weight = (idf[term] * count / (count + 1.2)).astype(np.float32)
-    v = weight @ to[term]
-    own = weight * (idf[term] < idf.max())  # a term of one document joins nothing
-    return v / max(float(np.linalg.norm(v)), 1e-9), int(term[np.argmax(own)])
-
-
 def centres(vectors: np.ndarray, most: int) -> np.ndarray:
     """At most ``most`` spherical k-means centres, each next to a similar one in order."""
     k = min(most, len(vectors))
     found = vectors[np.linspace(0, len(vectors) - 1, k).astype(int)]
-    for _ in range(12):
+    for _ in range(8):
         at = np.argmax(vectors @ found.T, axis=1)
         total = np.zeros_like(found)
         np.add.at(total, at, vectors)
@@ -238,43 +260,87 @@ def centres(vectors: np.ndarray, most: int) -> np.ndarray:
     return found[order]
 
 
-#: Documents whose vectors the driver sees, centres, and groups that heaviest terms cut each centre's documents into.
-_SAMPLE, _CENTRES, _PARTS = 20_000, 256, 64
+def weighted(terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents' terms in a row with their weights, and where each document's begin."""
+    term = np.concatenate([np.empty(0, np.int64), *terms]).astype(np.int64)
+    count = np.concatenate([np.empty(0), *counts])
+    return term, (idf[term] * count / (count + 1.2)).astype(np.float32), np.cumsum([0, *map(len, terms)])
 
 
-def deal(made: DataFrame, shards: int, idf: np.ndarray, shared, narrow: str) -> DataFrame:
-    """``made`` with ``shard``, so that documents of like content meet; at most ``_CENTRES`` x ``_PARTS`` counts reach the driver."""
-    if shards == 1:
-        return made.withColumn("shard", F.lit(0).cast("long"))
+def content_vectors(term: np.ndarray, weight: np.ndarray, bounds: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The unit vector of each document's weighted terms, zero for none."""
+    out = np.zeros((len(bounds) - 1, to.shape[1]), np.float32)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(weight[:, None] * to[term], bounds[some], axis=0)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def content_keys(term: np.ndarray, weight: np.ndarray, bounds: np.ndarray, idf: np.ndarray, to: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """A number for each document that puts like ones next to each other: its nearest centre, then its three heaviest terms that another document holds."""
+    near = np.argmax(content_vectors(term, weight, bounds, to) @ middle.T, axis=1) if len(middle) else np.zeros(len(bounds) - 1, np.int64)
+    left = np.where(idf[term] < idf.max(initial=0.0), weight, 0)
+    some = np.flatnonzero(np.diff(bounds))
+    top = np.zeros((3, len(bounds) - 1), np.int64)
+    for k in range(3 if len(some) else 0):
+        most = np.repeat(np.maximum.reduceat(left, bounds[some]), np.diff(bounds)[some])
+        at = np.flatnonzero((left == most) & (most > 0))
+        at = at[np.unique(np.searchsorted(bounds, at, side="right"), return_index=True)[1]]  # the least term of equal ones
+        top[k, np.searchsorted(bounds, at, side="right") - 1] = term[at] & 0x3FFFF
+        left[at] = 0
+    return near << 54 | top[0] << 36 | top[1] << 18 | top[2]
+
+
+#: Documents whose keys the driver sees (about), centres, and ranges of keys that are sorted apart.
+_SAMPLE, _CENTRES, _RANGES = 20_000, 256, 4096
+
+
+def deal(made: DataFrame, n_docs: int, per_range: int, shared, narrow: str) -> DataFrame:
+    """``made`` with ``range`` and ``key``: ranges of like content with about ``per_range`` documents, where ``_RANGES`` allow.
+
+    A sample by hash gives the centres and the bounds of the ranges. Keys that are as common as
+    several ranges (copies) are dealt among these by hash, so no range is much larger.
+    """
     spark = made.sparkSession
+    ranges = min(_RANGES, chunks_for(n_docs, per_range))
+
+    def parts_of(batch: pa.RecordBatch):
+        kinds = (("terms", narrow), ("counts", "<u4"))
+        return [[np.frombuffer(x, kind) for x in batch.column(c).to_pylist()] for c, kind in kinds]
 
-    @F.pandas_udf("array<float>")
-    def vector(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def vectors():
         to = directions(len(shared.value))
-        for terms, counts in parts:
-            yield pd.Series([content_vector(np.frombuffer(t, narrow), np.frombuffer(c, "<u2"), shared.value, to)[0] for t, c in zip(terms, counts, strict=True)])
 
-    sample = made.orderBy("hash", "id", "n").limit(_SAMPLE).select(vector("terms", "counts").alias("v")).collect()
-    middle = spark.sparkContext.broadcast(centres(np.array([r.v for r in sample], np.float32), min(_CENTRES, 4 * shards)))
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = content_vectors(*weighted(*parts_of(batch), shared.value), to)
+            return record(v=pa.array(found.tolist(), pa.list_(pa.float32())), hash=batch.column("hash"))
 
-    @F.pandas_udf("long")
-    def group(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        to = directions(len(shared.value))
-        for terms, counts in parts:
-            found = [content_vector(np.frombuffer(t, narrow), np.frombuffer(c, "<u2"), shared.value, to) for t, c in zip(terms, counts, strict=True)]
-            near = np.argmax(np.array([v for v, _ in found]) @ middle.value.T, axis=1)
-            yield pd.Series(near * _PARTS + np.array([t % _PARTS for _, t in found]))
-
-    grouped = made.withColumn("group", group("terms", "counts"))
-    sizes = sorted((r["group"], r["count"]) for r in grouped.groupBy("group").count().collect())
-    total, starts = 0, []
-    for g, n in sizes:
-        starts.append((g, total, n))
-        total += n
-    table = F.broadcast(spark.createDataFrame(starts, "group long, first long, many long"))
-    inside = F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("many")
-    shard = F.floor((F.col("first") + inside) * shards / max(total, 1)).cast("long")
-    return grouped.join(table, "group").withColumn("shard", F.least(shard, F.lit(shards - 1).cast("long"))).drop("group", "first", "many")
+        return apply
+
+    def keys(middle, with_bounds):
+        def make():
+            to = directions(len(shared.value))
+
+            def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+                term, weight, bounds = weighted(*parts_of(batch), shared.value)
+                key = content_keys(term, weight, bounds, shared.value, to, middle.value)
+                if with_bounds is None:
+                    return record(key=pa.array(key))
+                least, most = (np.searchsorted(with_bounds.value, key, side=s) for s in ("left", "right"))
+                at = least + (np.array(batch.column("hash")) & (1 << 40) - 1) % (most - least + 1)
+                return pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(key)], [*batch.schema.names, "range", "key"])
+
+            return apply
+
+        return make
+
+    share = F.lit(min(1.0, _SAMPLE / max(n_docs, 1)) * (1 << 30))
+    sample = made.filter(F.pmod("hash", F.lit(1 << 30)) < share)  # about _SAMPLE rows in all
+    rows = sorted((r.hash, list(r.v)) for r in map_rows(sample.select("terms", "counts", "hash"), vectors, "v array<float>, hash long").collect())
+    middle = spark.sparkContext.broadcast(centres(np.array([v for _, v in rows], np.float32).reshape(-1, WIDTH), min(_CENTRES, 4 * ranges)) if rows else np.empty((0, WIDTH), np.float32))
+    seen = np.sort([r.key for r in map_rows(sample.select("terms", "counts"), keys(middle, None), "key long").collect()])
+    cuts = spark.sparkContext.broadcast(seen[(np.arange(1, ranges) * len(seen)) // ranges] if len(seen) else np.empty(0, np.int64))
+    return map_rows(made, keys(middle, cuts), ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in made.schema] + ["range int, key long"]))
 
 
 def pack(
@@ -283,43 +349,41 @@ def pack(
     """One row per piece: ``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
     A document's ids and ``end_id`` are cut into full windows, each a sequence of its own, and a
-    shorter last piece. Documents are dealt by content into shards of about ``per_shard``: k-means
-    centres of a bounded sample, then the heaviest term, order them in groups, and this order is cut;
-    a group that is larger than a shard is split by hash. A seed asks its own shard only. Each shard
-    builds an inverted index over the token ids of its whole documents, with document frequencies
-    of the whole corpus (one row per vocabulary id), and fills its windows as ``fill_windows`` says.
-    A third of all documents being alike makes no shard larger. A null or empty text has ``end_id``
-    alone; repeated rows are packed each; an empty table gives no rows.
+    shorter last piece. Documents are put in order of content (nearest of k-means centres of a
+    bounded sample, then heaviest terms) and this order is cut into shards of about ``per_shard`` (one and a half times so many at most); copies that
+    would fill more than a range of it are dealt out by hash. A seed asks its own shard only, with
+    all its terms. Each shard builds an inverted index over the token ids of its whole documents, with
+    document frequencies of the whole corpus (one row per vocabulary id), and fills its windows as
+    ``fill_windows`` says. A third of all documents being alike makes no shard larger. A null or
+    empty text has ``end_id`` alone; repeated rows are packed each; other columns are ignored; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    n_docs = rows.count()
-    end = np.array([end_id], "<u4").tobytes()
-    from tokenizers import Tokenizer
-
-    narrow = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id) <= 65535 else "<u4"
+    fast = ranks_agree(tokenizer_path)
+    narrow = "<u2" if max(load_tokenizer(tokenizer_path).get_vocab_size(), end_id) <= 65535 else "<u4"
+    end = np.array([end_id], np.uint32)
 
     def make():
-        tokenize = WordTokenizer(tokenizer_path)
+        tokenize = WordTokenizer(tokenizer_path, fast)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             full, tails, totals, terms, counts = [], [], [], [], []
             for ids in tokenize(batch.column(1).to_pylist()):
-                term, count = np.unique(np.frombuffer(ids, "<u4"), return_counts=True)
-                terms.append(term.astype(narrow).tobytes())
-                counts.append(np.minimum(count, 65535).astype("<u2").tobytes())
-                ids += end
-                n = len(ids) // 4
-                whole = n // window * window
-                full.append([zlib.crc32(ids[4 * i : 4 * (i + window)]) for i in range(0, whole, window)])
-                tails.append(np.frombuffer(ids, "<u4")[whole:].astype(narrow).tobytes())
-                totals.append(n)
+                ordered = np.sort(ids)
+                first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
+                terms.append(ordered[first].astype(narrow).tobytes())
+                counts.append(np.diff(np.concatenate((first, [len(ordered)]))).astype("<u4").tobytes())
+                ids = np.concatenate((ids, end))
+                whole = len(ids) // window * window
+                full.append([zlib.crc32(ids[i : i + window].astype("<u4").tobytes()) for i in range(0, whole, window)])
+                tails.append(ids[whole:].astype(narrow).tobytes())
+                totals.append(len(ids))
             binary = pa.binary()
             return record(id=batch.column(0), n=pa.array(totals, pa.int64()), full=pa.array(full, pa.list_(pa.int64())), tail=pa.array(tails, binary), terms=pa.array(terms, binary), counts=pa.array(counts, binary))
 
         return apply
 
-    shards = chunks_for(n_docs, per_shard)
     made = map_rows(rows, make, "id long, n long, full array<long>, tail binary, terms binary, counts binary")
     made = stash(made.withColumn("hash", F.xxhash64("id", "n", "tail")))
 
@@ -329,18 +393,18 @@ def pack(
             yield record(term=pa.array(term.astype(np.int64)), n=pa.array(n.astype(np.int64)))
 
     df = made.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row per vocabulary id
-    mean_length = made.agg(F.avg(F.col("n") - 1)).first()[0] or 0.0
+    n_docs, n_terms = made.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()
+    mean_length = n_terms / max(n_docs, 1)
     idf = np.zeros(max((r.term for r in df), default=0) + 1)
     for r in df:
         idf[r.term] = np.log1p((n_docs - r.n + 0.5) / (r.n + 0.5))
     shared = spark.sparkContext.broadcast(idf)
-    made = deal(made, shards, idf, shared, narrow)
+    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def run(shard: pa.Table) -> pa.Table:
-        rows = sorted(shard.to_pylist(), key=lambda r: (r["id"] is None, r["id"] or 0, r["n"], r["tail"]))
+    def packed(rows: list[dict], first: int) -> pa.RecordBatch:
+        """A shard's pieces in sequences from ``first`` on."""
         tails = [np.frombuffer(r["tail"], narrow) for r in rows]
-        index = ShardIndex([np.frombuffer(r["terms"], narrow) for r in rows], [np.frombuffer(r["counts"], "<u2") for r in rows], shared.value, mean_length, bm25)
-        first = rows[0]["shard"] << 32
+        index = ShardIndex([np.frombuffer(r["terms"], narrow) for r in rows], [np.frombuffer(r["counts"], "<u4") for r in rows], shared.value, mean_length, bm25)
         out = []
         for r in rows:
             for k, crc in enumerate(r["full"]):
@@ -349,8 +413,35 @@ def pack(
         for i, start, n, sequence, offset in fill_windows(index, [0] * len(tails), [len(t) for t in tails], window):
             crc = zlib.crc32(tails[i][start : start + n].astype("<u4").tobytes())
             out.append((rows[i]["id"], len(rows[i]["full"]) * window + start, n, crc, rows[i]["n"], first + sequence, offset))
-        columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=columns)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=columns)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        at, number = None, 0
+
+        def shard(n: int) -> pa.RecordBatch:
+            nonlocal held, number
+            rows, held = held[:n], held[n:]
+            number += 1
+            return packed(rows, (at << 20 | number - 1) << 32)
 
+        def rest() -> Iterator[pa.RecordBatch]:
+            if 2 * len(held) > 3 * per_shard:
+                yield shard(len(held) // 2)
+            if held:
+                yield shard(len(held))
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["range"] != at:
+                    yield from rest()
+                    at, number = r["range"], 0
+                held.append(r)
+                if len(held) == 2 * per_shard:
+                    yield shard(per_shard)
+        yield from rest()
+
+    dealt = deal(made, n_docs, 2 * per_shard, shared, narrow)
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "key", "hash", "id", "n", "tail", "terms", "counts")
     schema = f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return made.groupBy("shard").applyInArrow(run, schema)
+    return dealt.select("range", "id", "n", "full", "tail", "terms", "counts").mapInArrow(shards, schema)

@@ -213,7 +213,7 @@ def test_bm25_scores_match_the_formula():
     rng = np.random.default_rng(0)
     terms = [np.unique(rng.integers(0, 30, 8)).astype(np.uint16) for _ in range(12)]
     counts = [rng.integers(1, 5, len(t)).astype(np.uint16) for t in terms]
-    idf, p = rng.random(30), packing.Bm25(query_terms=100)
+    idf, p = rng.random(30), packing.Bm25()
     mean = float(np.mean([c.sum() for c in counts]))
     index = packing.ShardIndex(terms, counts, idf, mean, p)
     for seed in range(12):
@@ -222,6 +222,80 @@ def test_bm25_scores_match_the_formula():
             assert math.isclose(index.scores(seed)[doc], want, rel_tol=1e-4, abs_tol=1e-6)
 
 
+def brute_windows(terms, counts, idf, mean, lengths, window):
+    """Every window's documents by the plain rule: the unused document of the best score that fits whole, again and again, then the best one cut."""
+    p, left = packing.Bm25(), list(lengths)
+    of = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(terms, counts, strict=True)]
+
+    def score(seed, doc):
+        size = sum(of[doc].values())
+        return sum(idf[t] * f * (p.k1 + 1) / (f + p.k1 * (1 - p.b + p.b * size / mean)) for t, f in of[doc].items() if t in of[seed])
+
+    out = []
+    for seed in sorted(range(len(left)), key=lambda d: (-left[d], d)):
+        while left[seed]:
+            n = min(left[seed], window)
+            now, room = [(seed, n)], window - n
+            left[seed] -= n
+            order = sorted((d for d in range(len(left)) if left[d]), key=lambda d: (-round(score(seed, d), 4), d)) if room else []
+            for d in order:
+                if left[d] <= room:
+                    now.append((d, left[d]))
+                    room, left[d] = room - left[d], 0
+            for d in [d for d in order if left[d]][: 1 if room else 0]:
+                now.append((d, room))
+                left[d], room = left[d] - room, 0
+            out.append(now)
+    return out
+
+
+@pytest.mark.parametrize("dense", [1, 12, 10_000])
+def test_windows_are_filled_by_the_plain_rule(dense):
+    rng = np.random.default_rng(11)
+    n = 70
+    terms = [np.unique(rng.zipf(1.3, 40) % 300) for _ in range(n)]
+    counts = [rng.integers(1, 70_000 if k == 3 else 5, len(t)) for k, t in enumerate(terms)]
+    terms += [terms[0], np.empty(0, np.int64)]
+    counts += [counts[0], np.empty(0, np.int64)]
+    df = np.bincount(np.concatenate(terms), minlength=300)
+    idf = np.log1p((n + 2 - df + 0.5) / (df + 0.5))
+    lengths = [int(x) for x in rng.integers(1, 64, n + 2)]
+    index = packing.ShardIndex(terms, counts, idf, 60.0, packing.Bm25(), dense=dense)
+    found = {}
+    for doc, _, length, sequence, _ in packing.fill_windows(index, [0] * (n + 2), lengths, 64):
+        found.setdefault(sequence, []).append((doc, length))
+    assert [found[k] for k in sorted(found)] == brute_windows(terms, counts, idf, 60.0, lengths, 64)
+
+
+def test_fast_encoder_agrees_with_the_tokenizer():
+    """By the vocabulary's own proof, and over every character between letters, digits and marks."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert packing.ranks_agree(path)
+    encode = packing.WordTokenizer(path, True)
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}. b{chr(c)}\n" for c in range(start, min(start + 4096, 0x30000)) if not 0xD800 <= c < 0xE000) for start in range(0, 0x30000, 4096)]
+    rng = random.Random(7)
+    marks = ["a", "B", "7", " ", "  ", "\n", "'s", ".", "é", "\u00a0", "\u3000", "<|endoftext|>", "word", "\t", "x" * 50]
+    texts += ["".join(rng.choices(marks, k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["z" * 150_000 + " y"]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_content_keys_by_plain_sums():
+    rng = np.random.default_rng(5)
+    terms = [np.unique(rng.integers(0, 40, k)) for k in (0, 5, 9, 1, 30)]
+    counts = [rng.integers(1, 6, len(t)) for t in terms]
+    idf, to = rng.integers(1, 5, 40).astype(float), packing.directions(40)
+    middle = rng.standard_normal((7, packing.WIDTH)).astype(np.float32)
+    keys = packing.content_keys(*packing.weighted(terms, counts, idf), idf, to, middle)
+    for t, c, key in zip(terms, counts, keys.tolist(), strict=True):
+        weight = (idf[t] * c / (c + 1.2)).astype(np.float32)
+        v = (weight[:, None] * to[t]).sum(0)
+        top = [int(x) for x, _ in sorted(((x, w) for x, w in zip(t, weight, strict=True) if idf[x] < idf.max()), key=lambda p: (-p[1], p[0]))[:3]]
+        want = [int(np.argmax(v @ middle.T)) if len(t) else 0, *top, *[0] * (3 - len(top))]
+        assert [key >> 54, key >> 36 & 0x3FFFF, key >> 18 & 0x3FFFF, key & 0x3FFFF] == want
+
+
 def test_metric_range_join(spark):
     rng = np.random.default_rng(4)
     data, n = [], 0
@@ -458,6 +532,86 @@ def test_no_run_of_lines_stays_in_two_documents(spark):
     assert "\n".join(found[0]) == texts[0]
 
 
+def windows(text, n):
+    w = text.split()
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
+def test_no_long_run_of_words_stays_in_two_documents(spark):
+    """Short lines, blocks in any order and repeated, held by few or by very many documents, against every window of 50 words."""
+    rng = random.Random(4)
+    shared = [[words(rng, rng.choice([3, 8, 12, 30])) for _ in range(6)] for _ in range(6)]
+    texts = []
+    for i in range(60):
+        parts = [[words(rng, 9)] for _ in range(3)] + rng.choices(shared, k=rng.choice([0, 1, 2, 3])) + [shared[0]] * (i % 2)
+        rng.shuffle(parts)
+        texts.append("\n".join(x for p in parts for x in p))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in linededup.dedup_lines(rows).collect()}
+    seen = set()
+    for i, text in enumerate(texts):
+        assert not windows(found[i], 50) & seen, i
+        seen |= windows(text, 50)
+    held = {x for block in shared for x in block}
+    for i, text in enumerate(texts):
+        own = [x for x in text.split("\n") if x not in held]
+        assert [x for x in found[i].split("\n") if x in own] == own  # what is a document's own stays
+    assert found[0] == texts[0]
+
+
+def test_words_lines_and_pieces_of_odd_texts():
+    rng = random.Random(2)
+    texts = ["", " ", "a", "a\n\nb  c\t d\n", "x" * 3_000_000, words(rng, 5000), "\n".join(words(rng, 9) for _ in range(50)), "é\u00a0é ü", "same " * 3000]
+    raws = [t.encode() for t in texts]
+    starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    joined = b"\n".join([*raws, b""])
+    w = linededup.scan(joined, starts[:-1])
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", joined)]
+    assert list(zip(w.start.tolist(), w.end.tolist(), strict=True)) == at
+    assert w.line.tolist() == [joined[:s].count(b"\n") for s, _ in at[:3000]] + w.line.tolist()[3000:]
+    assert [joined[s:e] for s, e in at] and len({(h, joined[s:e]) for h, (s, e) in zip(w.hash.tolist(), at, strict=True)}) == len({joined[s:e] for s, e in at}) == len(set(w.hash.tolist()))
+    marks, chunks = linededup._marks_and_chunks(raws, 25)
+    for k, text in enumerate(texts):
+        pieces = np.frombuffer(b"".join(chunks[k].as_py()), linededup._PIECE)
+        assert (pieces["n"] // 2).sum() == len(text.encode().split()) and (pieces["n"] % 2).sum() == sum(bool(x.split()) for x in text.encode().split(b"\n")) and all(len(c) == 8 * linededup.CHUNK for c in chunks[k].as_py()[:-1])
+        assert linededup.without(text, np.array([], int)) == (text, 0)
+        assert linededup.without(text, np.arange(len(pieces)))[0].split() == []
+    alone = linededup._marks_and_chunks([raws[5]], 25)
+    assert alone[0][0] == marks[5] and alone[1][0] == chunks[5]
+
+
+def test_winnowing_chooses_in_every_window():
+    rng = np.random.default_rng(6)
+    group = np.repeat(np.arange(40), rng.integers(0, 90, 40))
+    h = rng.integers(0, 1 << 60, len(group)).astype(np.uint64)
+    chosen = set(linededup.winnowed(h, group, 26).tolist())
+    want = set()
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        for k in range(max(1, len(at) - 25)):
+            want.add(int(at[k : k + 26][np.argmin(h[at[k : k + 26]])]))
+    assert chosen == want
+
+
+def test_line_dedup_of_repeated_huge_and_missing_ids_and_clashing_names(spark):
+    rng = random.Random(17)
+    text = lambda n: words(rng, n)
+    passage, own = text(60), [text(40) for _ in range(6)]
+    big = (1 << 63) - 1
+    rows = [(5, f"{passage} {own[0]}"), (5, f"{own[1]} {passage}"), (5, f"{passage} {own[0]}"), (big, f"{own[2]} {passage} {own[3]}"), (None, f"{passage} {own[4]}"), (None, None), (-big, own[5])]
+    names = "doc_id long, text string, _line_key int, _line_removed string, removed array<int>, row int, late long, id string, n_lines string, removed_lines string"
+    docs = spark.createDataFrame([(i, t, k, "r", [1], k, 2, "x", "y", "z") for k, (i, t) in enumerate(rows)], names)
+    out = linededup.dedup_lines(docs)
+    assert sorted(out.columns) == sorted(docs.columns)
+    found = {r["_line_key"]: r for r in out.collect()}
+    assert len(found) == len(rows) and all((r.doc_id, r["_line_removed"], r["removed"], r["row"], r["late"], r["id"]) == (rows[k][0], "r", [1], k, 2, "x") for k, r in found.items())
+    assert found[0].text == found[2].text and {found[0].text == rows[0][1], found[1].text == rows[1][1]} == {True, False}  # the lesser content is the earlier
+    assert found[5].text is None and found[5].n_lines == 0 and found[6].text == own[5]
+    inside = windows(passage, 25)
+    assert not windows(found[3].text, 25) & inside and not windows(found[4].text, 25) & inside
+    assert found[3].text.split()[:30] == own[2].split()[:30] and found[3].text.split()[-30:] == own[3].split()[-30:]
+
+
 def test_a_passage_glued_into_other_lines_goes(spark):
     rng = random.Random(12)
     shared = [words(rng, 30), words(rng, 24), words(rng, 30)]
@@ -473,7 +627,7 @@ def test_a_passage_glued_into_other_lines_goes(spark):
         assert not any(tuple(left[k : k + 25]) in windows for k in range(len(left))), i
         own = texts[i].split()
         assert left[:8] == own[:8] and left[-8:] == own[-8:]
-    assert linededup.without("a b\n\nc", set()) == ("a b\n\nc", 0)
+    assert linededup.without("a b\n\nc", np.array([], int)) == ("a b\n\nc", 0)
 
 
 def test_documents_of_one_topic_share_a_shard(spark):
