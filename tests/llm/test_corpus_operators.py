@@ -465,10 +465,53 @@ def test_targets_stop_at_three_times_the_source(spark):
 
 
 def test_newton_meets_every_target(spark):
-    cells = spark.createDataFrame([(0, 5, 10), (0, 7, 2), (1, 3, 4), (2, 9, 1)], "sid int, size long, n long")
-    targets = spark.createDataFrame([(0, 192.0), (1, 0.5), (2, 0.0)], "sid int, target double")
-    rates = {r.sid: r.rate for r in mixing.balance(cells, targets).collect()}
-    assert math.isclose(rates[0], 3.0, rel_tol=1e-8) and math.isclose(rates[1], 0.5 / 12, rel_tol=1e-8) and 2 not in rates
+    cells = spark.createDataFrame([(0, 2, 1, 64, 192.0), (1, 2, 1, 12, 0.5)], "sid long, length int, lang int, words long, target double")
+    rates = {r.sid: r.rate for r in mixing.balance(cells).collect()}
+    assert rates[0] == 3.0 and math.isclose(rates[1], 0.5 / 12, rel_tol=1e-7)
+
+
+@pytest.mark.parametrize("soft", [0.02, 0.5])
+def test_balanced_rates_are_the_optimum(spark, soft):
+    """Against the conditions of the optimum, and against plain coordinate descent on the dual."""
+    rng = np.random.default_rng(int(soft * 100))
+    cells, totals = [], {}
+    for sid in range(9):
+        for length, lang in {(int(x), int(y)) for x, y in zip(rng.integers(0, 5, 8), rng.integers(0, 3, 8), strict=True)}:
+            n = int(rng.integers(1, 5000))
+            cells.append((sid, length, lang, n))
+            totals[sid] = totals.get(sid, 0) + n
+    targets = {s: t for s, t in brute_targets({f"{s}": n for s, n in totals.items()}).items()}
+    data = [(*c, float(targets[str(c[0])])) for c in cells]
+    found = {(r.sid, r.length, r.lang): r.rate for r in mixing.balance(spark.createDataFrame(data, "sid long, length int, lang int, words long, target double"), soft=soft).collect()}
+    for s in totals:
+        taken = sum(c[3] * found[c[:3]] for c in cells if c[0] == s)
+        assert math.isclose(taken, targets[str(s)], rel_tol=1e-6)
+    total = sum(totals.values())
+    kept = {("length", k): sum(c[3] for c in cells if c[1] == k) for k in range(5)} | {("lang", k): sum(c[3] for c in cells if c[2] == k) for k in range(3)}
+    mu = dict.fromkeys(kept, 0.0)
+    rates = {}
+    for _ in range(400):  # exact in each source, then a damped step in each class
+        for s in totals:
+            own = [c for c in cells if c[0] == s]
+            low, high = -60.0, 60.0
+            for _ in range(80):
+                mid = (low + high) / 2
+                got = sum(c[3] * min(3.0, math.exp(mid + mu["length", c[1]] + mu["lang", c[2]])) for c in own)
+                low, high = (mid, high) if got < targets[str(s)] else (low, mid)
+            rates |= {c[:3]: min(3.0, math.exp(low + mu["length", c[1]] + mu["lang", c[2]])) for c in own}
+        for key in mu:
+            off = sum(c[3] * rates[c[:3]] for c in cells if (c[1] if key[0] == "length" else c[2]) == key[1]) - kept[key] + soft * total * mu[key]
+            mu[key] -= 0.5 * off / (kept[key] + soft * total)
+    assert all(math.isclose(rates[k], found[k], rel_tol=2e-4) for k in found), max(abs(rates[k] - found[k]) for k in found)
+    assert len({round(r, 6) for r in found.values()}) > 9  # documents of one source differ
+
+
+def test_mix_of_repeated_huge_and_missing_ids_and_clashing_names(spark):
+    rows = [(1, "a b c", "s", None), (1, "a b c", "s", "en"), (None, "d", None, "en"), ((1 << 63) - 1, "e f", "t", "de"), (2, None, "t", "de"), (3, "", None, None)]
+    docs = spark.createDataFrame([(*r, 7, 8, 9, "x", "y", 1) for r in rows], "doc_id long, text string, source string, lang string, size long, sid int, n long, slice string, target string, copies int")
+    found = mixing.mix(docs).collect()
+    assert sorted((r.doc_id or 0, r.size, r.source or "") for r in found) == sorted((i or 0, len((t or "").split()), s or "") for i, t, s, _ in rows)
+    assert found[0].asDict().keys() == {"doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"}
 
 
 def test_patience_aligns_unique_anchors_and_blocks():
