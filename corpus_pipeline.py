@@ -32,34 +32,33 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_key``: the doc_id, or for a row without one a digest of it above all ids."""
-    of_row = F.xxhash64("text", "lang", "source", "n_chars").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    return docs.select(*COLUMNS).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), of_row))
+    """``docs`` with ``_key``, a digest of all columns: rows that share it are alike in every column."""
+    return docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id, one without an id if there is no other.
 
-    Rows that repeat an id with different texts are grouped apart. Of those that are left under one
-    id, the first in text order stays.
+    Rows are judged by their own texts, so unlike texts under one id or without an id all stay; of
+    rows that repeat both id and text one stays, the first in order of the other columns.
     """
-    docs = keyed(docs).withColumn("_row", F.xxhash64("_key", "text"))
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
     groups = simhash.near_duplicates(docs, id_col="_row").select("_row", "component_id").distinct()
-    of_group = groups.join(docs.select("_row", "_key").distinct(), "_row").groupBy("component_id").agg(F.min(F.struct("_key", "_row")).alias("_least"))
+    named = docs.select("_row", F.col("doc_id").isNull().alias("_none"), "doc_id").distinct()
+    of_group = groups.join(named, "_row").groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row")).alias("_least"))
     rows = docs.join(of_group.select("_least._row").hint("merge"), "_row", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
+    first = F.row_number().over(Window.partitionBy("_row").orderBy("lang", "source", "n_chars"))
     return rows.withColumn("_at", first).filter("_at = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows that repeat an id or have none are mixed one by one."""
+    """Each document as many times as the mix takes it; rows that are alike in every column share their copies out."""
     docs = keyed(docs)
-    taken = F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("_taken")
-    taken = stash(mixing.mix(docs, id_col="_key").groupBy("_key").agg(taken).filter("exists(_taken, t -> t.copies > 0)"))
+    taken = F.sort_array(F.collect_list("copies")).alias("_taken")
+    taken = stash(mixing.mix(docs, id_col="_key").groupBy("_key").agg(taken).filter("exists(_taken, n -> n > 0)"))
     rows = docs.join(taken.hint("merge"), "_key")
-    size = F.when(F.size("_taken") > 1, F.regexp_count(text_of(), F.lit(WORD)))
-    at = F.row_number().over(Window.partitionBy("_key").orderBy("source", size, "text"))
-    rows = rows.withColumn("_copies", F.get(F.col("_taken.copies"), at - 1)).filter("_copies > 0")
+    at = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    rows = rows.withColumn("_copies", F.get("_taken", at - 1)).filter("_copies > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*COLUMNS)
 
 
