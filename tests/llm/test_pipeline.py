@@ -74,17 +74,15 @@ def test_rows_without_or_with_repeated_ids_are_kept_apart(spark):
     rows = [(None, words(1, 40), "en", "a", 1), (None, words(2, 30), "en", "b", 1), (None, None, "en", None, None), (1, words(3, 50), "en", "a", 1), (1, words(3, 50), "en", "a", 1), (1, words(4, 9), "en", "b", 1), (2, words(5, 60), None, "b", 1), (3, words(2, 30), "en", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = [tuple(r) for r in cp.drop_near_copies(spark, docs.withColumn("_key", F.lit("a clashing name")), SF).collect()]
-    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[2], rows[3], rows[6], rows[7]]))
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5], rows[6], rows[7]]))
     mixed = Counter(tuple(r) for r in cp.mix_sources(spark, docs, SF).collect())
-    copies = {}
+    copies, found = Counter(), Counter()
     for r in mixing.mix(cp.keyed(docs), id_col="_key").collect():
-        at = (None if r._key > 1 << 61 else r._key, r.source, r.size)
-        copies[at] = copies.get(at, 0) + r.copies
-    found = {}
+        copies[r.source, r.size] += r.copies
     for r, n in mixed.items():
-        at = (r[0], r[3], len((r[1] or "").split()))
-        found[at] = found.get(at, 0) + n
-    assert found == {k: n for k, n in copies.items() if n}
+        assert r in rows
+        found[r[3], len((r[1] or "").split())] += n
+    assert +found == +copies
 
 
 def test_stages_take_an_empty_table(spark):
@@ -92,6 +90,21 @@ def test_stages_take_an_empty_table(spark):
     assert [stage(spark, none, SF).count() for _, stage in cp.STAGES] == [0] * 5
 
 
+def test_stages_take_nulls_repeats_odd_ids_and_clashing_names(spark):
+    """Every stage keeps whole what it has no reason to drop, whatever else the table holds."""
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    big = (1 << 63) - 1
+    rows = [(big, words(1, 60), None, None, None), (-5, words(2, 2000), "en", "a", 1), (-5, words(3, 40), "en", "a", 1), (None, None, None, "b", 0), (7, "", "de", "b", 0), (7, "", "de", "b", 0), (8, " \n\t", None, "c", 3)]
+    docs = spark.createDataFrame([(*r, 1, "k", 2, 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _key long, _score string, row long, size long")
+    for name, stage in cp.STAGES[:2]:
+        assert sorted(map(str, (tuple(r) for r in stage(spark, docs, SF).collect()))) == sorted(map(str, rows)), name
+    kept = [tuple(r) for r in cp.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[1], rows[2], rows[4]]))  # all empty texts are one group, its least id stays
+    assert set(cp.mix_sources(spark, docs, SF).collect()) <= set(rows)
+    packed = cp.pack_windows(spark, docs, SF).collect()
+    assert sum(r.length for r in packed if r.doc_id == 7) == 2 and sum(r.length for r in packed if r.doc_id is None) == 1
+
+
 def test_a_copy_does_not_stand_in_for_another_text_of_its_id(spark):
     """Of id 1 one text is a copy of id 0's and the other is like no other: that one stays."""
     words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
