@@ -8,16 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of our own by application, where the session names none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset.
 
     A cluster without the setting uses its shared warehouse, a single process a temporary folder.
+    The setting is fixed once a session runs, so our own choice is kept here.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = tempfile.mkdtemp(prefix="factweave-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if context.applicationId not in _OWN:
+            local = context.master.startswith("local[") or context.master == "local"
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="factweave-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 
