@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.sources.rounds import shared_dir
+from factweave.sources.tables import table  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset.
-
-    A cluster without the setting falls back to its warehouse, which is shared too; only a
-    single-process session gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = tempfile.mkdtemp(prefix="factweave-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
@@ -64,6 +48,19 @@ def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def hashed_share(key: Column, most: int, of: int) -> Column:
+    """Whether a row is in a sample of about ``most`` of ``of`` rows, by its key's hash. A filter, so no task or driver sees more."""
+    share = min(1.0, most / max(of, 1))
+    return F.lit(True) if share == 1.0 else F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, longer by as many underscores as no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def chunks_for(rows: int, each: int, least: int = 1) -> int:
     """How many groups of about ``each`` rows hold ``rows`` rows."""
     return max(least, -(-rows // each))

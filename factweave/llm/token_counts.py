@@ -59,7 +59,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     1. Distinct pre-tokens with their corpus counts, combined where they are read.
     2. Pieces of each distinct pre-token, counted once by the model.
-    3. The ``hot`` commonest (a fixed number, so its size is bounded) go to every task as a table;
+    3. The commonest, ``hot`` at most (so their size is bounded), go to every task as a table;
        a document's frequencies of these are summed where it is read. They are also the keys that
        would be skewed. All other frequencies are joined to the counts by pre-token and summed by
        document.
@@ -91,7 +91,14 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     keys = map_rows(texts.select("text"), distinct, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
     keys = stash(map_rows(keys, counted, "key string, n long, pieces long"))
-    top = keys.orderBy(F.desc("n"), "key").limit(hot).collect()  # hot rows at most
+    level = F.floor(F.log2("n") * 16).cast("int")  # so few levels that their sizes fit in one row each
+    least, taken = 0, 0
+    for r in sorted(keys.groupBy(level.alias("level")).agg(F.count("*").alias("n_keys")).collect(), reverse=True):
+        taken += r.n_keys
+        if taken > hot:
+            least = r.level + 1
+            break
+    top = keys.filter(level >= least).select("key", "pieces").collect()  # hot rows at most
     shared = texts.sparkSession.sparkContext.broadcast({r.key: r.pieces for r in top})
 
     def summed():
