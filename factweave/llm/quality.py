@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import map_rows, record, text_of
-from factweave.llm.toxicity import held_out
+from factweave.llm.common import hashed_share, map_rows, record, text_of
+from factweave.llm.toxicity import held_out, known_labels
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _MARK = (np.zeros(256, bool) for _ in range(5))
 _LOWER[97:123] = _UPPER[65:91] = _DIGIT[48:58] = True
@@ -57,7 +57,7 @@ def text_stats(text: str) -> list[float]:
 
 @dataclass(frozen=True)
 class GamParams:
-    #: The sample is bounded: so many labelled documents at most.
+    #: The sample is bounded: about so many labelled documents at most.
     most_rows: int = 20_000
     bins: int = 64
     pair_bins: int = 12
@@ -186,25 +186,22 @@ def fit(x: np.ndarray, y: np.ndarray, p: GamParams = GamParams()) -> GamModel:
     return model
 
 
-def stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, x)``: the inputs of every whole text."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int, p: GamParams = GamParams()) -> GamModel:
+    """Fit on the figures of about ``most_rows`` labelled ids by hash, one row of each (the one whose figures come first in order)."""
+    known = known_labels(labels, id_col, label_col, folds, fold)
+    known = known.filter(hashed_share(F.col("_id").cast("string"), p.most_rows, known.count()))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(known), "_id")  # about ``most_rows``
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return record(id=batch.column(0), x=pa.array([text_stats(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64())))
+            return record(_id=batch.column(0), y=batch.column(1), x=pa.array([text_stats(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64())))
 
         return apply
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")), make, "id long, x array<double>")
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int, p: GamParams = GamParams()) -> GamModel:
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter((~held_out("_id", folds, fold)) & F.col("y").isin(0, 1))
-    known = known.dropDuplicates(["_id"]).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(p.most_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("_id", "y")), "_id")  # at most ``most_rows``
-    rows = stats(texts.withColumn("id", F.col("_id") * 2 + F.col("y")), "id", "text").collect()
+    rows = map_rows(texts.select("_id", "y", "text"), make, "_id long, y int, x array<double>").groupBy("_id", "y").agg(F.min("x").alias("x"))
+    rows = sorted(rows.collect(), key=lambda r: r._id)
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r.id % 2 for r in rows], np.float64), p)
+    return fit(x, np.array([r.y for r in rows], np.float64), p)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, fold: int = 1, threshold: float = 0.5, p: GamParams = GamParams()) -> DataFrame:
@@ -212,7 +209,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     The model is fitted on the driver from at most ``most_rows`` labelled rows' figures (not texts)
     outside the fold, and scored where texts are read by adding table entries for whole batches.
-    Null and empty texts are scored like any; without labels every score is one half.
+    Null and empty texts are scored like any, as are rows that repeat an id; rows without an id are
+    held out; without labels every score is one half; an empty table gives no rows; other columns are
+    ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, folds, fold, p))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import map_rows, record, text_of
+from factweave.llm.common import hashed_share, map_rows, record, text_of
 
 #: Hash buckets of the features.
 BUCKETS = 1 << 22
@@ -22,7 +22,7 @@ PREFIXES = (4, 5, 6)
 
 @dataclass(frozen=True)
 class PuParams:
-    #: The sample is bounded: so many confirmed toxic and so many unlabelled documents at most.
+    #: The sample is bounded: about so many confirmed toxic and so many unlabelled documents at most.
     most_positive: int = 2000
     most_unlabelled: int = 6000
     features: int = 512
@@ -75,11 +75,26 @@ def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return best[z[best] > 4]
 
 
+def nn_pu_gradient(xp: np.ndarray, pp: np.ndarray, xu: np.ndarray, pu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray]:
+    """``(positive part, negative part, direction)`` of the risk at ``w`` and ``b`` for rows with shares ``pp`` and ``pu``.
+
+    risk = prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) with logistic loss. Where
+    the second part falls below zero, which only overfitting can do, the direction is its gradient
+    turned round, so it rises again.
+    """
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    soft = lambda z: np.logaddexp(0, z)
+    grad = lambda x, s: np.append(s @ x, s.sum())
+    zp, zu = xp @ w + b, xu @ w + b
+    positive = prior * float(pp @ soft(-zp))
+    negative = float(pu @ soft(zu) - prior * (pp @ soft(zp)))
+    g_negative = grad(xu, pu * sig(zu)) - prior * grad(xp, pp * sig(zp))
+    return positive, negative, -g_negative if negative < 0 else g_negative + prior * grad(xp, pp * (sig(zp) - 1))
+
+
 def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, p: PuParams, seed: int) -> tuple[np.ndarray, float]:
-    """Linear weights and bias that minimise the non-negative positive-unlabelled risk with logistic loss.
+    """Linear weights and bias that minimise the non-negative positive-unlabelled risk over a bootstrap sample.
 
-    risk = prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Where the second
-    part falls below zero, which only overfitting can do, its gradient is followed upwards instead.
     The bias stays at or below the prior's log-odds: all features speak for toxicity, so a document
     without any can't be likelier toxic than one not looked at.
     """
@@ -94,14 +109,8 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, p: PuParams, seed: int)
     w, b = np.zeros(xp.shape[1]), math.log(prior / (1 - prior))
     most = b
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    soft = lambda z: np.logaddexp(0, z)
-    grad = lambda x, s: np.append(s @ x, s.sum())
     for step in range(1, p.steps + 1):
-        zp, zu = xp @ w + b, xu @ w + b
-        negative = pu @ soft(zu) - prior * (pp @ soft(zp))
-        g_negative = grad(xu, pu * sig(zu)) - prior * grad(xp, pp * sig(zp))
-        g = -g_negative if negative < 0 else g_negative + prior * grad(xp, pp * (sig(zp) - 1))
+        g = nn_pu_gradient(xp, pp, xu, pu, w, b, prior)[2]
         g[:-1] += p.l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -132,32 +141,39 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds == fold, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int, p: PuParams = PuParams()) -> PuModel:
-    """Fit on a bounded sample, in hash order of the ids: labelled toxic documents, and any documents as unlabelled.
+def known_labels(labels: DataFrame, id_col: str, label_col: str, folds: int, fold: int) -> DataFrame:
+    """``(_id, y)``: one label of each id outside the fold; where rows of one id differ, what most say, 1 in a tie. Other values and nulls are no labels."""
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("y")).filter((~held_out("_id", folds, fold)) & F.col("y").isin(0, 1))
+    return known.groupBy("_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
 
-    The class prior is the toxic share of all labelled rows outside the fold.
-    """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter((~held_out("_id", folds, fold)) & F.col("y").isin(0, 1))
-    prior = known.agg(F.avg("y")).first()[0]
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).filter(~held_out("_id", folds, fold))
 
-    def sample(rows: DataFrame, ids: DataFrame, most: int) -> list[np.ndarray]:
-        """Features of ``most`` documents by hash order; the texts stay on the executors."""
-        order = F.xxhash64(F.col("_id").cast("string"))
-        ids = ids.select("_id").distinct().orderBy(order, "_id").limit(most)
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int, p: PuParams = PuParams()) -> PuModel:
+    """Fit on a sample of bounded size, by hash of the ids: labelled toxic documents, and any documents as unlabelled.
 
-        def make():
-            def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-                return record(f=pa.array([text_features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary()))
+    Both are drawn in one pass over the texts, one row of each id (the one whose features come first in
+    order), so an id that many rows repeat counts once. The class prior is the toxic share of all
+    labelled ids outside the fold.
+    """
+    known = known_labels(labels, id_col, label_col, folds, fold)
+    prior, n_positive = known.agg(F.avg("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("text")).filter(~held_out("_id", folds, fold))
+    n_ids = texts.agg(F.approx_count_distinct("_id")).first()[0]
+    key = F.concat(F.lit("u"), F.col("_id").cast("string"))
+    chosen = known.filter((F.col("y") == 1) & hashed_share(F.col("_id").cast("string"), p.most_positive, n_positive)).select("_id", F.lit(True).alias("positive"))
 
-            return apply
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            features = pa.array([text_features(t).tobytes() for t in batch.column(3).to_pylist()], pa.binary())
+            return record(_id=batch.column(0), positive=batch.column(1), unlabelled=batch.column(2), f=features)
 
-        found = rows.join(F.broadcast(ids), "_id").select("text")  # at most ``most`` ids
-        return [np.frombuffer(r.f, np.int32) for r in map_rows(found, make, "f binary").collect()]
+        return apply
 
-    positive = sample(texts, known.filter("y = 1"), p.most_positive)
-    unlabelled = sample(texts, texts, p.most_unlabelled)
-    return fit(positive, unlabelled, prior if prior is not None else 0.1, p)
+    rows = texts.join(F.broadcast(chosen), "_id", "left").withColumn("unlabelled", hashed_share(key, p.most_unlabelled, n_ids))  # about ``most_positive`` ids
+    rows = rows.select("_id", F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled", "text").filter("positive or unlabelled")
+    found = map_rows(rows, make, "_id long, positive boolean, unlabelled boolean, f binary").groupBy("_id", "positive", "unlabelled").agg(F.min("f").alias("f"))
+    found = sorted(found.collect(), key=lambda r: r._id)
+    of = lambda column: [np.frombuffer(r.f, np.int32) for r in found if r[column]]
+    return fit(of("positive"), of("unlabelled"), prior if prior is not None else 0.1, p)
 
 
 def scorer(spark: SparkSession, model: PuModel, remember: int = 400_000):
@@ -194,8 +210,9 @@ def scorer(spark: SparkSession, model: PuModel, remember: int = 400_000):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, threshold: float = 0.3, p: PuParams = PuParams()) -> DataFrame:
     """One row per document: ``(id, held_out, score, predicted)``.
 
-    Labels inside the fold are never read. Rows repeated by id are scored each; an empty table
-    gives no rows; without labelled positives every score is the prior.
+    Labels inside the fold are never read. Rows repeated by id are scored each, those without an id
+    are held out; an empty table gives no rows; without labelled positives every score is the prior;
+    other columns are ignored.
     """
     model = train(docs, labels, id_col, text_col, label_col, folds, fold, p)
     of = scorer(docs.sparkSession, model)
