@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import chunks_for, map_rows, record, stash
+from factweave.llm.common import chunks_for, hashed_share, map_rows, record, stash
 from factweave.llm.components import connected_components
 
 #: The pivots of all labels together; they go to every task.
@@ -141,7 +141,7 @@ def near_vectors(
 
     Links are pairs of equal label (and equal length) with cosine of at least ``least`` in double
     precision. Null, zero or non-finite vectors, and those without label or id, link with nothing
-    and are their own component. Equal unit vectors are one class with a count, so copies are
+    and are their own component (kept, also without an id). Equal unit vectors are one class with a count, so copies are
     compared once. Pivots are a hash sample of the classes, about one per ``block`` of them and
     ``MOST_PIVOTS`` at most. Cells are joined independently, and a cell larger than ``block`` is dealt
     out as pairs of blocks, so that no task holds more than two blocks however large a cell is. An
@@ -152,9 +152,11 @@ def near_vectors(
     own = ["label", "dim", "key"]
     classes = rows.filter("key is not null").groupBy(own).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("unit").alias("unit"))
     classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()))
-    wanted = min(MOST_PIVOTS, chunks_for(classes.count(), block))
+    n_classes = classes.count()
+    wanted = min(MOST_PIVOTS, chunks_for(n_classes, block))
     found: dict = {}
-    for r in classes.select("label", "dim", "key", "unit").orderBy(F.xxhash64("key"), "label", "key").limit(wanted).collect():  # at most MOST_PIVOTS
+    sample = classes.filter(hashed_share(F.col("key"), wanted, n_classes)).select("label", "dim", "key", "unit")
+    for r in sorted(sample.collect(), key=lambda r: (r.label, r.dim, bytes(r.key))):  # about MOST_PIVOTS at most
         found.setdefault((r.label, r.dim), []).append(bytes(r.unit))
     cells = stash(assign_cells(classes, {k: _matrix(v) for k, v in found.items()}, radius))
 
@@ -175,4 +177,4 @@ def near_vectors(
     known = stash(known.select(*own, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     out = rows.select("id", *own).join(known, own, "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
