@@ -114,12 +114,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with fingerprints at ``most`` or fewer differing bits are linked, ``component_id`` is
     the smallest id reachable. Null, empty and white-space texts have fingerprint zero and link like
     any other; an empty table gives no rows; further columns are ignored. Equal fingerprints are one
-    class from the start, so a large group of copies costs one candidate.
+    class from the start, so a large group of copies costs one candidate. Rows that repeat an id are
+    judged each by its own text; a group without any id has a null component.
     """
     fps = stash(fingerprints(docs, id_col, text_col, shingle))
     classes = stash(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    linked = connected_components(near_pairs(classes, most))
-    named = stash(classes.join(linked, classes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    linked = connected_components(near_pairs(classes.select(F.col("fp").alias("rep"), "fp"), most))
+    placed = stash(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")))
+    least = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = stash(placed.join(least, "group").select("fp", "component_id"))
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
