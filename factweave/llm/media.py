@@ -12,19 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import map_rows, record, stash, text_of
+from factweave.llm.common import free_name, map_rows, record, stash, text_of
 
 TILE = 24
 #: One tile of 8-bit samples.
 UNIT = TILE * TILE
 _REF = "sha256:"
-_SILENT = {"script", "style", "noscript", "template", "head", "title"}
+_SILENT = {"script", "style", "noscript", "template", "title"}
+#: Elements that end what runs on without its end tag.
+_BLOCKS = {"div", "li", "h1", "h2", "h3", "h4", "section", "article", "table", "tr", "ul", "ol", "nav", "footer", "header", "main", "aside", "body"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 ITEMS = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
 
 
 class _Sequence(HTMLParser):
-    """Items of a page in reading order. A figure's caption belongs to its media and is no text of its own."""
+    """Items of a page in reading order. A figure's caption belongs to its media and is no text of its own.
+
+    End tags may be missing: a head ends where the body begins, a caption with its figure, with the
+    next block or with the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -45,6 +51,10 @@ class _Sequence(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
+        if tag == "body":
+            self.silent = 0
+        if tag in _BLOCKS or tag in ("figure", "figcaption"):
+            self.end_caption()
         if tag in _SILENT:
             self.silent += 1
         elif tag in _MEDIA and (src := found.get("src")):
@@ -59,23 +69,40 @@ class _Sequence(HTMLParser):
             self.flush()
             self.caption = []
         elif tag not in ("a", "b", "i", "em", "strong", "span"):
-            self.flush() if tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "section", "article", "table", "tr", "ul", "ol", "nav", "footer", "header") else self.text.append(" ")
+            if tag in _BLOCKS or (tag == "p" and self.caption is None):
+                self.flush()
+            else:
+                (self.text if self.caption is None else self.caption).append(" ")
 
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            self.caption = None
-            for at in self.figure:
-                self.items[at]["caption"] = caption or self.items[at]["caption"]
-            if not self.figure and caption:
-                self._add("text", text=caption)
+        elif tag == "head":
+            self.silent = 0
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
+            self.end_caption()
             self.figure = []
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "section", "article", "tr"):
+        elif tag in _BLOCKS or (tag == "p" and self.caption is None):
+            self.end_caption()
             self.flush()
 
+    def end_caption(self):
+        if self.caption is None:
+            return
+        caption = " ".join("".join(self.caption).split())
+        self.caption = None
+        for at in self.figure:
+            self.items[at]["caption"] = caption or self.items[at]["caption"]
+        if not self.figure and caption:
+            self._add("text", text=caption)
+
+    def close(self):
+        super().close()
+        self.end_caption()
+        self.flush()
+
     def handle_data(self, data):
         if not self.silent:
             (self.text if self.caption is None else self.caption).append(data)
@@ -88,13 +115,12 @@ def parse_sequence(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html)
     parser.close()
-    parser.flush()
     return parser.items
 
 
 def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with its HTML replaced by ``items``; all other columns stay."""
-    rest = [c for c in pages.columns if c != html_col]
+    """``pages`` with its HTML replaced by ``items``; all other columns stay, but for one called ``items``."""
+    rest = [c for c in pages.columns if c not in (html_col, "items")]
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,11 +143,13 @@ def resolve(parsed: DataFrame, media: DataFrame, key: str) -> DataFrame:
     execution splits, both sides being plain scans.
     """
     held = [c for c in media.columns if c != "digest"]
-    refs = parsed.select(key, F.explode("items").alias("item")).filter("item.digest is not null").select(key, "item.position", "item.digest")
-    found = refs.join(media, "digest").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*held)))).alias("_found"))
-    out = parsed.join(found, key, "left")
-    filled = F.transform("items", lambda i: i.withField("media", F.col("_found")[i["position"]]))
-    return out.withColumn("items", filled).drop("_found")
+    at = free_name("found", parsed.columns)
+    refs = parsed.select(F.col(key).alias("of"), F.explode("items").alias("item")).filter("item.digest is not null").select("of", "item.position", "item.digest")
+    known = media.select("digest", F.struct(*held).alias("media"))
+    found = refs.join(known, "digest").groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias(at))
+    out = parsed.join(found.withColumnRenamed("of", key), key, "left")
+    filled = F.transform("items", lambda i: i.withField("media", F.col(at)[i["position"]]))
+    return out.withColumn("items", filled).drop(at)
 
 
 def encode_samples(payload: bytes) -> bytes:
