@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.sources.rounds import settle
+
 
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys and no spaces, so that equal text means equal value; numbers lose trailing zeros."""
@@ -29,13 +31,12 @@ def kind_conflicts(statements: DataFrame, keys: list[str], kind: str, instance:
 def ingest(stored: DataFrame, incoming: DataFrame, identity: list[str], order: str) -> DataFrame:
     """The incoming statements that are new: not stored yet, and each once, the first to arrive.
 
-    Null identity parts count as equal. The anti-join and the window use the same keys, so the
-    window needs no further exchange.
+    Null identity parts count as equal to each other and to nothing else. Repeats collapse where they are
+    read, before the anti-join.
     """
-    first = Window.partitionBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]).orderBy(order)
-    same = reduce(lambda a, b: a & b, [incoming[c].eqNullSafe(stored[c]) for c in identity])
-    fresh = incoming.join(stored.select(*identity).distinct(), same, "left_anti")
-    return fresh.withColumn("_at", F.row_number().over(first)).filter("_at = 1").drop("_at")
+    once = incoming.groupBy(*identity).agg(F.min_by(F.struct(*incoming.columns), order).alias("first")).select("first.*")
+    same = reduce(lambda a, b: a & b, [once[c].eqNullSafe(stored[c]) for c in identity])
+    return once.join(stored.select(*identity).distinct(), same, "left_anti")
 
 
 def batch_links(statements: DataFrame, identity: list[str], batch: list[str]) -> DataFrame:
@@ -58,14 +59,17 @@ def record_digest(columns: list[str]) -> Column:
 
 
 def content_revision(records: DataFrame, key: str, columns: list[str], per_bucket: int = 1000) -> DataFrame:
-    """One digest of all records, whatever their order: records are hashed in key order within buckets, then the buckets.
+    """One digest of all records, whatever their order: records are hashed in key order within buckets, then the buckets, level by level.
 
-    ``key`` must be an integer; a bucket's list holds ``per_bucket`` keys, so no task gathers all.
+    ``key`` must be an integer; a bucket's list holds ``per_bucket`` keys at every level, so no task gathers all.
     """
     rows = records.select(F.col(key).alias("k"), record_digest(columns).alias("h"))
     join = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: F.concat_ws(":", x["k"].cast("string"), x["h"])), ","), 256)
     buckets = rows.groupBy(F.floor(F.col("k") / per_bucket).cast("long").alias("bucket")).agg(join("k").alias("h"), F.count("*").alias("n"))
     last = buckets.select(F.col("bucket").alias("k"), "h", "n")
+    while (last.agg(F.max("k") - F.min("k")).first()[0] or 0) >= per_bucket:
+        last = last.groupBy(F.floor(F.col("k") / per_bucket).cast("long").alias("bucket")).agg(join("k").alias("h"), F.sum("n").alias("n"))
+        last = settle(last.select(F.col("bucket").alias("k"), "h", "n"))
     return last.agg(F.sum("n").alias("records"), join("k").alias("revision"))
 
 

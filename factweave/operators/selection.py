@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,11 +90,23 @@ def selected_facts(selected: DataFrame, statements: DataFrame, sources: DataFram
     return selected.join(statements, [*keys, seq]).join(sources, source)
 
 
-def unique_fallback(wanted: DataFrame, facts: DataFrame, exact: list[str], target: list[str], fact_id: str) -> DataFrame:
-    """Provenance by exact key, else by the only fact with the same target; two candidates are none."""
-    by_key = facts.select(*exact, F.col(fact_id).alias("_exact")).dropDuplicates(exact)
-    by_target = facts.groupBy(*target).agg(F.count("*").alias("_n"), F.min(fact_id).alias("_only"))
-    j = wanted.join(by_key, exact, "left").join(by_target, target, "left")
+def unique_fallback(wanted: DataFrame, facts: DataFrame, exact: list[str], target: list[str], fact_id: str, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """Provenance by exact key, else by the only fact with the same target whose attributes agree; two candidates are none.
+
+    An attribute agrees if it is equal or missing on either side.
+    """
+    by_key = facts.groupBy(*exact).agg(F.min(fact_id).alias("_exact"))
+    own = [c for c in dict.fromkeys([*exact, *target, *attributes])]
+    asked = wanted.select(*own).distinct()
+    held = facts.select(*target, F.col(fact_id).alias("_id"), *[F.col(a).alias(f"_{a}") for a in attributes])
+    agree = reduce(lambda x, y: x & y, [F.col(a).isNull() | F.col(f"_{a}").isNull() | (F.col(a) == F.col(f"_{a}")) for a in attributes], F.lit(True))
+    by_target = asked.join(held, target).filter(agree).groupBy(*own).agg(F.count("*").alias("_n"), F.min("_id").alias("_only")) if attributes else facts.groupBy(*target).agg(F.count("*").alias("_n"), F.min(fact_id).alias("_only"))
+    j = wanted.join(by_key, exact, "left")
+    if attributes:
+        same = reduce(lambda x, y: x & y, [j[c].eqNullSafe(by_target[c]) for c in own])
+        j = j.join(by_target, same, "left").select(j["*"], "_n", "_only")
+    else:
+        j = j.join(by_target, target, "left")
     only = F.when(F.col("_n") == 1, F.col("_only"))
     how = F.when(F.col("_exact").isNotNull(), "exact").when(only.isNotNull(), "unique_target").when(F.col("_n") > 1, "ambiguous").otherwise("none")
     return j.withColumn(fact_id, F.coalesce("_exact", only)).withColumn("how", how).drop("_exact", "_n", "_only")

@@ -27,13 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def typed_lines(lines: DataFrame, column: str, schema: T.StructType = EVIDENCE, separator: str = ",") -> DataFrame:
     """Fields of delimited ``lines`` by a fixed schema, with ``reject``: why a row can't be used, or null.
 
-    A row is rejected for a wrong number of fields, a missing required field or a failed cast;
-    nothing is raised, so one bad row doesn't end a job.
+    The separator is taken as it is; a field in double quotes may hold it. A row is rejected for a
+    wrong number of fields, a missing required field or a failed cast; nothing is raised, so one bad
+    row doesn't end a job.
     """
-    parts = F.split(F.col(column), separator, -1)
-    raw = lambda i: F.nullif(F.trim(F.try_element_at(parts, F.lit(i + 1))), F.lit(""))
+    names = [f"f{i}" for i in range(len(schema))]
+    parsed = F.from_csv(F.col(column), ", ".join(f"{n} string" for n in [*names, "wrong"]), {"sep": separator, "escape": '"', "columnNameOfCorruptRecord": "wrong"})
+    lines = lines.select(parsed.alias("p"), (F.trim(column) == "").alias("blank"))
+    raw = lambda i: F.nullif(F.trim(F.col("p")[names[i]]), F.lit(""))
     values = [raw(i).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)]
-    bad = F.when(F.size(parts) != len(schema), F.lit("field_count"))
+    bad = F.when(F.col("p.wrong").isNotNull() | F.coalesce("blank", F.lit(True)), F.lit("field_count"))
     for i, f in enumerate(schema):
         if not f.nullable:
             bad = bad.when(raw(i).isNull(), F.lit(f"missing:{f.name}"))
