@@ -70,3 +70,43 @@ def merge_sessions(probes: DataFrame, key: str, session: str, order: str, outcom
       when x._o = 'timeout' then named_struct('state', if(acc.attempts + 1 >= {limit}, 'terminal', 'retryable'), 'attempts', acc.attempts + 1)
       else named_struct('state', x._o, 'attempts', acc.attempts + 1) end"""
     return seq.select(key, F.expr(f"aggregate(_t, {zero}, (acc, x) -> {step})").alias("r")).select(key, "r.state", "r.attempts")
+
+
+def next_batch(items: DataFrame, key: str, state: str, limit: int) -> DataFrame:
+    """``(key, part, rank)``: the items to probe next.
+
+    One retryable item and a spread of queued ones for the rest; if there is only one kind, a spread of
+    it. Ranks are those within the state's sorted ids.
+    """
+    if limit < 1:
+        raise ValueError("a batch has at least one item")
+    retry, queued = items.filter(F.col(state) == "retryable"), items.filter(F.col(state) == "queued")
+    some_retry, some_queued = bool(retry.head(1)), bool(queued.head(1))
+    part = lambda rows, n, name: spread_sample(rows, key, n).withColumn("part", F.lit(name))
+    if some_retry and some_queued and limit >= 2:
+        return part(retry, 1, "retryable").unionByName(part(queued, limit - 1, "queued"))
+    return part(queued, limit, "queued") if some_queued else part(retry, limit, "retryable")
+
+
+def campaign_report(items: DataFrame, state: str, attempts: str) -> DataFrame:
+    """One row: how many items there are and were tried, how often again, and outcomes as shares of those tried, rounded to eight places or null for none."""
+    s, n = F.col(state), F.coalesce(F.col(attempts), F.lit(0))
+    unknown = s.isin("retryable", "terminal")
+    counts = items.agg(
+        F.count("*").alias("candidates"),
+        F.count_if(n > 0).alias("attempted"),
+        F.coalesce(F.sum(F.greatest(n - 1, F.lit(0))), F.lit(0)).cast("long").alias("retries"),
+        F.count_if(s == "refresh_proven").alias("refresh_proven"),
+        F.count_if(s == "session_only").alias("session_limited"),
+        F.count_if(unknown).alias("unknown"),
+        F.count_if(s == "terminal").alias("terminal"),
+        F.count_if(s == "queued").alias("unattempted"),
+        F.count_if(s.isin("queued", "retryable")).alias("eligible"),
+    )
+    rate = lambda c: F.when(F.col("attempted") > 0, F.bround(F.col(c) / F.col("attempted"), 8)).alias(f"{c}_rate")
+    return counts.select("*", rate("refresh_proven"), rate("session_limited"), rate("unknown"))
+
+
+def field_counts(items: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """One row: all items, and how many pass each named test."""
+    return items.agg(F.count("*").alias("items"), *[F.count_if(test).alias(name) for name, test in tests.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.sources.rounds import settle
@@ -14,46 +14,50 @@ def traverse(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int)
     ``nodes(root, node, depth)`` has the least depth. ``links(root, a, b, depth, cycle)`` lists each
     edge out of a visited node, also to nodes seen before; it closes a cycle if its target is on the
     path by which its source was reached. Nodes beyond ``max_nodes`` per root, in the order of depth,
-    parent's order and id, are left out. Paths are as long as the depth, 20 at most.
+    parent's order and id, are left out; that is the order of paths, which are as long as the depth, 20
+    at most. Each depth is written once, links are made in the end.
     """
     if not 0 <= max_depth <= 20 or not 1 <= max_nodes <= 500:
         raise ValueError("depth is 0 to 20, nodes 1 to 500")
-    frontier = settle(roots.select("root", F.col("root").alias("node"), F.array(F.col("root")).alias("path"), F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("rank")))
+    frontier = settle(roots.select("root", F.col("root").alias("node"), F.array(F.col("root")).alias("path"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("have")))
     nodes = frontier
-    links = None
     for depth in range(1, max_depth + 1):
-        out = frontier.join(edges, frontier["node"] == edges["a"]).select("root", "a", "b", F.lit(depth).alias("depth"), F.array_contains("path", F.col("b")).alias("cycle"), "path", "rank")
-        out = settle(out)
-        step = out.select("root", "a", "b", "depth", "cycle")
-        links = step if links is None else links.unionByName(step)
+        out = frontier.join(edges, frontier["node"] == edges["a"]).select("root", "b", F.concat("path", F.array("b")).alias("path"), "have")
         fresh = out.join(nodes.select("root", F.col("node").alias("b")), ["root", "b"], "left_anti")
-        order = F.concat("rank", F.array(F.col("b").cast("long")))
-        fresh = fresh.groupBy("root", F.col("b").alias("node")).agg(F.min(F.struct(order.alias("rank"), F.concat("path", F.array("b")).alias("path"))).alias("best"))
-        fresh = fresh.select("root", "node", "best.path", F.lit(depth).alias("depth"), "best.rank")
-        fresh = settle(_within_budget(nodes, fresh, max_nodes))
-        nodes = nodes.unionByName(fresh)
-        frontier = fresh
+        fresh = fresh.groupBy("root", F.col("b").alias("node")).agg(F.min("path").alias("path"), F.max("have").alias("have"))
+        own = Window.partitionBy("root")
+        fresh = fresh.withColumn("at", F.row_number().over(own.orderBy("path"))).withColumn("new", F.count("*").over(own)).filter(F.col("at") + F.col("have") <= max_nodes)
+        frontier = settle(fresh.select("root", "node", "path", F.lit(depth).alias("depth"), (F.col("have") + F.col("new")).alias("have")))
+        nodes = nodes.unionByName(frontier)
         if not frontier.head(1):
             break
-    return nodes.select("root", "node", "depth"), links if links is not None else edges.limit(0).select(F.col("a").alias("root"), "a", "b", F.lit(0).alias("depth"), F.lit(False).alias("cycle"))
+    inner = nodes.filter(F.col("depth") < max_depth)
+    links = inner.join(edges, inner["node"] == edges["a"]).select("root", "a", "b", (F.col("depth") + 1).alias("depth"), F.array_contains("path", F.col("b")).alias("cycle"))
+    return nodes.select("root", "node", "depth"), links
 
 
-def _within_budget(nodes: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
-    from pyspark.sql import Window
+def traversal_flags(nodes: DataFrame, links: DataFrame, edges: DataFrame, max_depth: int, known: DataFrame | None = None, partial: DataFrame | None = None) -> DataFrame:
+    """Per root: how many nodes, the deepest, and what has to be said about the result.
 
-    have = nodes.groupBy("root").agg(F.count("*").alias("_have"))
-    at = F.row_number().over(Window.partitionBy("root").orderBy("rank"))
-    return fresh.withColumn("_at", at).join(have, "root").filter(F.col("_at") + F.col("_have") <= most).drop("_at", "_have")
-
-
-def traversal_flags(nodes: DataFrame, links: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """Per root: nodes, deepest, whether a node had more than one neighbour, whether a cycle closed, and whether depth cut it off."""
+    ``ambiguous``: a node had more than one neighbour. ``cycle``: a link leads back onto its path.
+    ``unresolved``: a link's target is not among ``known(node)``. ``incomplete``: a visited node's own set
+    is one of ``partial(node)``. ``truncated_by_depth``: a node at the last depth has neighbours.
+    ``truncated_by_budget``: a link's target was left out for the number of nodes.
+    """
     per = nodes.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"))
     branch = links.groupBy("root", "a").agg(F.count("*").alias("n"), F.bool_or("cycle").alias("cycle"))
     branch = branch.groupBy("root").agg(F.bool_or(F.col("n") > 1).alias("ambiguous"), F.bool_or("cycle").alias("cycle"))
-    beyond = nodes.filter(F.col("depth") == max_depth).join(edges.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct().withColumn("truncated", F.lit(True))
-    out = per.join(branch, "root", "left").join(beyond, "root", "left")
-    return out.select("root", "nodes", "deepest", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("ambiguous", "cycle", "truncated")])
+    roots_of = lambda rows, name: rows.select("root").distinct().withColumn(name, F.lit(True))
+    flags = [roots_of(nodes.filter(F.col("depth") == max_depth).join(edges.select(F.col("a").alias("node")), "node", "left_semi"), "truncated_by_depth")]
+    flags.append(roots_of(links.join(nodes.select("root", F.col("node").alias("b")), ["root", "b"], "left_anti"), "truncated_by_budget"))
+    if known is not None:
+        flags.append(roots_of(links.join(known.select(F.col("node").alias("b")), "b", "left_anti"), "unresolved"))
+    if partial is not None:
+        flags.append(roots_of(nodes.join(partial.select("node"), "node", "left_semi"), "incomplete"))
+    out = per.join(branch, "root", "left")
+    for flag in flags:
+        out = out.join(flag, "root", "left")
+    return out.select("root", "nodes", "deepest", *[F.coalesce(c, F.lit(False)).alias(c) for c in out.columns if c not in ("root", "nodes", "deepest")])
 
 
 def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.sources.rounds import settle
+
 EPSILON = 1e-9
 
 
@@ -65,12 +67,13 @@ def pair_distances(left: DataFrame, right: DataFrame, bucket: list[str], member:
 def nearest(pairs: DataFrame, bucket: list[str]) -> DataFrame:
     """Pairs that are nearest from either side, ties within epsilon kept, and whether mutually so.
 
-    Minima come from map-side combined aggregates, so a crowded bucket is not sorted in one task.
+    Pairs are made once: both windows keep the partitioning by bucket that the pairs' join has, so
+    they sort but don't shuffle, and hold one member's partners at a time.
     """
-    per = lambda side: pairs.groupBy(*bucket, side).agg(F.min("distance").alias(f"_min_{side}"), F.count("*").alias(f"candidates_{side}"))
-    j = pairs.join(per("a"), [*bucket, "a"]).join(per("b"), [*bucket, "b"])
-    j = j.withColumn("nearest_a", F.col("distance") <= F.col("_min_a") + EPSILON).withColumn("nearest_b", F.col("distance") <= F.col("_min_b") + EPSILON)
-    return j.filter("nearest_a or nearest_b").withColumn("mutual", F.col("nearest_a") & F.col("nearest_b")).drop("_min_a", "_min_b")
+    of = {side: Window.partitionBy(*bucket, side) for side in "ab"}
+    near = lambda side: (F.col("distance") <= F.min("distance").over(of[side]) + EPSILON).alias(f"nearest_{side}")
+    j = pairs.select("*", near("a"), F.count("*").over(of["a"]).alias("candidates_a")).select("*", near("b"), F.count("*").over(of["b"]).alias("candidates_b"))
+    return j.filter("nearest_a or nearest_b").withColumn("mutual", F.col("nearest_a") & F.col("nearest_b"))
 
 
 def band(distance: Column, edges: tuple[float, ...]) -> Column:
@@ -85,12 +88,20 @@ def band(distance: Column, edges: tuple[float, ...]) -> Column:
 def cumulative_share(totals: DataFrame, key: str, total: str) -> DataFrame:
     """Rank by total, running total and its share in percent, rounded to six places, half to even.
 
-    The window is over the aggregated keys only.
+    Keys are ranked inside ranges of the order, each of which starts where those before it end, so
+    no task sorts all of them.
     """
-    order = Window.orderBy(F.desc(total), key)
-    running = F.sum(total).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    everything = F.sum(total).over(Window.partitionBy())
-    return totals.select(key, total, F.row_number().over(order).alias("rank"), running.alias("running"), F.bround(running * 100.0 / everything, 6).alias("share"))
+    order = [F.desc(total), F.col(key)]
+    parts = settle(totals.select(key, total).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(total).alias("_t"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = sizes.select("_p", upto("_n").alias("_rank"), upto("_t").alias("_sum"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
+    own = Window.partitionBy("_p").orderBy(*order)
+    rows = parts.withColumn("_at", F.row_number().over(own)).withColumn("_own", F.sum(total).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    running = F.col("_sum") + F.col("_own")
+    rows = rows.join(F.broadcast(starts), "_p")
+    return rows.select(key, total, (F.col("_rank") + F.col("_at")).alias("rank"), running.alias("running"), F.bround(running * 100.0 / F.col("_all"), 6).alias("share"))
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

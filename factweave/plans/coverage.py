@@ -12,8 +12,9 @@ from factweave.sources import bindings as b
 from factweave.sources import tables
 
 DEPTH = 6
-_WALK = f""", walk AS (SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth FROM orders UNION SELECT w.root, e.b, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.a WHERE w.depth < {DEPTH}),
-  nodes AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL)"""
+_WALK = f""", walk AS (SELECT o_orderkey AS root, o_orderkey AS node, [o_orderkey] AS path, 0 AS depth FROM orders UNION ALL SELECT w.root, e.b, list_append(w.path, e.b), w.depth + 1 FROM walk w JOIN edges e ON w.node = e.a WHERE w.depth < {DEPTH}),
+  best AS (SELECT root, node, path, depth FROM (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY depth, path) AS nth FROM walk) WHERE nth = 1), nodes AS (SELECT root, node, depth FROM best)"""
+_LINKS = f", links AS (SELECT n.root, e.a, e.b, n.depth + 1 AS depth, list_contains(n.path, e.b) AS cycle FROM best n JOIN edges e ON n.node = e.a WHERE n.depth < {DEPTH})"
 
 
 def _walk(spark: SparkSession, sf: str, depth: int = DEPTH):
@@ -28,26 +29,51 @@ def g01(spark: SparkSession, sf: str) -> DataFrame:
     return _walk(spark, sf)[0]
 
 
-@query("g01_traverse_links", b.with_views("edges") + _WALK + f" SELECT n.root, e.a, e.b, n.depth + 1 AS depth FROM nodes n JOIN edges e ON n.node = e.a WHERE n.depth < {DEPTH}")
+@query("g01_traverse_links", b.with_views("edges") + _WALK + _LINKS + " SELECT * FROM links")
 def g01_links(spark: SparkSession, sf: str) -> DataFrame:
-    return _walk(spark, sf)[1].drop("cycle")
+    return _walk(spark, sf)[1]
 
 
 @query(
     "g02_traversal_flags",
     b.with_views("edges")
     + _WALK
-    + f""", ln AS (SELECT n.root, e.a, count(*) AS n FROM nodes n JOIN edges e ON n.node = e.a WHERE n.depth < {DEPTH} GROUP BY ALL)
-  SELECT n.root, count(*) AS nodes, max(depth) AS deepest, coalesce((SELECT bool_or(ln.n > 1) FROM ln WHERE ln.root = n.root), false) AS ambiguous, bool_or(depth = {DEPTH} AND node IN (SELECT a FROM edges)) AS truncated FROM nodes n GROUP BY n.root""",
+    + _LINKS
+    + f""", ln AS (SELECT root, a, count(*) AS n FROM links GROUP BY ALL), amb AS (SELECT root, bool_or(n > 1) AS ambiguous FROM ln GROUP BY root),
+  l AS (SELECT root, bool_or(cycle) AS cycle, bool_or(b % 7 = 2) AS unresolved FROM links GROUP BY root)
+  SELECT n.root, count(*) AS nodes, max(depth) AS deepest, coalesce(any_value(ambiguous), false) AS ambiguous, coalesce(any_value(cycle), false) AS cycle, bool_or(depth = {DEPTH} AND node IN (SELECT a FROM edges)) AS truncated_by_depth,
+   false AS truncated_by_budget, coalesce(any_value(unresolved), false) AS unresolved, bool_or(node % 6 = 5) AS incomplete FROM nodes n LEFT JOIN amb USING (root) LEFT JOIN l USING (root) GROUP BY n.root""",
 )
 def g02(spark: SparkSession, sf: str) -> DataFrame:
     nodes, links, edges = _walk(spark, sf)
-    return g.traversal_flags(nodes, links, edges, DEPTH).drop("cycle")
+    orders = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"))
+    return g.traversal_flags(nodes, links, edges, DEPTH, known=orders.filter("node % 7 <> 2"), partial=orders.filter("node % 6 = 5"))
 
 
-@query("g03_strong_components")
+BUDGET = 4
+
+
+@query(
+    "g02_budget_flags",
+    b.with_views("edges")
+    + _WALK
+    + """, placed AS (SELECT b.root, b.node, b.depth, row_number() OVER (PARTITION BY b.root ORDER BY b.depth, b.path) AS nth FROM best b)"""
+    + f""", d1 AS (SELECT * FROM placed WHERE depth <= 1), one AS (SELECT root, node, depth FROM d1 WHERE nth <= {BUDGET})
+  SELECT root, count(*) AS nodes, bool_or(cut) AS truncated_by_budget FROM (SELECT root, node, nth <= {BUDGET} AS held, nth > {BUDGET} AS cut FROM d1) GROUP BY root""".replace("count(*) AS nodes", "count(*) FILTER (held) AS nodes"),
+)
+def g02_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """One step from every order with room for few nodes."""
+    roots = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("root"))
+    edges = b.edges(spark, sf)
+    nodes, links = g.traverse(edges, roots, 1, BUDGET)
+    return g.traversal_flags(nodes, links, edges, 1).select("root", "nodes", "truncated_by_budget")
+
+
+@query(
+    "g03_strong_components",
+    b.with_views("edges") + ", reach AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a) SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a",
+)
 def g03(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL: the transitive closure that it needs doesn't end in time on whole tables; a test compares with a serial form."""
     return g.strong_components(b.edges(spark, sf))
 
 
@@ -71,14 +97,36 @@ def f01(spark: SparkSession, sf: str) -> DataFrame:
     return cov.id_coverage(b.templates(spark, sf), b.loot(spark, sf).filter("item_id % 4 <> 0"), "item_id")
 
 
+DISTRIBUTED = ("quality", "class_id", "subclass_id", "inventory_type", "required_level")
+
+
 @query(
     "f01_distributions",
-    b.with_views("templates") + "SELECT concat_ws('+', CASE WHEN grouping(quality) = 0 THEN 'quality' END, CASE WHEN grouping(class) = 0 THEN 'class' END, CASE WHEN grouping(required_level) = 0 THEN 'required_level' END) AS level, quality, class, required_level, count(*) AS n FROM templates GROUP BY GROUPING SETS ((quality), (class), (required_level))",
+    b.with_views("templates")
+    + f"SELECT concat_ws('+', {', '.join(f"CASE WHEN grouping({c}) = 0 THEN '{c}' END" for c in DISTRIBUTED)}) AS level, {', '.join(DISTRIBUTED)}, count(*) AS n FROM templates GROUP BY GROUPING SETS ({', '.join(f'({c})' for c in DISTRIBUTED)})",
 )
 def f01_distributions(spark: SparkSession, sf: str) -> DataFrame:
     from factweave.operators.audit import levels
 
-    return levels(b.templates(spark, sf).select("quality", "class", "required_level"), [["quality"], ["class"], ["required_level"]], n=F.count("*"))
+    return levels(b.templates(spark, sf).select(*DISTRIBUTED), [[c] for c in DISTRIBUTED], n=F.count("*"))
+
+
+@query(
+    "f01_restrictions",
+    b.with_views("templates") + "SELECT count(*) AS items, count(*) FILTER (required_level > 0) AS level_restricted, count(*) FILTER (max_durability IS NOT NULL) AS with_durability, count(*) FILTER (armor > 0) AS with_armor, count(*) FILTER (holy_resistance + fire_resistance + nature_resistance + frost_resistance + shadow_resistance + arcane_resistance > 0) AS with_resistance, count(*) FILTER (t0 <> 0 OR v0 <> 0 OR t1 <> 0 OR v1 <> 0) AS with_stats FROM templates",
+)
+def f01_restrictions(spark: SparkSession, sf: str) -> DataFrame:
+    """How many items have a restriction or a non-empty field."""
+    return cov.field_counts(
+        b.templates(spark, sf),
+        {
+            "level_restricted": F.col("required_level") > 0,
+            "with_durability": F.col("max_durability").isNotNull(),
+            "with_armor": F.col("armor") > 0,
+            "with_resistance": sum((F.col(f"{r}_resistance") for r in b.RESISTANCES), F.lit(0)) > 0,
+            "with_stats": F.exists("stats", lambda s: (s["type"] != 0) | (s["value"] != 0)),
+        },
+    )
 
 
 @query("f02_spread_sample", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank, count(*) OVER () AS n FROM orders) SELECT o_orderkey, rank FROM r WHERE rank IN (SELECT CAST(round_even(i * (n - 1) / 99, 0) AS BIGINT) FROM range(100) t(i), (SELECT any_value(n) AS n FROM r))")
@@ -145,10 +193,41 @@ def f07(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", F.when(F.col("state").isin("queued", "retryable") & F.col("present"), "retired").otherwise(F.col("state")).alias("state"))
 
 
-@query("f08_next_batch", b.with_views("probes") + _FOLD + " SELECT min(item_id) FILTER (state = 'retryable') AS retry, count(*) FILTER (state = 'unknown') AS open FROM merged")
+_CAMPAIGN = _FOLD + ", items AS (SELECT c_custkey AS item_id, coalesce(m.state, 'queued') AS state, coalesce(m.attempts, 0) AS attempts FROM customer LEFT JOIN merged m ON m.item_id = c_custkey)"
+BATCH = 20
+
+
+def campaign(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer's id as a candidate; those without a session are queued."""
+    ids = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("item_id"))
+    rows = ids.join(merged(spark, sf), "item_id", "left")
+    return rows.select("item_id", F.coalesce("state", F.lit("queued")).alias("state"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+@query(
+    "f08_next_batch",
+    b.with_views("probes")
+    + _CAMPAIGN
+    + f""", r AS (SELECT item_id, state, row_number() OVER (PARTITION BY state ORDER BY item_id) - 1 AS rank, count(*) OVER (PARTITION BY state) AS n FROM items WHERE state IN ('queued', 'retryable')),
+  kinds AS (SELECT bool_or(state = 'queued') AS q, bool_or(state = 'retryable') AS t FROM r), room AS (SELECT CASE WHEN q AND t THEN {BATCH - 1} WHEN q THEN {BATCH} ELSE 0 END AS q, CASE WHEN q AND t THEN 1 WHEN t THEN {BATCH} ELSE 0 END AS t FROM kinds),
+  w AS (SELECT r.*, CASE state WHEN 'queued' THEN room.q ELSE room.t END AS room FROM r, room)
+  SELECT item_id, state AS part, rank FROM w WHERE room > 0 AND (n <= room OR (room = 1 AND rank = (n - 1) // 2) OR (room > 1 AND rank IN (SELECT CAST(round_even(i * (n - 1) / (room - 1), 0) AS BIGINT) FROM range(room) t(i))))""",
+)
 def f08(spark: SparkSession, sf: str) -> DataFrame:
-    """One retryable item and how many are still open."""
-    return merged(spark, sf).agg(F.min(F.when(F.col("state") == "retryable", F.col("item_id"))).alias("retry"), F.count_if(F.col("state") == "unknown").alias("open"))
+    """One retryable item and a spread of the queued ones."""
+    return cov.next_batch(campaign(spark, sf), "item_id", "state", BATCH).select("item_id", "part", "rank")
+
+
+@query(
+    "f09_campaign_totals",
+    b.with_views("probes")
+    + _CAMPAIGN
+    + """, t AS (SELECT count(*) AS candidates, count(*) FILTER (attempts > 0) AS attempted, CAST(sum(greatest(attempts - 1, 0)) AS BIGINT) AS retries, count(*) FILTER (state = 'refresh_proven') AS refresh_proven, count(*) FILTER (state = 'session_only') AS session_limited,
+   count(*) FILTER (state IN ('retryable', 'terminal')) AS unknown, count(*) FILTER (state = 'terminal') AS terminal, count(*) FILTER (state = 'queued') AS unattempted, count(*) FILTER (state IN ('queued', 'retryable')) AS eligible FROM items)
+  SELECT *, round_even(refresh_proven / attempted, 8) AS refresh_proven_rate, round_even(session_limited / attempted, 8) AS session_limited_rate, round_even(unknown / attempted, 8) AS unknown_rate FROM t""",
+)
+def f09_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return cov.campaign_report(campaign(spark, sf), "state", "attempts")
 
 
 @query("f09_campaign_report", b.with_views("probes") + _FOLD + " SELECT state, count(*) AS items, CAST(sum(attempts) AS BIGINT) AS attempts, round_even(count(*) / (SELECT count(*) FROM merged), 8) AS share FROM merged GROUP BY state")
