@@ -33,8 +33,11 @@ NEEDS: dict[str, tuple[str, ...]] = {}
 
 # -- items ---------------------------------------------------------------------------------------
 SQL["items"] = "SELECT p_partkey AS item_id, p_name AS name FROM part"
-SQL["templates"] = """SELECT p_partkey AS item_id, p_size % 6 AS quality, p_size AS item_level, p_size // 2 AS required_level,
-  p_type AS class, CAST(floor(p_retailprice) AS BIGINT) AS armor, p_partkey % 7 AS t0, p_size AS v0, p_size % 5 AS t1, p_partkey % 11 AS v1
+RESISTANCES = ("holy", "fire", "nature", "frost", "shadow", "arcane")
+SQL["templates"] = f"""SELECT p_partkey AS item_id, p_size % 6 AS quality, p_size AS item_level, p_size // 2 AS required_level,
+  p_type AS class, CAST(floor(p_retailprice) AS BIGINT) AS armor, p_partkey % 7 AS t0, p_size AS v0, p_size % 5 AS t1, p_partkey % 11 AS v1,
+  p_partkey % 16 AS class_id, p_size % 8 AS subclass_id, p_partkey % 28 AS inventory_type, CASE WHEN p_partkey % 4 <> 0 THEN p_size * 2 END AS max_durability,
+  {", ".join(f"(p_partkey // {k + 2}) % {k + 3} AS {r}_resistance" for k, r in enumerate(RESISTANCES))}
   FROM part WHERE p_partkey % 10 <> 3"""
 
 
@@ -57,6 +60,11 @@ def templates(spark: SparkSession, sf: str) -> DataFrame:
             F.col("p_type").alias("class"),
             F.floor("p_retailprice").cast("long").alias("armor"),
             F.array(stat(0, key % 7, size), stat(1, size % 5, key % 11)).alias("stats"),
+            (key % 16).alias("class_id"),
+            (size % 8).alias("subclass_id"),
+            (key % 28).alias("inventory_type"),
+            F.when(key % 4 != 0, size * 2).alias("max_durability"),
+            *[F.expr(f"(p_partkey div {k + 2}) % {k + 3}").alias(f"{r}_resistance") for k, r in enumerate(RESISTANCES)],
         )
     )
 
@@ -212,32 +220,32 @@ def patch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- set versions --------------------------------------------------------------------------------
-SQL["members"] = """SELECT l_suppkey AS parent, l_partkey AS member, bool_or(l_orderkey % 5 IN (0, 1)) AS in_base, bool_or(l_orderkey % 5 IN (1, 2)) AS in_active,
-  bool_or(l_orderkey % 5 IN (1, 3)) AS in_comparison, min(l_linestatus) AS context, min(l_quantity) AS x, CAST(round(min(l_tax) * 100) AS DOUBLE) * 10 AS y
-  FROM lineitem WHERE l_orderkey % 5 IN (0, 1, 2, 3) GROUP BY l_suppkey, l_partkey"""
+SQL["members"] = """SELECT l_suppkey AS parent, l_partkey AS member, l_suppkey % 13 <> 6 AND bool_or(l_orderkey % 5 IN (0, 1)) AS in_base,
+  l_suppkey % 10 <> 7 AND CASE WHEN l_suppkey % 4 = 1 THEN l_suppkey % 13 <> 6 AND bool_or(l_orderkey % 5 IN (0, 1)) WHEN l_suppkey % 7 = 3 THEN bool_or(l_orderkey % 5 IN (0, 1, 2)) ELSE bool_or(l_orderkey % 5 IN (1, 2)) END AS in_active,
+  l_suppkey % 9 <> 4 AND bool_or(l_orderkey % 5 IN (1, 3)) AS in_comparison, min(l_linestatus) AS context, min(l_quantity) AS x, CAST(round(min(l_tax) * 100) AS DOUBLE) * 10 AS y
+  FROM lineitem GROUP BY l_suppkey, l_partkey"""
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    """Members of each parent with the versions that hold them, and a place for each."""
-    kind = F.col("l_orderkey") % 5
-    return (
-        table(spark, sf, "lineitem")
-        .filter(kind.isin(0, 1, 2, 3))
-        .groupBy(F.col("l_suppkey").alias("parent"), F.col("l_partkey").alias("member"))
-        .agg(
-            F.bool_or(kind.isin(0, 1)).alias("in_base"),
-            F.bool_or(kind.isin(1, 2)).alias("in_active"),
-            F.bool_or(kind.isin(1, 3)).alias("in_comparison"),
-            F.min("l_linestatus").alias("context"),
-            F.min("l_quantity").alias("x"),
-            (F.round(F.min("l_tax") * 100).cast("double") * 10).alias("y"),
-        )
-    )
+    """Members of each parent with the versions that hold them, and a place for each.
+
+    Some parents are in two versions only, are unchanged, or only grow; a member may be in none.
+    """
+    kind, parent = F.col("l_orderkey") % 5, F.col("parent")
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("parent"), F.col("l_partkey").alias("member"))
+    held = lambda *kinds: F.bool_or(kind.isin(*kinds))
+    rows = rows.agg(
+        held(0, 1).alias("_base"), held(0, 1, 2).alias("_grown"), held(1, 2).alias("_other"), held(1, 3).alias("_comparison"),
+        F.min("l_linestatus").alias("context"), F.min("l_quantity").alias("x"), (F.round(F.min("l_tax") * 100).cast("double") * 10).alias("y"),
+    )
+    base = (parent % 13 != 6) & F.col("_base")
+    active = F.when(parent % 4 == 1, base).when(parent % 7 == 3, F.col("_grown")).otherwise(F.col("_other"))
+    return rows.select("parent", "member", base.alias("in_base"), ((parent % 10 != 7) & active).alias("in_active"), ((parent % 9 != 4) & F.col("_comparison")).alias("in_comparison"), "context", "x", "y")
 
 
 # -- quests and their graph ----------------------------------------------------------------------
 SQL["quests"] = """SELECT o_orderkey AS quest_id, o_orderpriority AS title, CASE WHEN o_orderkey % 8 = 7 THEN NULL ELSE CAST(floor(o_totalprice / 10000) AS INTEGER) END AS level,
-  o_custkey AS giver FROM orders"""
+  CASE WHEN o_orderkey % 9 <> 4 THEN CAST(floor(o_totalprice / 20000) AS INTEGER) END AS minimum_level, o_custkey AS giver FROM orders"""
 SQL["objectives"] = "SELECT DISTINCT l_orderkey AS quest_id, l_partkey AS item_id, l_suppkey AS creature_id FROM lineitem"
 SQL["edges"] = """SELECT DISTINCT a, b FROM (
   SELECT o_orderkey AS a, lag(o_orderkey) OVER w AS b, o_custkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
@@ -248,7 +256,8 @@ SQL["edges"] = """SELECT DISTINCT a, b FROM (
 
 def quests(spark: SparkSession, sf: str) -> DataFrame:
     level = F.when(F.col("o_orderkey") % 8 != 7, F.floor(F.col("o_totalprice") / 10000).cast("int"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("quest_id"), F.col("o_orderpriority").alias("title"), level.alias("level"), F.col("o_custkey").alias("giver"))
+    least = F.when(F.col("o_orderkey") % 9 != 4, F.floor(F.col("o_totalprice") / 20000).cast("int"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("quest_id"), F.col("o_orderpriority").alias("title"), level.alias("level"), least.alias("minimum_level"), F.col("o_custkey").alias("giver"))
 
 
 def objectives(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +283,7 @@ SQL["recipes"] = "SELECT p_partkey AS recipe_id, p_name AS name, CASE WHEN p_par
 SQL["teaching"] = """SELECT 'item' AS kind, p_partkey AS source_id, p_partkey - 1 AS recipe_id FROM part WHERE p_partkey % 4 = 1 AND p_partkey > 1
   UNION SELECT 'trainer', l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 4 = 0 AND l_returnflag = 'N' AND l_linenumber = 1
   UNION SELECT 'quest', l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 4 = 0 AND l_returnflag = 'R' AND l_linenumber = 2"""
-SQL["reagents"] = "SELECT DISTINCT l_partkey - l_partkey % 4 AS recipe_id, CAST(l_linenumber AS INTEGER) AS slot, l_suppkey * 20 AS item_id, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 16 = 1"
+SQL["reagents"] = "SELECT DISTINCT l_partkey - l_partkey % 4 AS recipe_id, CAST(l_linenumber + l_orderkey % 3 AS INTEGER) AS slot, l_suppkey * 20 AS item_id, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem"
 
 
 def recipes(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,9 +301,9 @@ def teaching(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reagents(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").filter("l_linenumber <= 3 and l_orderkey % 16 = 1")
+    """From every line; some slots are out of range."""
     part = F.col("l_partkey")
-    return line.select((part - part % 4).alias("recipe_id"), F.col("l_linenumber").alias("slot"), (F.col("l_suppkey") * 20).alias("item_id"), F.col("l_quantity").cast("long").alias("quantity")).distinct()
+    return table(spark, sf, "lineitem").select((part - part % 4).alias("recipe_id"), (F.col("l_linenumber") + F.col("l_orderkey") % 3).cast("int").alias("slot"), (F.col("l_suppkey") * 20).alias("item_id"), F.col("l_quantity").cast("long").alias("quantity")).distinct()
 
 
 # -- change log and probes -----------------------------------------------------------------------
