@@ -190,3 +190,26 @@ def test_next_batch_spreads_by_state(spark, queued, retry, want):
     assert {(r.part, r.n) for r in out.groupBy("part").agg(F.count("*").alias("n")).collect()} == want
     if retry and queued:
         assert out.filter("part = 'retryable'").first().item == 100 + (retry - 1) // 2
+
+
+def test_zone_inspection_limits_and_says_so(spark):
+    from factweave.operators.details import inspect_zones
+
+    zones = spark.createDataFrame([(1, "North"), (2, "South"), (3, "Empty")], "zone_id int, zone_name string")
+    spawns = spark.createDataFrame([("creature", k, 1) for k in range(5)] + [("creature", 0, 1), ("object", 9, 2), ("creature", 4, None)], "kind string, id long, zone_id int")
+    loot = spark.createDataFrame([(0, 50, "direct", None, 5, None), (0, 50, "vendor", None, None, 3), (1, 50, "vendor", None, None, 1), (4, 51, "direct", None, 1, None)], "source_id long, item_id long, family string, reference_id int, chance int, max_count int")
+    ends = spark.createDataFrame([(7, "given", "creature", 0), (7, "given", "creature", 1), (8, "finished", "object", 9), (9, "given", "creature", 4)], "quest_id long, role string, kind string, id long")
+    trainers = spark.createDataFrame([(0, 100, True), (1, 101, False), (1, 102, False)], "trainer_id long, recipe_id long, known boolean")
+    evidence = spark.createDataFrame([(1, "creature", 0, 100, "trainer"), (1, "creature", 1, 100, "item"), (1, "creature", 1, 101, "item"), (1, "creature", 4, 103, "item")], "zone_id int, kind string, id long, recipe_id long, evidence string")
+    found = inspect_zones(zones, spawns, loot, ends, trainers, evidence, entity_limit=2, recipe_limit=1)
+    row = {r.zone_id: r for r in found.coverage.collect()}
+    assert (row[1].entities_total, row[1].entities, row[1].items, row[1].quests, row[1].vendors, row[1].trainers, row[1].recipes_shown, row[1].entities_truncated, row[1].recipes_truncated) == (5, 2, 1, 1, 2, 2, 2, True, True)
+    assert (row[3].entities, row[3].entities_truncated, row[3].recipes_truncated) == (0, False, False)
+    assert [(p.source_id, p.family) for p in found.items.first().paths] == [(0, "direct"), (0, "vendor"), (1, "vendor")]
+    assert {(r.trainer_id, r.state): r.recipes for r in found.trainers.collect()} == {(0, "known"): [100], (1, "unresolved"): [101, 102]}
+    assert [(r.recipe_id, r.evidence) for r in found.recipes.collect()] == [(100, ["item", "trainer"])]
+    bare = inspect_zones(zones.filter("zone_id = 2"), spawns, loot, ends, trainers, None)
+    assert bare.recipes is None and [(r.zone_id, r.quests, r.recipes_truncated) for r in bare.coverage.collect()] == [(2, 1, None)]
+    for limits in ({"entity_limit": 0}, {"recipe_limit": 1001}):
+        with pytest.raises(ValueError):
+            inspect_zones(zones, spawns, loot, ends, trainers, None, **limits)
