@@ -106,3 +106,27 @@ def cumulative_share(totals: DataFrame, key: str, total: str) -> DataFrame:
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+STATES = ("comparison_only", "active_only", "same_value", "different_value", "not_directly_comparable")
+
+
+def comparison_report(compared: DataFrame, *, kinds: tuple[str, ...] | None = None, families: tuple[str, ...] | None = None, states: tuple[str, ...] = STATES, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """``(counts, examples)`` of ``compared(subject_kind, fact_family, state, ...)``: counts by kind, family and state over all that the filters leave, and the first rows in the wanted states."""
+    if not states or not set(states) <= set(STATES):
+        raise ValueError(f"states are some of {', '.join(STATES)}")
+    if isinstance(limit, bool) or not 1 <= limit <= 1000:
+        raise ValueError("limit is 1 to 1000")
+    rows = compared
+    for column, wanted in (("subject_kind", kinds), ("fact_family", families)):
+        if wanted is not None:
+            rows = rows.filter(F.col(column).isin(*wanted))
+    counts = rows.groupBy("subject_kind", "fact_family").agg(*[F.count_if(F.col("state") == s).alias(s) for s in STATES])
+    return counts, rows.filter(F.col("state").isin(*states)).orderBy("subject_kind", "subject_key", "fact_key").limit(limit)
+
+
+def pair_classes(near: DataFrame, left: str, right: str, distance: Column) -> DataFrame:
+    """Nearest pairs by the patterns of both members and the distance's band: all, mutual, and how many partners tie for nearest."""
+    ties = near.filter("nearest_a").groupBy("parent", "context", "a").agg(F.count("*").alias("_ties"))
+    rows = near.join(ties, ["parent", "context", "a"], "left").withColumn("tied", F.when(F.col("nearest_a"), cardinality(F.col("_ties"))).otherwise("not_nearest"))
+    return rows.groupBy(F.concat(F.col(left), F.lit(">"), F.col(right)).alias("class"), distance.alias("band"), "tied").agg(F.count("*").alias("pairs"), F.count_if("mutual").alias("mutual"))

@@ -122,3 +122,24 @@ def a09(spark: SparkSession, sf: str) -> DataFrame:
     r = resolution(spark, sf).filter("conflict").select(*EK, F.col("rank").alias("_rank"), F.col("value").alias("_value"))
     selected = F.coalesce((F.col("source_key") == F.col("_rank")) & (F.col("value") == F.col("_value")), F.lit(False))
     return b.evid(spark, sf).join(r, EK).select(*EK, "source_key", "slot", "value", selected.alias("selected"))
+
+
+_BATCH = ", batches AS (SELECT source_key, revision, CASE WHEN max(seq) % 7 = 0 THEN 'failed' WHEN max(seq) % 5 = 0 THEN 'partial' ELSE 'imported' END AS status FROM obs GROUP BY ALL)"
+
+
+@query("a05_batch_statuses", VIEWS + _BATCH + f", u AS (SELECT o.* FROM obs o JOIN facts f USING ({KEYS}) WHERE NOT f.selected AND f.distinct_values = 1) SELECT status, count(DISTINCT (subject_key, fact_key)) AS groups, count(DISTINCT seq) AS statements, count(DISTINCT (source_key, revision)) AS batches FROM u JOIN batches USING (source_key, revision) GROUP BY status")
+def a05_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Unselected facts by the status of the batches that state them."""
+    last = F.max("seq")
+    status = F.when(last % 7 == 0, "failed").when(last % 5 == 0, "partial").otherwise("imported").alias("status")
+    batches = b.obs(spark, sf).groupBy("source_key", "revision").agg(status)
+    rows = b.obs(spark, sf).join(audit.unselected(facts(spark, sf)).select(*G), G, "left_semi").join(batches, ["source_key", "revision"])
+    return rows.groupBy("status").agg(F.count_distinct("subject_key", "fact_key").alias("groups"), F.count_distinct("seq").alias("statements"), F.count_distinct("source_key", "revision").alias("batches"))
+
+
+@query("a07_selected_sources", VIEWS + f"SELECT o.source_key, count(*) AS selected, count(*) FILTER (f.distinct_values > 1) AS resolved_conflicts, count(*) FILTER (f.policy = 'custom') AS custom, CAST(sum(f.statements) AS BIGINT) AS statements FROM facts f JOIN selections s USING ({KEYS}) JOIN obs o USING ({KEYS}) WHERE o.seq = s.seq GROUP BY o.source_key")
+def a07_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The resolution report by the source of the selected statement."""
+    source = b.selections(spark, sf).select(*G, "seq").join(b.obs(spark, sf).select(*G, "seq", "source_key"), [*G, "seq"])
+    rows = facts(spark, sf).join(source, G)
+    return rows.groupBy("source_key").agg(F.count("*").alias("selected"), F.count_if(F.col("distinct_values") > 1).alias("resolved_conflicts"), F.count_if(F.col("policy") == "custom").alias("custom"), F.sum("statements").alias("statements"))

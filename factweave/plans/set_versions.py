@@ -193,3 +193,62 @@ def d20(spark: SparkSession, sf: str) -> DataFrame:
 def d21(spark: SparkSession, sf: str) -> DataFrame:
     totals = d05(spark, sf).filter("zone_id is not null").groupBy("zone_id", "parent").agg(F.count("*").alias("total"))
     return v.top_per_group(totals, ["zone_id"], [F.desc("total"), F.col("parent")], 3).select("zone_id", "parent", "total", "rank")
+
+
+_COMPARED = f""", c AS (SELECT {KEYS}, max(value) AS value FROM obs WHERE source_key = 0 GROUP BY {KEYS}), a AS (SELECT {KEYS}, o.value FROM selections JOIN obs o USING ({KEYS}, seq)),
+  cmp AS (SELECT {KEYS}, split_part(fact_key, '.', 1) AS fact_family, CASE WHEN a.k IS NULL THEN 'comparison_only' WHEN c.k IS NULL THEN 'active_only' WHEN fact_key LIKE 'error%' THEN 'not_directly_comparable' WHEN a.value = c.value THEN 'same_value' ELSE 'different_value' END AS state
+  FROM (SELECT *, 1 AS k FROM c) c FULL JOIN (SELECT *, 1 AS k FROM a) a USING ({KEYS}))"""
+FAMILIES = ("click", "error", "view")
+
+
+def _report(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    compared = d01(spark, sf).withColumn("fact_family", F.substring_index("fact_key", ".", 1))
+    return v.comparison_report(compared, kinds=("user",), families=FAMILIES, states=("different_value", "comparison_only"), limit=500)
+
+
+@query("d01_report_counts", b.with_views("obs", "selections") + _COMPARED + f" SELECT subject_kind, fact_family, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in v.STATES)} FROM cmp WHERE fact_family IN {FAMILIES} GROUP BY ALL")
+def d01_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _report(spark, sf)[0]
+
+
+@query("d01_report_examples", b.with_views("obs", "selections") + _COMPARED + f" SELECT {KEYS}, fact_family, state FROM cmp WHERE fact_family IN {FAMILIES} AND state IN ('different_value', 'comparison_only') ORDER BY subject_kind, subject_key, fact_key LIMIT 500")
+def d01_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return _report(spark, sf)[1]
+
+
+@query("d09_count_distribution", M + _PAR + "SELECT active_only + comparison_only AS one_sided, count(*) AS parents FROM par GROUP BY 1")
+def d09_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """How many parents have how many one-sided members."""
+    return _parents(spark, sf).groupBy((F.col("active_only") + F.col("comparison_only")).alias("one_sided")).agg(F.count("*").alias("parents"))
+
+
+@query("d09_top_parents", M + _PAR + "SELECT parent, active_only, comparison_only, shared FROM par ORDER BY active_only + comparison_only DESC, parent LIMIT 25")
+def d09_parents(spark: SparkSession, sf: str) -> DataFrame:
+    return _parents(spark, sf).orderBy((F.col("active_only") + F.col("comparison_only")).desc(), "parent").limit(25)
+
+
+@query("d09_top_zones", MZ + f", o AS ({_SIDED}) SELECT zone_id, map_id, count(*) FILTER (direction = 'active_only') AS active_only, count(*) FILTER (direction = 'comparison_only') AS comparison_only FROM o WHERE zone_id IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, zone_id LIMIT 10")
+def d09_zones(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda side: F.count_if(F.col("direction") == side).alias(side)
+    rows = d05(spark, sf).filter("zone_id is not null").groupBy("zone_id", "map_id").agg(one("active_only"), one("comparison_only"), F.count("*").alias("_n"))
+    return rows.orderBy(F.desc("_n"), "zone_id").limit(10).drop("_n")
+
+
+_PATTERN = "(CASE WHEN {0}in_base THEN '1' ELSE '0' END) || (CASE WHEN {0}in_active THEN '1' ELSE '0' END) || (CASE WHEN {0}in_comparison THEN '1' ELSE '0' END)"
+
+
+@query(
+    "d11_pair_classes",
+    M
+    + _NEAR
+    + f""", near AS (SELECT nn.*, CASE WHEN nearest_a THEN count(*) FILTER (nearest_a) OVER (PARTITION BY parent, context, a) END AS ties FROM nn WHERE nearest_a OR nearest_b)
+  SELECT {_PATTERN.format('l.')} || '>' || {_PATTERN.format('r.')} AS class, {_BAND} AS band, CASE WHEN ties IS NULL THEN 'not_nearest' WHEN ties = 1 THEN 'one' ELSE 'multiple' END AS tied, count(*) AS pairs, count(*) FILTER (nearest_a AND nearest_b) AS mutual
+  FROM near n JOIN members l ON l.parent = n.parent AND l.member = n.a JOIN members r ON r.parent = n.parent AND r.member = n.b GROUP BY 1, 2, 3""",
+)
+def d11_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Replacement candidates by which versions hold each of both."""
+    known = b.members(spark, sf).select("parent", "member", v.pattern("in_base", "in_active", "in_comparison").alias("pattern"))
+    near = v.nearest(_pairs(spark, sf), ["parent", "context"])
+    for side in "ab":
+        near = near.join(known.withColumnsRenamed({"member": side, "pattern": f"pattern_{side}"}), ["parent", side])
+    return v.pair_classes(near, "pattern_a", "pattern_b", v.band(F.col("distance"), EDGES))
