@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from factweave.operators.evidence import ingest
@@ -31,5 +32,5 @@ def stored_statements(spark: SparkSession, store: str, schema) -> DataFrame:
     """The store's statements with ``batch_id``; none before the first batch."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    with_batch = schema.add("batch_id", "long") if "batch_id" not in schema.fieldNames() else schema
+    with_batch = T.StructType([*(f for f in schema if f.name != "batch_id"), T.StructField("batch_id", T.LongType())])
     return spark.read.schema(with_batch).parquet(store) if there else spark.createDataFrame([], with_batch)
