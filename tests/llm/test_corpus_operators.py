@@ -287,13 +287,23 @@ def test_content_keys_by_plain_sums():
     counts = [rng.integers(1, 6, len(t)) for t in terms]
     idf, to = rng.integers(1, 5, 40).astype(float), packing.directions(40)
     middle = rng.standard_normal((7, packing.WIDTH)).astype(np.float32)
-    keys = packing.content_keys(*packing.weighted(terms, counts, idf), idf, to, middle)
-    for t, c, key in zip(terms, counts, keys.tolist(), strict=True):
-        weight = (idf[t] * c / (c + 1.2)).astype(np.float32)
-        v = (weight[:, None] * to[t]).sum(0)
-        top = [int(x) for x, _ in sorted(((x, w) for x, w in zip(t, weight, strict=True) if idf[x] < idf.max()), key=lambda p: (-p[1], p[0]))[:3]]
-        want = [int(np.argmax(v @ middle.T)) if len(t) else 0, *top, *[0] * (3 - len(top))]
-        assert [key >> 54, key >> 36 & 0x3FFFF, key >> 18 & 0x3FFFF, key & 0x3FFFF] == want
+    marks = rng.integers(0, 1 << 54, 5)
+    keys = packing.content_keys(*packing.weighted(terms, counts, idf), marks, to, middle)
+    for t, c, mark, key in zip(terms, counts, marks.tolist(), keys.tolist(), strict=True):
+        v = ((idf[t] * c / (c + 1.2)).astype(np.float32)[:, None] * to[t]).sum(0)
+        assert [key >> 54, key & (1 << 54) - 1] == [int(np.argmax(v @ middle.T)) if len(t) else 0, mark]
+
+
+def test_near_copies_mostly_share_their_mark():
+    rng = np.random.default_rng(8)
+    same = 0
+    for _ in range(200):
+        ids = rng.integers(0, 50_000, 300).astype(np.uint32)
+        other = ids.copy()
+        other[rng.integers(0, 300, 3)] = 7
+        same += packing.run_mark(ids) == packing.run_mark(other)
+        assert 0 <= packing.run_mark(ids) < 1 << 54
+    assert same > 170 and packing.run_mark(ids[:0]) == 0 and packing.run_mark(ids[:2]) == packing.run_mark(ids[:2].copy())
 
 
 def test_metric_range_join(spark):
