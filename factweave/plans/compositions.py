@@ -68,12 +68,14 @@ def c05(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c06_spawn_sets",
-    b.with_views("spawns") + "SELECT zone_id, count(*) AS spawns, string_agg(printf('%s:%d:zone_percent:%d:%.6f:%.6f', kind, id, zone_id, x, y), ' ' ORDER BY printf('%s:%d:zone_percent:%d:%.6f:%.6f', kind, id, zone_id, x, y)) AS keys FROM spawns WHERE zone_id IS NOT NULL GROUP BY zone_id",
+    b.with_views("spawns") + "SELECT zone_id, kind, id // 100 AS block, count(*) AS spawns, string_agg(printf('%s:%d:zone_percent:%d:%.6f:%.6f', kind, id, zone_id, x, y), ' ' ORDER BY printf('%s:%d:zone_percent:%d:%.6f:%.6f', kind, id, zone_id, x, y)) AS keys FROM spawns WHERE zone_id IS NOT NULL GROUP BY zone_id, kind, id // 100",
 )
 def c06(spark: SparkSession, sf: str) -> DataFrame:
+    """A zone's set comes in blocks of ids, so that no task or row holds a whole zone."""
     rows = b.spawns(spark, sf).filter("zone_id is not null")
     key = c.spawn_key(F.col("kind"), F.col("id"), F.col("zone_id"), F.col("x"), F.col("y"))
-    return rows.select("zone_id", key.alias("k")).groupBy("zone_id").agg(F.count("*").alias("spawns"), F.array_join(F.array_sort(F.collect_list("k")), " ").alias("keys"))
+    rows = rows.select("zone_id", "kind", F.expr("id div 100").alias("block"), key.alias("k"))
+    return rows.groupBy("zone_id", "kind", "block").agg(F.count("*").alias("spawns"), F.array_join(F.array_sort(F.collect_list("k")), " ").alias("keys"))
 
 
 @query(

@@ -32,6 +32,16 @@ def s01(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.stored_statements(spark, f"{folder}/store", stream.schema).select(*ID, "seq")
 
 
+@query("s01_stream_watermark", b.with_views("obs") + f"SELECT DISTINCT {IDS} FROM obs")
+def s01_watermark(spark: SparkSession, sf: str) -> DataFrame:
+    """The bounded form, with a delay that is longer than the events reach."""
+    folder = _folder(spark)
+    stream = b.obs_of(_stream(spark, sf)).withColumn("at", F.to_timestamp("revision"))
+    once = ingest.within_watermark(stream, ID, "at", "3650 days").select(*ID)
+    once.writeStream.format("parquet").option("path", f"{folder}/once").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{folder}/once")
+
+
 @query("s02_stream_probes", b.with_views("probes") + _FOLD + " SELECT item_id, state, attempts FROM merged")
 def s02(spark: SparkSession, sf: str) -> DataFrame:
     folder, rows = _folder(spark), b.probes_of(_stream(spark, sf))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,23 +15,30 @@ def within_watermark(stream: DataFrame, identity: list[str], event_time: str, de
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(identity)
 
 
+#: Parts of the store by hash of the identity; a micro-batch reads those that it has statements for.
+BUCKETS = 256
+
+
 def continuous_ingest(stream: DataFrame, identity: list[str], order: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Exact form: each micro-batch is anti-joined with the store and its new statements are added under the batch's number.
+    """Exact form: each micro-batch is anti-joined with its buckets of the store and its new statements are added under the batch's number.
 
     A batch that is run again after a failure overwrites its own folder, so a retry adds nothing either.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = stored_statements(spark, store, batch.schema).filter(f"batch_id < {number}").drop("batch_id")
-        ingest(stored, batch, identity, order).write.mode("overwrite").parquet(f"{store}/batch_id={number}")
+        keyed = batch.withColumn("bucket", F.pmod(F.xxhash64(*identity), F.lit(BUCKETS)).cast("int"))
+        touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]  # at most BUCKETS
+        stored = stored_statements(spark, store, batch.schema).filter((F.col("batch_id") < number) & F.col("bucket").isin(touched))
+        fresh = ingest(stored.select(*identity), keyed, identity, order)
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch_id={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored_statements(spark: SparkSession, store: str, schema) -> DataFrame:
-    """The store's statements with ``batch_id``; none before the first batch."""
+    """The store's statements with ``batch_id`` and ``bucket``; none before the first batch."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    with_batch = T.StructType([*(f for f in schema if f.name != "batch_id"), T.StructField("batch_id", T.LongType())])
+    with_batch = T.StructType([*(f for f in schema if f.name not in ("batch_id", "bucket")), T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
     return spark.read.schema(with_batch).parquet(store) if there else spark.createDataFrame([], with_batch)
