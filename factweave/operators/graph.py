@@ -75,13 +75,20 @@ def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
 
 def _reach(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """The least label that reaches each node along ``edges(a, b)`` within ``labels(node, part, label)``; only inside a part."""
+    """The least node that reaches each node along ``edges(a, b)`` within ``labels(node, part, label)``; only inside a part.
+
+    Labels name nodes of the part, so what reaches a label reaches all that have it: after each step
+    along the edges a node takes its label's label. Rounds grow with the logarithm of the longest way
+    where labels fall along it.
+    """
     seen = None
     while True:
         src = labels.select(F.col("node").alias("a"), F.col("part").alias("_pa"), "label")
         dst = labels.select(F.col("node").alias("b"), F.col("part").alias("_pb"))
         came = edges.join(src, "a").join(dst, "b").filter("_pa = _pb").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_l"))
         labels = settle(labels.join(came, "node", "left").select("node", "part", F.least("label", F.coalesce("_l", "label")).alias("label")))
+        of_label = labels.select(F.col("node").alias("label"), F.col("label").alias("_l"))
+        labels = settle(labels.join(of_label, "label").select("node", "part", F.least("label", "_l").alias("label")))
         now = tuple(labels.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "label"))).first())
         if now == seen:
             return labels
@@ -92,7 +99,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of strongly connected components with more than one node, named by their least node.
 
     After trimming, each round colours nodes by the least node that reaches them; within a colour,
-    those that its node is reachable from again (backwards) form its component and leave. Every round
+    those that it reaches backwards too (it is the least of its colour) form its component and leave. Every round
     names at least the component of each colour, so rounds end; no graph is gathered anywhere.
     """
     rest = cyclic_core(edges)
@@ -101,8 +108,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
         colour = _reach(rest, settle(nodes.select("node", F.lit(0).cast("long").alias("part"), F.col("node").alias("label"))))
         back = rest.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        start = settle(colour.select("node", F.col("label").alias("part"), F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("label")))
-        found = settle(_reach(back, start).filter("label = 0").select("node", F.col("part").alias("component")))
+        start = settle(colour.select("node", F.col("label").alias("part"), F.col("node").alias("label")))
+        found = settle(_reach(back, start).filter("label = part").select("node", F.col("part").alias("component")))
         done = found if done is None else done.unionByName(found)
         rest = rest.join(found.select(F.col("node").alias("a")), "a", "left_anti").join(found.select(F.col("node").alias("b")), "b", "left_anti")
         rest = cyclic_core(rest)

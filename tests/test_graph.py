@@ -37,6 +37,16 @@ def test_strong_components_match_a_serial_form(spark):
     assert got == serial_components(edges)
 
 
+@pytest.mark.parametrize("seed", [2, 3])
+def test_long_and_nested_cycles_match_a_serial_form(spark, seed):
+    rng = random.Random(seed)
+    names = rng.sample(range(1000), 80)
+    edges = set(zip(names[:40], names[1:40] + names[:1]))  # one long cycle in any order of ids
+    edges |= {(rng.choice(names), rng.choice(names[40:])) for _ in range(60)} | {(names[50], names[3])}
+    got = {r.node: r.component for r in g.strong_components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert got == serial_components(edges)
+
+
 def test_no_cycle_no_component_and_self_loops_apart(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "a long, b long")
     assert g.strong_components(edges).count() == 0
