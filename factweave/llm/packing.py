@@ -26,6 +26,10 @@ _AT_ONCE, _SHORT = 4_000_000, 100_000
 WIDTH = 32
 
 
+#: Documents whose vectors are made together.
+_DOCS_AT_ONCE = 500
+
+
 def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
     """The tokens of a byte-level vocabulary as bytes. Printable Latin-1 stands for itself, all other bytes for the characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -271,8 +275,10 @@ def content_vectors(term: np.ndarray, weight: np.ndarray, bounds: np.ndarray, to
     """The unit vector of each document's weighted terms, zero for none."""
     out = np.zeros((len(bounds) - 1, to.shape[1]), np.float32)
     some = np.flatnonzero(np.diff(bounds))
-    if len(some):
-        out[some] = np.add.reduceat(weight[:, None] * to[term], bounds[some], axis=0)
+    for at in range(0, len(some), _DOCS_AT_ONCE):  # each term of these has a row of its own for a moment
+        own = some[at : at + _DOCS_AT_ONCE]
+        first, last = bounds[own[0]], bounds[own[-1] + 1]
+        out[own] = np.add.reduceat(weight[first:last, None] * to[term[first:last]], bounds[own] - first, axis=0)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
