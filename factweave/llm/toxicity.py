@@ -66,13 +66,17 @@ def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
 
     By a two-sample z score, among those that are toxic often enough: prior * P(f | toxic) / P(f).
     """
-    c, u = (np.bincount(np.concatenate(x) if x else np.empty(0, np.int32), minlength=BUCKETS) for x in (positive, unlabelled))
+    keys, c = np.unique(np.concatenate([np.empty(0, np.int32), *positive]), return_counts=True)  # no other can be chosen
+    u = np.zeros(len(keys), np.int64)
+    for row in unlabelled if len(keys) else ():
+        at = np.minimum(np.searchsorted(keys, row), len(keys) - 1)
+        u[at[keys[at] == row]] += 1
     n, m = max(1, len(positive)), max(1, len(unlabelled))
     pooled = (c + u + 1) / (n + m + 2)
     z = (c / n - u / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
     z[(c < max(3, p.least_share * n)) | (prior * c / n < p.least_precision * (u + 0.5) / m)] = 0
     best = np.argsort(-z, kind="stable")[: p.features]
-    return best[z[best] > 4]
+    return keys[best[z[best] > 4]]
 
 
 def nn_pu_gradient(xp: np.ndarray, pp: np.ndarray, xu: np.ndarray, pu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray]:
