@@ -1,6 +1,6 @@
 """The corpus operators as registered queries: ``opN_<name>(spark, sf_dir)`` with production parameters.
 
-Only the range join can be said in DuckDB SQL within reason; the others (hash families, tokenizers,
+The range join and the URL filter can be said in DuckDB SQL within reason; the others (hash families, tokenizers,
 fitted models, sequential rounding) are tested against a brute-force form instead.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import embeddings, linededup, media, mixing, packing, quality, sharding, simhash, token_counts, toxicity
+from factweave.llm import embeddings, linededup, media, mixing, packing, quality, sharding, simhash, spans, token_counts, toxicity, urltrust, whitening
 from factweave.llm.common import table
 
 
@@ -63,6 +63,18 @@ def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_link_trust_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltrust.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_span_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_boosted_gam_quality,
         op9_patience_line_dedup,
         op10_entropy_balanced_mix,
+        op11_link_trust_urls,
+        op12_refined_whitening,
+        op13_span_alignment,
         pipeline,
     )
     return {f.__name__: f for f in found}
@@ -97,5 +112,5 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
 
 
 def oracle_sql() -> dict[str, str]:
-    """The range join's: see above. ``corpus_pipeline.ORACLE_SQL`` is None for the same reason as the others."""
-    return {"op5_metric_range_join": OP5_SQL}
+    """See above. ``corpus_pipeline.ORACLE_SQL`` is None for the same reason as the others."""
+    return {"op5_metric_range_join": OP5_SQL, "op11_link_trust_urls": urltrust.sql()}

@@ -27,6 +27,9 @@ CONTRACTS = {
     "op7_interleaved_media": ("documents", {"doc_id": LONG, "n_bytes": LONG, "payload_bytes": LONG, "payload_sha256": TEXT, "tail_crc32": LONG, "media_bytes": LONG, "media_sha256": TEXT, "feature": TEXT}),
     "op8_boosted_gam_quality": ("documents", {"doc_id": LONG, "held_out": FLAG, "score": REAL, "predicted": INT}),
     "op9_patience_line_dedup": ("documents", {"doc_id": LONG, "text": TEXT}),
+    "op11_link_trust_urls": ("pages", {"page_id": LONG, "host": TEXT, "path": TEXT, "rule": TEXT, "verdict": TEXT}),
+    "op12_refined_whitening": (None, {"vec_id": LONG, "component": INT, "n": LONG, "deviation": LONG, "whitened": REAL, "explained": REAL, "identity_error": REAL}),
+    "op13_span_alignment": ("documents", {"doc_id": LONG, "n_a": LONG, "n_b": LONG, "n_groups": LONG, "n_links": LONG, "n_best": LONG, "count_sum": LONG, "groups_sha256": TEXT}),
     "op10_entropy_balanced_mix": ("documents", {"doc_id": LONG, "size": LONG, "source_size": LONG, "target": REAL, "taken": LONG}),
 }
 
