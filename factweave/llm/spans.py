@@ -22,7 +22,7 @@ from factweave.llm.token_counts import load_model, splits_at_spaces
 #: Pairs of ids whose counts travel with the tasks (24 bytes each); all others are joined.
 HOT = 200_000
 #: Characters of texts whose distinct units are aligned together, units that are encoded as one text, and units whose links are in hand at a time.
-_CHARS, _UNITS, _LINKED = 16_000_000, 500, 1_000_000
+_CHARS, _UNITS, _LINKED = 9_000_000, 500, 500_000
 #: Stands before a unit that is written out in full.
 _FULL = "\0"
 #: Where a text isn't simply cut at spaces and line breaks: white space follows one, or ``_FULL`` is a character of its own.
@@ -82,7 +82,7 @@ class Aligner:
         self.space = self.b.piece_to_id("▁")
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
 
-    def _encode(self, text: str) -> tuple[list, list, list, list] | None:
+    def _encode(self, text: str) -> tuple[np.ndarray, ...] | None:
         """Ids and spans of A, ids and span ends of B for ``text``, which starts with a space or line break; none if its bytes don't come back."""
         found = self.a.encode(text, add_special_tokens=False)
         lead = int(text[0] == " ")  # the model puts a space before what it is given: the text's own, or one to leave out
@@ -93,7 +93,7 @@ class Aligner:
             pieces = [(self.space, 1)]  # the model gives nothing for an empty text
         ids_a, ids_b = found.ids, [i for i, _ in pieces]
         if b"".join(map(self.bytes_a.__getitem__, ids_a)) == text.encode() == b"".join(map(self.bytes_b.__getitem__, ids_b)):
-            return ids_a, found.offsets, ids_b, [e for _, e in pieces]
+            return tuple(np.array(x, np.int32) for x in (ids_a, found.offsets, ids_b, [e for _, e in pieces]))
         return None
 
     def learn(self, new: list[str]) -> Units:
@@ -124,10 +124,10 @@ class Aligner:
         byte_at = np.concatenate(([0], np.cumsum(width)))
         char0 = np.cumsum([0, *map(len, texts)])
         n_a, n_b = np.array([len(f[0]) for f in found], np.int64), np.array([len(f[2]) for f in found], np.int64)
-        flat = lambda k: np.array([x for f in found for x in f[k]], np.int64)
+        flat = lambda k: np.concatenate([np.empty((0, 2) if k == 1 else 0, np.int32), *(f[k].reshape(-1, 2) if k == 1 else f[k] for f in found)]).astype(np.int64)
         ids_a, ids_b = flat(0), flat(2)
         exact_a, exact_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        spans = flat(1).reshape(-1, 2) + np.repeat(char0[:-1], n_a)[:, None]
+        spans = flat(1) + np.repeat(char0[:-1], n_a)[:, None]
         inside = np.concatenate((spans[1:, 0] < spans[:-1, 1], [False]))[: len(spans)]  # the next token starts in the same character
         cut_a = np.where(inside, exact_a, byte_at[spans[:, 1]])
         cut_b = np.where(self.is_byte[ids_b], exact_b, flat(3) + np.repeat(byte_at[char0[:-1]], n_b))
