@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import compose
+from factweave.operators import compose, places
 from factweave.operators import versions as v
 from factweave.plans.ledger import G, KEYS
 from factweave.plans.registry import query
 from factweave.sources import bindings as b
 from factweave.sources import tables
+from factweave.sources.rounds import settle
 
 M = b.with_views("members")
 MZ = b.with_views("members", "zones")
@@ -76,25 +77,30 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(b.zones(spark, sf).select("zone_id", "map_id"), "zone_id", "left").select("parent", "member", "direction", "zone_id", "map_id")
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Active and comparison points of a parent and context; a parent has a bounded number of members."""
-    rows = b.members(spark, sf)
-    return v.pair_distances(rows.filter("in_active and not in_comparison"), rows.filter("in_comparison and not in_active"), ["parent", "context"], "member")
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Places of members that only the active or only the comparison version holds."""
+    rows = settle(b.members(spark, sf).filter("in_active <> in_comparison").select("parent", "context", "member", "x", "y", "in_active"))
+    return rows.filter("in_active"), rows.filter("not in_active")
+
+
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    return places.nearest_partners(*_sides(spark, sf), ["parent", "context"], "member")
 
 
 @query("d06_pair_distances", M + _PAIRS + " SELECT parent, context, count(*) AS pairs, round(max(distance), 6) AS farthest, round(min(distance), 6) AS closest FROM pairs GROUP BY parent, context")
 def d06(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).groupBy("parent", "context").agg(F.count("*").alias("pairs"), F.round(F.max("distance"), 6).alias("farthest"), F.round(F.min("distance"), 6).alias("closest"))
+    found = places.distance_extremes(*_sides(spark, sf), ["parent", "context"])
+    return found.select("parent", "context", "pairs", F.round("farthest", 6).alias("farthest"), F.round("closest", 6).alias("closest"))
 
 
 @query("d07_nearest_partners", M + _NEAR + " SELECT parent, context, a, b, nearest_a, nearest_b, nearest_a AND nearest_b AS mutual, candidates_a FROM nn WHERE nearest_a OR nearest_b")
 def d07(spark: SparkSession, sf: str) -> DataFrame:
-    return v.nearest(_pairs(spark, sf), ["parent", "context"]).select("parent", "context", "a", "b", "nearest_a", "nearest_b", "mutual", "candidates_a")
+    return _near(spark, sf).select("parent", "context", "a", "b", "nearest_a", "nearest_b", "mutual", "candidates_a")
 
 
 @query("d08_distance_bands", M + _PAIRS + f" SELECT context, {_BAND} AS band, count(*) AS pairs FROM pairs GROUP BY ALL")
 def d08(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).groupBy("context", v.band(F.col("distance"), EDGES).alias("band")).agg(F.count("*").alias("pairs"))
+    return places.distance_bands(*_sides(spark, sf), ["parent", "context"], ["context"], EDGES)
 
 
 @query(
@@ -116,7 +122,7 @@ def d10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d11_replacement_pairs", M + _NEAR + f" SELECT {_BAND} AS band, count(*) AS pairs, count(*) FILTER (nearest_a) AS nearest, count(*) FILTER (nearest_a AND nearest_b) AS mutual FROM nn WHERE nearest_a OR nearest_b GROUP BY 1")
 def d11(spark: SparkSession, sf: str) -> DataFrame:
-    near = v.nearest(_pairs(spark, sf), ["parent", "context"])
+    near = _near(spark, sf)
     return near.groupBy(v.band(F.col("distance"), EDGES).alias("band")).agg(F.count("*").alias("pairs"), F.count_if("nearest_a").alias("nearest"), F.count_if("mutual").alias("mutual"))
 
 
@@ -248,7 +254,7 @@ _PATTERN = "(CASE WHEN {0}in_base THEN '1' ELSE '0' END) || (CASE WHEN {0}in_act
 def d11_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Replacement candidates by which versions hold each of both."""
     known = b.members(spark, sf).select("parent", "member", v.pattern("in_base", "in_active", "in_comparison").alias("pattern"))
-    near = v.nearest(_pairs(spark, sf), ["parent", "context"])
+    near = _near(spark, sf)
     for side in "ab":
         near = near.join(known.withColumnsRenamed({"member": side, "pattern": f"pattern_{side}"}), ["parent", side])
     return v.pair_classes(near, "pattern_a", "pattern_b", v.band(F.col("distance"), EDGES))
