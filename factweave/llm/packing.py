@@ -298,14 +298,16 @@ def content_keys(term: np.ndarray, weight: np.ndarray, bounds: np.ndarray, mark:
     return near << 54 | mark
 
 
-#: Documents whose keys the driver sees (about), centres, and ranges of keys that are sorted apart.
-_SAMPLE, _CENTRES, _RANGES = 20_000, 256, 4096
+#: Documents whose vectors the driver sees (about), centres, ranges of keys that are sorted apart, and keys of each that the driver sees (about).
+_SAMPLE, _CENTRES, _RANGES, _SEEN = 20_000, 256, 1 << 17, 8
+#: Bits of a sequence id for the shard in its range and for the sequence in its shard; the range has the 17 above.
+_SHARD_BITS, _SEQUENCE_BITS = 19, 27
 
 
 def deal(made: DataFrame, n_docs: int, per_range: int, shared, narrow: str) -> DataFrame:
-    """``made`` with ``range`` and ``key``: ranges of like content with about ``per_range`` documents, where ``_RANGES`` allow.
+    """``made`` with ``range`` and ``key``: ranges of like content with about ``per_range`` documents; beyond ``_RANGES`` of them they hold more.
 
-    A sample by hash gives the centres and the bounds of the ranges. Keys that are as common as
+    Samples by hash give the centres and the bounds of the ranges; the driver sees ``_SEEN`` keys of each range. Keys that are as common as
     several ranges (copies) are dealt among these by hash, so no range is much larger.
     """
     spark = made.sparkSession
@@ -341,11 +343,11 @@ def deal(made: DataFrame, n_docs: int, per_range: int, shared, narrow: str) -> D
 
         return make
 
-    share = F.lit(min(1.0, _SAMPLE / max(n_docs, 1)) * (1 << 30))
-    sample = made.filter(F.pmod("hash", F.lit(1 << 30)) < share)  # about _SAMPLE rows in all
+    some = lambda most: made.filter(F.pmod("hash", F.lit(1 << 40)) < F.lit(min(1.0, most / max(n_docs, 1)) * (1 << 40)))
+    sample = some(_SAMPLE)  # about so many rows in all
     rows = sorted((r.hash, list(r.v)) for r in map_rows(sample.select("terms", "counts", "hash"), vectors, "v array<float>, hash long").collect())
     middle = spark.sparkContext.broadcast(centres(np.array([v for _, v in rows], np.float32).reshape(-1, WIDTH), min(_CENTRES, 4 * ranges)) if rows else np.empty((0, WIDTH), np.float32))
-    seen = np.sort([r.key for r in map_rows(sample.select("terms", "counts", "mark"), keys(middle, None), "key long").collect()])
+    seen = np.sort(np.array(map_rows(some(max(_SAMPLE, _SEEN * ranges)).select("terms", "counts", "mark"), keys(middle, None), "key long").toArrow()["key"]))
     cuts = spark.sparkContext.broadcast(seen[(np.arange(1, ranges) * len(seen)) // ranges] if len(seen) else np.empty(0, np.int64))
     return map_rows(made, keys(middle, cuts), ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in made.schema] + ["range int, key long"]))
 
@@ -431,7 +433,9 @@ def pack(
             nonlocal held, number
             rows, held = held[:n], held[n:]
             number += 1
-            return packed(rows, (at << 20 | number - 1) << 32)
+            if number > 1 << _SHARD_BITS:
+                raise ValueError(f"range {at} has more shards than a sequence id can tell apart")
+            return packed(rows, (at << _SHARD_BITS | number - 1) << _SEQUENCE_BITS)
 
         def rest() -> Iterator[pa.RecordBatch]:
             if 2 * len(held) > 3 * per_shard:

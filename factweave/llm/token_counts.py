@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import map_rows, record, stash, text_of
 
-#: Pre-tokens whose counts travel with the tasks; all others are joined.
-HOT = 100_000
+#: Pre-tokens whose counts travel with the tasks, and the bytes of each of these at most; all others are joined.
+HOT, SHORT = 100_000, 64
 #: The model writes a space as this character, so it means a space in a text too.
 _SPACE = "▁"
 #: A pre-token starts at a run of spaces or at a line break; no piece of the model reaches across one.
@@ -59,12 +59,13 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     1. Distinct pre-tokens with their corpus counts, combined where they are read.
     2. Pieces of each distinct pre-token, counted once by the model.
-    3. The commonest, ``hot`` at most (so their size is bounded), go to every task as a table;
+    3. The commonest of up to ``SHORT`` bytes, ``hot`` at most (so their size is bounded), go to every task as a table;
        a document's frequencies of these are summed where it is read. They are also the keys that
        would be skewed. All other frequencies are joined to the counts by pre-token and summed by
        document.
 
-    A null text counts as empty and has no tokens; rows with the same id are separate documents; an
+    A very long text is one row like any other; without spaces it is one pre-token, joined like all
+    long ones. A null text counts as empty and has no tokens; rows with the same id are separate documents; an
     empty table gives no rows; other columns are ignored.
     """
     if not splits_at_spaces(model_path):
@@ -92,13 +93,14 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     keys = map_rows(texts.select("text"), distinct, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
     keys = stash(map_rows(keys, counted, "key string, n long, pieces long"))
     level = F.floor(F.log2("n") * 16).cast("int")  # so few levels that their sizes fit in one row each
+    short = keys.filter(F.octet_length("key") <= SHORT)
     least, taken = 0, 0
-    for r in sorted(keys.groupBy(level.alias("level")).agg(F.count("*").alias("n_keys")).collect(), reverse=True):
+    for r in sorted(short.groupBy(level.alias("level")).agg(F.count("*").alias("n_keys")).collect(), reverse=True):
         taken += r.n_keys
         if taken > hot:
             least = r.level + 1
             break
-    top = keys.filter(level >= least).select("key", "pieces").collect()  # hot rows at most
+    top = short.filter(level >= least).select("key", "pieces").collect()  # hot rows of SHORT bytes at most
     shared = texts.sparkSession.sparkContext.broadcast({r.key: r.pieces for r in top})
 
     def summed():

@@ -222,3 +222,24 @@ def test_texts_in_small_parts(spark, both, monkeypatch):
         assert np.concatenate([p[0] for p in parts]).tolist() == np.concatenate([p[0] for p in whole]).tolist()
         for k in (1, 2, 3):
             assert [x for p in parts for x in (p[k] if k == 1 else p[k].to_pylist())] == [x for p in whole for x in (p[k] if k == 1 else p[k].to_pylist())]
+
+
+def test_packing_in_many_ranges(spark):
+    docs = spark.range(11_000).selectExpr("id as doc_id", "concat('number ', id, ' of ', id % 97) as text")
+    rows = packing.pack(docs, A, window=64, per_shard=1).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset").toArrow().to_pandas()
+    assert rows.groupby("doc_id").length.sum().eq(rows.groupby("doc_id").doc_tokens.first()).all() and rows.doc_id.nunique() == 11_000
+    assert rows.sequence_id.min() >= 0 and (rows.sequence_id.max() >> packing._SHARD_BITS + packing._SEQUENCE_BITS) >= 5_000
+    ordered = rows.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all() and rows.groupby("sequence_id").length.sum().max() <= 64
+
+
+def test_long_pretokens_stay_out_of_the_driver(spark, monkeypatch):
+    from factweave.llm import token_counts
+
+    seen = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: seen.append(value) or broadcast(self, value))
+    texts = [(i, f"{i:04d}" * 2000 + (" tail " + "é" * 40 + f"{i % 3}") * 2) for i in range(300)]
+    found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(texts, "doc_id long, text string"), B).collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=B)
+    assert found == {i: len(model.encode(t)) for i, t in texts} and seen and all(len(k.encode()) <= token_counts.SHORT for k in seen[0])
