@@ -40,10 +40,10 @@ class Asked:
     label: str
     answer: Column
     actual: Column
-    reason: str = "no value known"
+    reason: str | Column = "no value known"
 
     def record(self) -> Column:
-        reason = F.when(self.answer.isNull(), F.lit(self.reason))
+        reason = self.reason if isinstance(self.reason, Column) else F.when(self.answer.isNull(), F.lit(self.reason))
         return F.struct(F.lit(self.label).alias("predicate"), ts.state(self.answer).alias("state"), self.actual.cast("string").alias("actual"), reason.alias("reason"))
 
 
@@ -116,12 +116,13 @@ class Wanted:
 
 
 def paged(rows: DataFrame, asked: list[Asked], wanted: Wanted, fields: Sequence[str], tie: Sequence[str]) -> Page:
-    """Judge all rows by all filters; count; then filter by state, sort (unknown keys last) and limit."""
+    """Judge all rows by all filters; count; then filter by state, sort (texts by their lower case, unknown keys last) and limit."""
     none = F.array().cast("array<struct<predicate: string, state: string, actual: string, reason: string>>")
     judged = paging.judge(rows, [a.answer for a in asked]).withColumn("predicates", F.array(*[a.record() for a in asked]) if asked else none)
     tied = F.struct(*tie) if len(tie) > 1 else F.col(tie[0])
     found = judged.filter(F.col("state").isin(*wanted.include_states))
-    page = paging.page(found, F.col(wanted.sort_by or fields[0]), tied, wanted.limit, wanted.descending)
+    by = wanted.sort_by or fields[0]
+    page = paging.page(found, F.lower(by) if dict(rows.dtypes)[by] == "string" else F.col(by), tied, wanted.limit, wanted.descending)
     return Page(paging.summary(judged), page.drop("ok"))
 
 
@@ -241,7 +242,7 @@ def query_item_acquisitions(
 
     ``sources(item_id, source_kind, source_id, zone_id, map_id, paths)``: one source must be of the asked kind and
     place and have one path of the asked kind and chance. No such source leaves the item unknown.
-    ``matching`` lists those that match, in order.
+    ``matching_sources`` counts those that match, and ``matching`` lists them in order, for the page's items only.
     """
     asked = item_filters(filters)
     path_kinds, source_kinds = some_of("path_kinds", path_kinds, PATH_KINDS), some_of("source_kinds", source_kinds, ENTITY_KINDS)
@@ -258,25 +259,28 @@ def query_item_acquisitions(
         kind = p["family"].isin(*path_kinds) if path_kinds is not None else F.lit(True)
         return kind & F.coalesce(p["chance"] >= min_drop_chance, F.lit(False)) if min_drop_chance is not None else kind
 
-    hit = on_source & F.exists("paths", on_path)
-    per = sources.filter(hit).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("source_kind", "source_id", "zone_id", "map_id", "paths"))).alias("matching"))
-    rows = items.join(templates, "item_id", "left").join(per, "item_id", "left")
+    hit = sources.filter(on_source & F.exists("paths", on_path))
+    rows = items.join(templates, "item_id", "left").join(hit.groupBy("item_id").agg(F.count("*").alias("matching_sources")), "item_id", "left")
     if not (path_kinds is None and source_kinds is None and min_drop_chance is None and zone_id is None and map_id is None):
-        asked.append(Asked("acquisition", ts.positive_only(F.col("matching").isNotNull()), F.size("matching"), "no known source shows it"))
-    return paged(rows, asked, wanted, ITEM_FIELDS, ["item_id"])
+        asked.append(Asked("acquisition", ts.positive_only(F.col("matching_sources").isNotNull()), F.col("matching_sources"), "no known source shows it"))
+    page = paged(rows, asked, wanted, ITEM_FIELDS, ["item_id"])
+    shown = F.broadcast(page.rows.select("item_id"))  # a page's ids
+    lists = hit.join(shown, "item_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("source_kind", "source_id", "zone_id", "map_id", "paths"))).alias("matching"))
+    return Page(page.summary, page.rows.join(lists, "item_id", "left"))
 
 
 ENTITY_FIELDS = ("entity_id", "name", "entity_kind")
 
 
 def query_world_entities(
-    entities: DataFrame, spawns: DataFrame, declared: DataFrame, zones: DataFrame, *, entity_kind: str | None = None, entity_id: int | None = None, name_contains: str | None = None,
+    entities: DataFrame, spawns: DataFrame, declared: DataFrame, selected: DataFrame, zones: DataFrame, *, entity_kind: str | None = None, entity_id: int | None = None, name_contains: str | None = None,
     zone_id: int | None = None, map_id: int | None = None, wanted: Wanted = Wanted(),
 ) -> Page:
     """``entities(kind, id, name)`` by kind, id, name and place.
 
-    A place is a match by any of ``spawns(kind, id, zone_id)``. It is a non-match only where the declared
-    number of ``declared(kind, id, declared)`` is met and every spawn shows another place; otherwise it is unknown.
+    A place is a match by any of ``spawns(kind, id, spawn_key, zone_id)``. It is a non-match only where a set is
+    ``declared(kind, id)`` whose members ``selected(kind, id, spawn_key)`` are exactly the stored spawns, and each of
+    these says where it is; otherwise it is unknown. The predicate's reason is one of ``entities.GEOGRAPHY_REASONS``.
     """
     if entity_kind is not None and entity_kind not in ENTITY_KINDS:
         raise ValueError(f"entity_kind is one of {', '.join(ENTITY_KINDS)}")
@@ -288,16 +292,14 @@ def query_world_entities(
     asked = _equal("entity_kind", "entity_kind", entity_kind) + _equal("entity_id", "entity_id", entity_id) + _contains("name", "name", name_contains)
     if zone_id is not None or map_id is not None:
         where = spawns.join(zones.select("zone_id", "map_id"), "zone_id", "left")
-        test = lambda c, v: F.lit(True) if v is None else c == v
-        place = test(F.col("zone_id"), zone_id) & test(F.col("map_id"), map_id)  # three-valued: null where the row doesn't say
-        per = where.groupBy(F.col("kind").alias("entity_kind"), F.col("id").alias("entity_id")).agg(F.bool_or(F.coalesce(place, F.lit(False))).alias("hit"), F.count_if(place.isNull()).alias("unsaid"), F.count("*").alias("spawns"))
-        rows = rows.join(per, ["entity_kind", "entity_id"], "left").join(declared.select(F.col("kind").alias("entity_kind"), F.col("id").alias("entity_id"), "declared"), ["entity_kind", "entity_id"], "left")
-        spawned = F.coalesce("spawns", F.lit(0))
-        whole_set = (F.col("declared") == spawned) & (F.coalesce("unsaid", F.lit(0)) == 0)
-        answer = F.when(F.coalesce("hit", F.lit(False)), True).when(F.coalesce(whole_set, F.lit(False)), False)
+        lacks = lambda c, v: F.lit(False) if v is None else F.col(c).isNull()
+        known = en.geography(where, declared, selected, in_place(F.col("zone_id"), F.col("map_id"), zone_id, map_id), lacks("zone_id", zone_id), lacks("map_id", map_id))
+        known = known.select(F.col("kind").alias("entity_kind"), F.col("id").alias("entity_id"), F.col("answer").alias("_answer"), F.col("reason").alias("_reason"), F.col("spawns").alias("_spawns"))
+        rows = rows.join(known, ["entity_kind", "entity_id"], "left")
         label = ",".join(f"{k}={v}" for k, v in (("zone_id", zone_id), ("map_id", map_id)) if v is not None)
-        asked.append(Asked(label, answer, spawned, "spawns are not all known"))
-    return paged(rows, asked, wanted, ENTITY_FIELDS, ["entity_id", "entity_kind"])
+        asked.append(Asked(label, F.col("_answer"), F.coalesce("_spawns", F.lit(0)), F.coalesce("_reason", F.lit(en.GEOGRAPHY_REASONS[1]))))
+    page = paged(rows, asked, wanted, ENTITY_FIELDS, ["entity_id", "entity_kind"])
+    return Page(page.summary, page.rows.drop("_answer", "_reason", "_spawns"))
 
 
 QUEST_FIELDS = ("quest_id", "title", "level", "minimum_level")
@@ -343,7 +345,7 @@ RECIPE_FIELDS = ("recipe_id", "name")
 
 
 def query_recipes(
-    recipes: DataFrame, skills: DataFrame, outputs: DataFrame, reagents: DataFrame, learned: DataFrame, *, recipe_id: int | None = None, name_contains: str | None = None, skill: str | None = None,
+    recipes: DataFrame, skills: DataFrame, outputs: DataFrame, reagents: DataFrame, learned: DataFrame, *, recipe_id: int | None = None, name_contains: str | None = None, skill: str | None = None, skill_line_id: int | None = None,
     min_required: int | None = None, max_required: int | None = None, output_item_id: int | None = None, reagent_item_id: int | None = None, learning_kinds: Sequence[str] | None = None,
     teaching_zone_id: int | None = None, teaching_map_id: int | None = None, trainer_zone_id: int | None = None, trainer_map_id: int | None = None, quest_giver_zone_id: int | None = None,
     quest_giver_map_id: int | None = None, quest_finisher_zone_id: int | None = None, quest_finisher_map_id: int | None = None, quest_objective_zone_id: int | None = None,
@@ -351,14 +353,14 @@ def query_recipes(
 ) -> Page:
     """``recipes(recipe_id, name)`` by what they need and make, and where they are taught.
 
-    One row of ``skills(recipe_id, skill, required)`` must pass all of the skill's filters: it is a match, unknown if
-    only rows without a skill's name could pass, and unknown without rows. ``outputs`` and ``reagents``
-    ``(recipe_id, item_id)`` are known whole where a recipe has any and all have an item. ``learned(recipe_id, kind, role, zone_id, map_id)``
+    One row of ``skills(recipe_id, skill_line_id, skill, required)`` must pass all of the skill's filters (``skill`` is a part of its name): it is a
+    match, unknown if only rows without a skill's name could pass, and unknown without rows. ``outputs`` and ``reagents``
+    ``(recipe_id, item_id)`` are known whole, so a recipe without the item is a non-match. ``learned(recipe_id, kind, role, zone_id, map_id)``
     tells ways to learn it and their places; like every place, they only prove a match.
     """
     places = {"teaching": (teaching_zone_id, teaching_map_id, "item", None), "trainer": (trainer_zone_id, trainer_map_id, "trainer", None)}
     places |= {f"quest_{r}": (z, m, "quest", ROLES[r]) for r, z, m in (("giver", quest_giver_zone_id, quest_giver_map_id), ("finisher", quest_finisher_zone_id, quest_finisher_map_id), ("objective", quest_objective_zone_id, quest_objective_map_id))}
-    for name, value in (("recipe_id", recipe_id), ("output_item_id", output_item_id), ("reagent_item_id", reagent_item_id)):
+    for name, value in (("recipe_id", recipe_id), ("skill_line_id", skill_line_id), ("output_item_id", output_item_id), ("reagent_item_id", reagent_item_id)):
         whole(name, value, 1)
     for role, (zone, map_, _, _) in places.items():
         whole(f"{role}_zone_id", zone)
@@ -368,21 +370,23 @@ def query_recipes(
     learning_kinds = some_of("learning_kinds", learning_kinds, LEARNING_KINDS)
     wanted.check(RECIPE_FIELDS)
     rows, asked = recipes, _equal("recipe_id", "recipe_id", recipe_id) + _contains("name", "name", name_contains)
-    if skill is not None or min_required is not None or max_required is not None:
-        named = F.lit(True) if skill is None else F.lower("skill") == skill.lower()
+    if skill is not None or skill_line_id is not None or min_required is not None or max_required is not None:
+        named = F.lit(True) if skill is None else F.lower("skill").contains(skill.lower())
+        if skill_line_id is not None:
+            named = named & (F.col("skill_line_id") == skill_line_id)
         rest = F.lit(True) if min_required is None else F.col("required") >= min_required
         rest = rest if max_required is None else rest & (F.col("required") <= max_required)
         passes = named & rest
         per = skills.groupBy("recipe_id").agg(F.bool_or(F.coalesce(passes, F.lit(False))).alias("_hit"), F.bool_or(passes.isNull()).alias("_maybe"))
         rows = rows.join(per, "recipe_id", "left")
-        label = ",".join(x for x in (skill and f"skill={skill}", min_required is not None and f"required>={min_required}", max_required is not None and f"required<={max_required}") if x)
+        label = ",".join(x for x in (skill_line_id is not None and f"skill_line_id={skill_line_id}", skill and f"skill~{skill}", min_required is not None and f"required>={min_required}", max_required is not None and f"required<={max_required}") if x)
         asked.append(Asked(label, F.when(F.col("_hit"), True).when(~F.col("_maybe"), False), F.col("_hit"), "no skill of a known name"))
     for name, item, of in (("output", output_item_id, outputs), ("reagent", reagent_item_id, reagents)):
         if item is not None:
-            hit = F.bool_or(F.coalesce(F.col("item_id") == item, F.lit(False)))
-            per = of.groupBy("recipe_id").agg(F.when(hit, True).when(~F.bool_or(F.col("item_id").isNull()), False).alias(f"_{name}"))
+            per = of.filter(F.col("item_id") == item).select("recipe_id").distinct().withColumn(f"_{name}", F.lit(True))
             rows = rows.join(per, "recipe_id", "left")
-            asked.append(Asked(f"{name}={item}", F.col(f"_{name}"), F.col(f"_{name}"), f"not every {name} is known"))
+            known = F.coalesce(f"_{name}", F.lit(False))
+            asked.append(Asked(f"{name}={item}", known, known))
     tests: list[tuple[str, Column, str]] = []
     if learning_kinds is not None:
         tests.append((f"learned_by={'|'.join(learning_kinds)}", F.col("kind").isin(*learning_kinds), "no way of this kind known"))

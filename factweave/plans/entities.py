@@ -65,19 +65,37 @@ def e07(spark: SparkSession, sf: str) -> DataFrame:
     return en.located(found, b.zones(spark, sf), b.maps(spark, sf)).select("kind", "id", "name", "zone_id", "zone_name", "map_id", "map_name")
 
 
-_GEO = """, per AS (SELECT kind, id, bool_or(coalesce(s.zone_id IN (3, 4, 5), false)) AS hit, count(*) FILTER (s.zone_id IS NULL) AS unplaced, count(*) AS spawns FROM spawns s GROUP BY kind, id),
-  decl AS (SELECT kind, id, CASE WHEN id % 6 = 1 THEN NULL WHEN id % 6 = 2 THEN 2 ELSE 1 END AS declared FROM entities)"""
+#: Sets and stored spawns of each entity by key, and the reasons of a place in order.
+COVERED = """, k AS (SELECT kind, id, spawn_key, sum(s) AS s, max(m) AS m FROM (SELECT kind, id, spawn_key, 1 AS s, 0 AS m FROM set_members UNION ALL SELECT kind, id, spawn_key, 0, 1 FROM spawn_keys) GROUP BY ALL),
+  sets AS (SELECT kind, id, CAST(sum(s) AS BIGINT) AS selected_members, count(*) FILTER (s > 0) AS distinct_members, count(*) FILTER (m > 0) AS stored_members, count(*) FILTER (s > 0 AND m = 0) AS unresolved, count(*) FILTER (s = 0) AS extra FROM k GROUP BY ALL),
+  covered AS (SELECT kind, id, h.k IS NOT NULL AS declared, coalesce(selected_members, 0) AS selected_members, coalesce(distinct_members, 0) AS distinct_members, coalesce(stored_members, 0) AS stored_members, coalesce(unresolved, 0) AS unresolved, coalesce(extra, 0) AS extra
+   FROM (SELECT *, 1 AS k FROM set_headers) h FULL JOIN sets USING (kind, id))"""
+REASON = """CASE WHEN hit THEN 'known_matching_spawn' WHEN NOT declared THEN 'no_selected_spawn_set' WHEN unresolved > 0 OR extra > 0 THEN 'selected_spawn_set_differs_from_stored_spawns'
+  WHEN no_zone THEN 'spawn_with_unresolved_zone' WHEN no_map THEN 'spawn_with_unresolved_map' ELSE 'complete_spawn_set_proves_no_match' END"""
+SETS = ("entities", "spawn_keys", "set_headers", "set_members")
 
 
-def _geo(spark: SparkSession, sf: str) -> DataFrame:
-    declared = b.entities(spark, sf).select("kind", "id", F.when(F.col("id") % 6 == 1, None).when(F.col("id") % 6 == 2, 2).otherwise(1).alias("declared"))
-    return en.geography_state(b.spawns(spark, sf), declared, F.col("zone_id").isin(3, 4, 5))
+@query(
+    "e08_world_entities",
+    b.with_views(*SETS, "zones")
+    + COVERED
+    + """, per AS (SELECT kind, id, bool_or(coalesce(s.zone_id IN (3, 4, 5) AND z.map_id < 4, false)) AS hit, bool_or(s.zone_id IS NULL) AS no_zone, bool_or(z.map_id IS NULL) AS no_map FROM spawn_keys s LEFT JOIN zones z USING (zone_id) GROUP BY kind, id)
+  SELECT kind, id, CASE reason WHEN 'known_matching_spawn' THEN 'known_match' WHEN 'complete_spawn_set_proves_no_match' THEN 'known_non_match' ELSE 'unknown' END AS state, reason FROM (SELECT kind, id, """
+    + REASON
+    + " AS reason FROM covered LEFT JOIN per USING (kind, id))",
+)
+def e08(spark: SparkSession, sf: str) -> DataFrame:
+    """T-08 within E-08: a non-match needs a selected set whose keys are those of the stored spawns, all of them placed."""
+    where = b.spawn_keys(spark, sf).join(b.zones(spark, sf).select("zone_id", "map_id"), "zone_id", "left")
+    here = F.col("zone_id").isin(3, 4, 5) & (F.col("map_id") < 4)
+    found = en.geography(where, b.set_headers(spark, sf), b.set_members(spark, sf), here, F.col("zone_id").isNull(), F.col("map_id").isNull())
+    return found.select("kind", "id", ts.state(F.col("answer")).alias("state"), "reason")
 
 
-@query("e08_world_entities", b.with_views("entities", "spawns") + _GEO + " SELECT d.kind, d.id, CASE WHEN hit THEN 'known_match' WHEN declared IS NULL THEN 'unknown' WHEN declared = coalesce(spawns, 0) AND coalesce(unplaced, 0) = 0 THEN 'known_non_match' ELSE 'unknown' END AS state FROM decl d LEFT JOIN per USING (kind, id)")
-def e08(spark: SparkSession, sf: str) -> DataFrame:
-    """T-08 within E-08: a non-match needs a complete, fully placed spawn set."""
-    return _geo(spark, sf)
+@query("e09_spawn_set_keys", b.with_views(*SETS) + COVERED + " SELECT *, declared AND unresolved = 0 AND extra = 0 AS complete FROM covered")
+def e09_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected and stored spawns of every entity compared by key."""
+    return en.spawn_set_coverage(b.set_headers(spark, sf), b.set_members(spark, sf), b.spawn_keys(spark, sf))
 
 
 @query("e09_spawn_set_coverage", b.with_views("members") + "SELECT parent, count(*) FILTER (in_base) AS declared, count(*) FILTER (in_active) AS materialised, count(*) FILTER (in_base AND NOT in_active) AS unresolved, count(*) FILTER (in_active AND NOT in_base) AS extra, parent % 6 <> 5 AND bool_and(in_base = in_active) AS complete FROM members GROUP BY parent")

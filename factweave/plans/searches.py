@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import tristate as ts
 from factweave.operators import searches as s
-from factweave.plans.entities import QUEST, _endpoints, places, sources
+from factweave.plans.entities import COVERED, QUEST, REASON, SETS, _endpoints, places, sources
 from factweave.plans.registry import query
 from factweave.sources import bindings as b
 
@@ -26,6 +26,7 @@ def judged_sql(rows: str, filters: list[tuple[str, str]]) -> str:
 def page_sql(columns: str, key: str, tie: str, limit: int, descending: bool, states: tuple[str, ...]) -> str:
     """The first rows in the order of a page: unknown keys last, ties by id in the key's direction."""
     down = " DESC" if descending else ""
+    key = f"lower({key})" if key.endswith(("name", "title")) else key
     order = f"{key} IS NULL, {key}{down} NULLS LAST, CASE WHEN {key} IS NOT NULL THEN {tie} END{down} NULLS LAST, {tie}"
     wanted = ", ".join(f"'{x}'" for x in states)
     return f" SELECT row_number() OVER (ORDER BY {order}) AS position, {columns}, state, predicates FROM judged WHERE state IN ({wanted}) ORDER BY 1 LIMIT {limit}"
@@ -133,19 +134,21 @@ def e06_query(spark: SparkSession, sf: str) -> DataFrame:
 # -- world entities --------------------------------------------------------------------------------
 @query(
     "e08_query_world_entities",
-    b.with_views("entities", "spawns", "zones")
-    + """, w AS (SELECT s.kind, s.id, s.zone_id = 4 AND z.map_id = 4 AS here FROM spawns s LEFT JOIN zones z ON s.zone_id = z.zone_id), per AS (SELECT kind, id, bool_or(coalesce(here, false)) AS hit, count(*) FILTER (here IS NULL) AS unsaid, count(*) AS spawns FROM w GROUP BY kind, id),
-  decl AS (SELECT kind, id, CASE WHEN id % 6 = 1 THEN NULL WHEN id % 6 = 2 THEN 2 ELSE 1 END AS declared FROM entities)"""
+    b.with_views(*SETS, "zones")
+    + COVERED
+    + """, per AS (SELECT kind, id, bool_or(coalesce(s.zone_id = 4 AND z.map_id = 4, false)) AS hit, bool_or(s.zone_id IS NULL) AS no_zone, bool_or(z.map_id IS NULL) AS no_map FROM spawn_keys s LEFT JOIN zones z USING (zone_id) GROUP BY kind, id),
+  geo AS (SELECT kind, id, """
+    + REASON
+    + " AS reason FROM covered LEFT JOIN per USING (kind, id))"
     + judged_sql(
-        "SELECT e.kind AS entity_kind, e.id AS entity_id, e.name, hit, unsaid, spawns, declared FROM entities e LEFT JOIN per USING (kind, id) LEFT JOIN decl USING (kind, id)",
-        [("entity_kind=object", "entity_kind = 'object'"), ("name~#0000", "contains(lower(name), '#0000')"), ("zone_id=4,map_id=4", "CASE WHEN coalesce(hit, false) THEN true WHEN coalesce(declared = coalesce(spawns, 0) AND coalesce(unsaid, 0) = 0, false) THEN false END")],
+        "SELECT e.kind AS entity_kind, e.id AS entity_id, e.name, reason FROM entities e LEFT JOIN geo USING (kind, id)",
+        [("entity_kind=object", "entity_kind = 'object'"), ("name~#0000", "contains(lower(name), '#0000')"), ("zone_id=4,map_id=4", "CASE reason WHEN 'known_matching_spawn' THEN true WHEN 'complete_spawn_set_proves_no_match' THEN false END")],
     )
     + page_sql("entity_kind, entity_id", "name", "(entity_id, entity_kind)", 700, True, ALL),
 )
 def e08_query(spark: SparkSession, sf: str) -> DataFrame:
-    declared = b.entities(spark, sf).select("kind", "id", F.when(F.col("id") % 6 == 1, None).when(F.col("id") % 6 == 2, 2).otherwise(1).alias("declared"))
     wanted = s.Wanted(ALL, "name", True, 700)
-    page = s.query_world_entities(b.entities(spark, sf), b.spawns(spark, sf), declared, b.zones(spark, sf), entity_kind="object", name_contains="#0000", zone_id=4, map_id=4, wanted=wanted)
+    page = s.query_world_entities(b.entities(spark, sf), b.spawn_keys(spark, sf), b.set_headers(spark, sf), b.set_members(spark, sf), b.zones(spark, sf), entity_kind="object", name_contains="#0000", zone_id=4, map_id=4, wanted=wanted)
     return flat(page, "entity_kind", "entity_id")
 
 
@@ -186,7 +189,7 @@ _LEARNED = """, ends_at AS (SELECT e.quest_id, e.role, s.zone_id, z.map_id FROM
   learned AS (SELECT t.recipe_id, 'item' AS kind, CAST(NULL AS VARCHAR) AS role, p.zone_id, p.map_id FROM teaching t LEFT JOIN loot l ON l.item_id = t.source_id LEFT JOIN place p ON p.id = l.source_id WHERE t.kind = 'item'
    UNION ALL SELECT t.recipe_id, 'trainer', NULL, p.zone_id, p.map_id FROM teaching t LEFT JOIN place p ON p.id = t.source_id WHERE t.kind = 'trainer'
    UNION ALL SELECT t.recipe_id, 'quest', a.role, a.zone_id, a.map_id FROM teaching t LEFT JOIN ends_at a ON a.quest_id = t.source_id WHERE t.kind = 'quest'),
-  sk AS (SELECT recipe_id, bool_or(coalesce(lower(skill) = 'brand#3' AND required >= 3 AND required <= 45, false)) AS hit, bool_or((lower(skill) = 'brand#3' AND required >= 3 AND required <= 45) IS NULL) AS maybe FROM recipes GROUP BY recipe_id),
+  sk AS (SELECT recipe_id, bool_or(coalesce(contains(lower(skill), 'brand#3') AND required >= 3 AND required <= 45, false)) AS hit, bool_or((contains(lower(skill), 'brand#3') AND required >= 3 AND required <= 45) IS NULL) AS maybe FROM recipes GROUP BY recipe_id),
   rg AS (SELECT recipe_id, bool_or(item_id = 40) AS reagent FROM reagents GROUP BY recipe_id),
   ln AS (SELECT recipe_id, bool_or(kind IN ('trainer', 'quest')) AS l0, bool_or(coalesce(kind = 'item' AND zone_id = 3, false)) AS l1, bool_or(coalesce(kind = 'trainer' AND map_id = 3, false)) AS l2, bool_or(coalesce(kind = 'quest' AND zone_id = 1 AND map_id = 1 AND role = 'given', false)) AS l3,
    bool_or(coalesce(kind = 'quest' AND map_id = 2 AND role = 'finished', false)) AS l4, bool_or(coalesce(kind = 'quest' AND zone_id = 4 AND role = 'objective', false)) AS l5 FROM learned GROUP BY recipe_id)"""
@@ -217,7 +220,7 @@ def _recipes(spark: SparkSession, sf: str, wanted: s.Wanted, **filters) -> s.Pag
     + judged_sql(
         "SELECT r.recipe_id, r.name, r.output_id, hit, maybe, reagent, l0, l1, l2, l3, l4, l5 FROM recipes r LEFT JOIN sk USING (recipe_id) LEFT JOIN rg USING (recipe_id) LEFT JOIN ln USING (recipe_id)",
         [
-            ("name~a", "contains(lower(name), 'a')"), ("skill=brand#3,required>=3,required<=45", "CASE WHEN hit THEN true WHEN NOT maybe THEN false END"), ("reagent=40", "reagent"), ("learned_by=trainer|quest", _SHOWN.format("l0")),
+            ("name~a", "contains(lower(name), 'a')"), ("skill~brand#3,required>=3,required<=45", "CASE WHEN hit THEN true WHEN NOT maybe THEN false END"), ("reagent=40", "coalesce(reagent, false)"), ("learned_by=trainer|quest", _SHOWN.format("l0")),
             ("teaching_zone=3", _SHOWN.format("l1")), ("trainer_map=3", _SHOWN.format("l2")), ("quest_giver_zone=1,quest_giver_map=1", _SHOWN.format("l3")), ("quest_finisher_map=2", _SHOWN.format("l4")), ("quest_objective_zone=4", _SHOWN.format("l5")),
         ],
     )

@@ -82,7 +82,12 @@ SQL["placed"] = "\nUNION ALL ".join(
 )
 SQL["entities"] = "SELECT kind, id, name FROM placed"
 SQL["spawns"] = "SELECT kind, id, zone_id, CAST(x AS DOUBLE) AS x, y FROM placed WHERE spawned"
-NEEDS |= {"entities": ("placed",), "spawns": ("placed",)}
+# stored spawns by key, and the selected sets: none for some entities, others with a member too many, another member instead, or one twice
+SQL["spawn_keys"] = "SELECT kind, id, zone_id, concat_ws(':', id, CAST(x * 100 AS BIGINT), CAST(y AS BIGINT)) AS spawn_key FROM spawns"
+SQL["set_headers"] = "SELECT kind, id FROM entities WHERE id % 6 <> 1"
+SQL["set_members"] = """SELECT kind, id, spawn_key FROM spawn_keys WHERE id % 6 NOT IN (1, 3) UNION ALL SELECT kind, id, spawn_key FROM spawn_keys WHERE id % 6 = 4
+  UNION ALL SELECT kind, id, 'other' FROM spawn_keys WHERE id % 6 IN (2, 3)"""
+NEEDS |= {"entities": ("placed",), "spawns": ("placed",), "spawn_keys": ("spawns",), "set_headers": ("entities",), "set_members": ("spawn_keys",)}
 
 
 def maps(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,6 +124,22 @@ def spawns(spark: SparkSession, sf: str) -> DataFrame:
     return _placed(spark, sf).filter("spawned").select("kind", "id", "zone_id", "x", "y")
 
 
+def spawn_keys(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat_ws(":", F.col("id").cast("string"), F.round(F.col("x") * 100).cast("long").cast("string"), F.col("y").cast("long").cast("string"))
+    return spawns(spark, sf).select("kind", "id", "zone_id", key.alias("spawn_key"))
+
+
+def set_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return entities(spark, sf).filter("id % 6 <> 1").select("kind", "id")
+
+
+def set_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected members of spawn sets: most as stored; some sets have one more, another one instead, or one twice."""
+    keys = spawn_keys(spark, sf).select("kind", "id", "spawn_key")
+    own = F.filter(F.array(F.when(~(F.col("id") % 6).isin(1, 3), F.col("spawn_key")), F.when(F.col("id") % 6 == 4, F.col("spawn_key")), F.when((F.col("id") % 6).isin(2, 3), F.lit("other"))), lambda k: k.isNotNull())
+    return keys.select("kind", "id", F.explode(own).alias("spawn_key"))
+
+
 # -- acquisition edges ---------------------------------------------------------------------------
 SQL["loot"] = """SELECT l_suppkey AS source_id, l_partkey AS item_id, CASE l_returnflag WHEN 'R' THEN 'direct' WHEN 'A' THEN 'reference' ELSE 'vendor' END AS family,
   CASE WHEN l_returnflag = 'A' THEN l_linenumber END AS reference_id,

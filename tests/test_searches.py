@@ -101,12 +101,20 @@ def test_acquisitions_need_one_source_and_one_path(spark, items, templates):
 
 def test_places_of_entities_may_prove_a_non_match(spark):
     entities = spark.createDataFrame([("creature", 1, "Wolf"), ("creature", 2, "Bear"), ("object", 1, "Chest"), ("object", 3, "Post")], "kind string, id long, name string")
-    spawns = spark.createDataFrame([("creature", 1, 5), ("creature", 1, 6), ("creature", 2, 6), ("object", 1, None)], "kind string, id long, zone_id int")
-    declared = spark.createDataFrame([("creature", 1, 2), ("creature", 2, 1), ("object", 1, 1), ("object", 3, None)], "kind string, id long, declared int")
+    spawns = spark.createDataFrame([("creature", 1, "a", 5), ("creature", 1, "b", 6), ("creature", 2, "c", 6), ("object", 1, "d", None), ("object", 4, "e", 6), ("object", 5, "g", 6)], "kind string, id long, spawn_key string, zone_id int")
+    entities = entities.unionByName(spark.createDataFrame([("object", 4, "Other"), ("object", 5, "Twice"), ("object", 6, "Empty")], entities.schema))
+    declared = spark.createDataFrame([("creature", 1), ("creature", 2), ("object", 1), ("object", 4), ("object", 5), ("object", 6)], "kind string, id long")
+    selected = spark.createDataFrame([("creature", 1, "a"), ("creature", 1, "b"), ("creature", 2, "c"), ("object", 1, "d"), ("object", 4, "f"), ("object", 5, "g"), ("object", 5, "g")], "kind string, id long, spawn_key string")
     zones = spark.createDataFrame([(5, 1), (6, None)], "zone_id int, map_id int")
-    ask = lambda **k: {(r.entity_kind, r.entity_id): r.state for r in s.query_world_entities(entities, spawns, declared, zones, wanted=s.Wanted(ALL), **k).rows.collect()}
-    assert ask(zone_id=5) == {("creature", 1): "known_match", ("creature", 2): "known_non_match", ("object", 1): "unknown", ("object", 3): "unknown"}
-    assert ask(map_id=2)[("creature", 2)] == "unknown" and ask(map_id=2)[("creature", 1)] == "unknown"
+    page = lambda **k: s.query_world_entities(entities, spawns, declared, selected, zones, wanted=s.Wanted(ALL), **k).rows.collect()
+    ask = lambda **k: {(r.entity_kind, r.entity_id): r.state for r in page(**k)}
+    assert ask(zone_id=5) == {("creature", 1): "known_match", ("creature", 2): "known_non_match", ("object", 1): "unknown", ("object", 3): "unknown", ("object", 4): "unknown", ("object", 5): "known_non_match", ("object", 6): "known_non_match"}
+    why = lambda **k: {(r.entity_kind, r.entity_id): r.predicates[0].reason for r in page(**k)}
+    assert why(zone_id=5) == {
+        ("creature", 1): "known_matching_spawn", ("creature", 2): "complete_spawn_set_proves_no_match", ("object", 1): "spawn_with_unresolved_zone", ("object", 3): "no_selected_spawn_set",
+        ("object", 4): "selected_spawn_set_differs_from_stored_spawns", ("object", 5): "complete_spawn_set_proves_no_match", ("object", 6): "complete_spawn_set_proves_no_match",
+    }
+    assert ask(map_id=2)[("creature", 2)] == "unknown" and ask(map_id=2)[("creature", 1)] == "unknown" and why(map_id=2)[("creature", 2)] == "spawn_with_unresolved_map"
     assert ask(entity_kind="object", zone_id=5)[("creature", 1)] == "known_non_match" and ask(name_contains="WOLF")[("creature", 1)] == "known_match"
     with pytest.raises(ValueError):
         ask(entity_kind="plant")
@@ -124,13 +132,14 @@ def test_quests_by_levels_and_places(spark):
 
 def test_recipes_by_skill_items_and_ways_to_learn(spark):
     recipes = spark.createDataFrame([(1, "Stew"), (2, None), (3, "Bread")], "recipe_id long, name string")
-    skills = spark.createDataFrame([(1, "Cooking", 10), (1, "Baking", 90), (2, None, 10)], "recipe_id long, skill string, required int")
+    skills = spark.createDataFrame([(1, 7, "Cooking", 10), (1, 8, "Baking", 90), (2, 9, None, 10)], "recipe_id long, skill_line_id int, skill string, required int")
     outputs, reagents = (spark.createDataFrame(d, "recipe_id long, item_id long") for d in ([(1, 50)], [(1, 7), (1, None), (3, None)]))
     learned = spark.createDataFrame([(1, "trainer", None, 5, 1), (1, "quest", "given", 6, 2), (3, "item", None, 5, None)], "recipe_id long, kind string, role string, zone_id int, map_id int")
     ask = lambda **k: states(s.query_recipes(recipes, skills, outputs, reagents, learned, wanted=s.Wanted(ALL), **k), "recipe_id")
     assert ask(skill="cooking", max_required=20) == {1: "known_match", 2: "unknown", 3: "unknown"} and ask(skill="cooking", min_required=50) == {1: "known_non_match", 2: "known_non_match", 3: "unknown"}
-    assert ask(output_item_id=50) == {1: "known_match", 2: "unknown", 3: "unknown"} and ask(output_item_id=51)[1] == "known_non_match"
-    assert ask(reagent_item_id=7)[1] == "known_match" and ask(reagent_item_id=8) == {1: "unknown", 2: "unknown", 3: "unknown"} and ask(output_item_id=51)[2] == "unknown"
+    assert ask(skill="OOK", max_required=20)[1] == "known_match" and ask(skill_line_id=8) == {1: "known_match", 2: "known_non_match", 3: "unknown"} and ask(skill_line_id=8, skill="cook")[1] == "known_non_match" and ask(skill_line_id=9, skill="cook")[2] == "unknown"
+    assert ask(output_item_id=50) == {1: "known_match", 2: "known_non_match", 3: "known_non_match"} and ask(output_item_id=51)[1] == "known_non_match"
+    assert ask(reagent_item_id=7)[1] == "known_match" and ask(reagent_item_id=8) == {1: "known_non_match", 2: "known_non_match", 3: "known_non_match"}
     assert ask(learning_kinds=["trainer"]) == {1: "known_match", 2: "unknown", 3: "unknown"} and ask(trainer_zone_id=5, trainer_map_id=1)[1] == "known_match"
     assert ask(quest_giver_zone_id=6)[1] == "known_match" and ask(quest_finisher_zone_id=6)[1] == "unknown" and ask(teaching_zone_id=5)[3] == "known_match" and ask(teaching_map_id=1)[3] == "unknown"
     assert ask(name_contains="st") == {1: "known_match", 2: "unknown", 3: "known_non_match"}
@@ -213,3 +222,10 @@ def test_zone_inspection_limits_and_says_so(spark):
     for limits in ({"entity_limit": 0}, {"recipe_limit": 1001}):
         with pytest.raises(ValueError):
             inspect_zones(zones, spawns, loot, ends, trainers, None, **limits)
+
+
+def test_names_are_in_order_of_their_lower_case(spark):
+    quests = spark.createDataFrame([(1, "b"), (2, "C"), (3, "A"), (4, None), (5, "B")], "quest_id long, title string").selectExpr("*", "1 as level", "1 as minimum_level")
+    ends = spark.createDataFrame([], "quest_id long, role string, zone_id int, map_id int")
+    order = lambda down: [r.quest_id for r in s.query_quests(quests, ends, wanted=s.Wanted(ALL, "title", down)).rows.orderBy("position").collect()]
+    assert order(False) == [3, 1, 5, 2, 4] and order(True) == [2, 5, 1, 3, 4]
