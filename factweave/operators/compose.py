@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.sources.rounds import settle
+
 
 def overlay(base: DataFrame, patch: DataFrame, key: str, tombstone: str = "tombstone") -> DataFrame:
     """Patch over base by key: a tombstone deletes, anything else replaces the whole entry, fields are never merged."""
@@ -85,13 +87,21 @@ def proven_links(first: DataFrame, second: DataFrame, pair: list[str], proof: st
     return j.withColumn("proof", F.when(F.col("first_proof").isNotNull(), "first").otherwise("second"))
 
 
-def replay(log: DataFrame, key: str, order: str, op: str, fields: list[str], guard: Column, merging: bool) -> DataFrame:
+#: Changes that are folded as one array.
+CHUNK = 50_000
+
+
+def replay(log: DataFrame, key: str, order: str, op: str, fields: list[str], guard: str, merging: bool, chunk: int = CHUNK) -> DataFrame:
     """The latest row of every key after an ordered change log, and how many changes were errors.
 
     INSERT on a live row is an error, or merges its non-null fields when ``merging``. INSERT IGNORE
     keeps a live row; REPLACE takes the new row whole; UPDATE and DELETE apply where ``guard`` (over
-    ``acc``, the live row, and ``x``, the change) holds, and are errors on a missing row. Each key is
-    folded by itself over its ordered changes, so keys run in parallel and no row leaves the JVM.
+    ``acc``, the live row, and ``x``, the change) holds, and are errors on a missing row.
+
+    A REPLACE makes the row what it is whatever was before, so a key's log is cut there into segments
+    that are folded apart: their errors add up and the last one's row stands. What is between two
+    REPLACEs is folded ``chunk`` changes at a time, each chunk from the row that the one before left, so
+    no row holds a key's whole log. Chunks after the first take a round each, and only long segments take part.
     """
     kind = "struct<live: boolean, errors: bigint, " + ", ".join(f"{f}: bigint" for f in fields) + ">"
     start = f"cast(named_struct('live', false, 'errors', 0L, {', '.join(f'{chr(39)}{f}{chr(39)}, null' for f in fields)}) as {kind})"
@@ -110,8 +120,23 @@ def replay(log: DataFrame, key: str, order: str, op: str, fields: list[str], gua
       when not coalesce({guard}, false) then acc
       when x.op = 'UPDATE' then {row("true", "acc.errors", merged)}
       else {row("false", "acc.errors", none)} end"""
-    changes = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("seq"), F.col(op).alias("op"), *fields))).alias("changes"))
-    return changes.withColumn("_r", F.expr(f"aggregate(changes, {start}, (acc, x) -> {step})")).select(key, "_r.*")
+    log = log.select(key, F.col(order).alias("_seq"), F.col(op).alias("_op"), *fields)
+    in_order = Window.partitionBy(key).orderBy("_seq")
+    cut = log.withColumn("_seg", F.count_if(F.col("_op") == "REPLACE").over(in_order))
+    cut = cut.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(key, "_seg").orderBy("_seq")) - 1) / F.lit(chunk)))
+    change = F.struct(F.col("_seq").alias("seq"), F.col("_op").alias("op"), *fields)
+    chunks = settle(cut.groupBy(key, "_seg", "_chunk").agg(F.array_sort(F.collect_list(change)).alias("_changes")))
+    fold = lambda rows, first: rows.select(key, "_seg", F.expr(f"aggregate(_changes, {first}, (acc, x) -> {step})").alias("_r"))
+    last = chunks.agg(F.coalesce(F.max("_chunk"), F.lit(0))).first()[0]
+    state = fold(chunks.filter("_chunk = 0"), start)
+    ended = []
+    for k in range(1, last + 1):
+        state, more = settle(state), chunks.filter(F.col("_chunk") == k)
+        ended.append(state.join(more, [key, "_seg"], "left_anti"))
+        state = fold(more.join(state, [key, "_seg"]), "_r")
+    segments = union_all([*ended, state])
+    rows = segments.groupBy(key).agg(F.max_by("_r", "_seg").alias("_r"), F.sum("_r.errors").alias("_errors"))
+    return rows.select(key, "_r.live", F.col("_errors").alias("errors"), *(f"_r.{f}" for f in fields))
 
 
 def after_truncate(log: DataFrame, order: str, is_truncate: Column) -> DataFrame:

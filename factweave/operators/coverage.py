@@ -61,15 +61,17 @@ def merge_sessions(probes: DataFrame, key: str, session: str, order: str, outcom
 
     A session counts once, by its last probe. Proven and historical are final; a timeout is
     retryable until ``limit`` attempts make it terminal; otherwise the last outcome stands. Repeating
-    a session changes nothing. Each item is folded by itself.
+    a session changes nothing. Every session before the end is one attempt, so its number alone tells whether it ends the
+    item: the first one that does, or else the last one, gives the state. Sessions are numbered as
+    they stream by in order, and nothing is gathered by item.
     """
     per = probes.groupBy(key, session).agg(F.max_by(outcome, order).alias("_o"), F.max(order).alias("_s"))
-    seq = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_s", "_o"))).alias("_t"))
-    zero = "named_struct('state', 'queued', 'attempts', 0)"
-    step = f"""case when acc.state in ('refresh_proven', 'historical', 'terminal') then acc
-      when x._o = 'timeout' then named_struct('state', if(acc.attempts + 1 >= {limit}, 'terminal', 'retryable'), 'attempts', acc.attempts + 1)
-      else named_struct('state', x._o, 'attempts', acc.attempts + 1) end"""
-    return seq.select(key, F.expr(f"aggregate(_t, {zero}, (acc, x) -> {step})").alias("r")).select(key, "r.state", "r.attempts")
+    numbered = per.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_s", "_o")))
+    final = F.col("_o").isin("refresh_proven", "historical") | ((F.col("_o") == "timeout") & (F.col("_k") >= limit))
+    at = F.struct("_k", "_o")
+    r = F.coalesce(F.min(F.when(final, at)), F.max(at)).alias("_r")
+    state = F.when(F.col("_r._o") != "timeout", F.col("_r._o")).when(F.col("_r._o").isNotNull(), F.when(F.col("_r._k") >= limit, "terminal").otherwise("retryable"))
+    return numbered.groupBy(key).agg(r).select(key, state.alias("state"), F.col("_r._k").alias("attempts"))
 
 
 def next_batch(items: DataFrame, key: str, state: str, limit: int) -> DataFrame:
