@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.entities import geography
+
 from factweave.operators.selection import unique_fallback
 
 
@@ -70,6 +72,23 @@ def inspect_zones(
     return ZoneInspection(entities, items, quests, vendors, taught, recipes, out)
 
 
+def zone_states(zones: DataFrame, entities: DataFrame, spawns: DataFrame, declared: DataFrame, selected: DataFrame) -> DataFrame:
+    """``(zone_id, known_match, known_non_match, unknown)``: how many entities each zone holds, surely doesn't hold, or may hold.
+
+    Apart from the zones that its spawns prove, an entity is a non-match everywhere or unknown everywhere
+    (see ``entities.geography``), so each zone's numbers are all entities' less those that it holds: no zone is paired with all entities.
+    """
+    never = F.lit(False)
+    proven = geography(spawns, declared, selected, never, F.col("zone_id").isNull(), never).select("kind", "id", F.col("answer").isNotNull().alias("_proven"))
+    known = entities.select("kind", "id").join(proven, ["kind", "id"], "left").select("kind", "id", F.coalesce("_proven", never).alias("_proven"))
+    held = spawns.filter("zone_id is not null").select("zone_id", "kind", "id").distinct().join(known, ["kind", "id"])
+    held = held.groupBy("zone_id").agg(F.count("*").alias("known_match"), F.count_if("_proven").alias("_p"))
+    total = known.agg(F.count("*").alias("_n"), F.count_if("_proven").alias("_all"))  # one row
+    out = zones.select("zone_id").join(held, "zone_id", "left").join(F.broadcast(total))
+    match, own = F.coalesce("known_match", F.lit(0)), F.coalesce("_p", F.lit(0))
+    return out.select("zone_id", match.alias("known_match"), (F.col("_all") - own).alias("known_non_match"), (F.col("_n") - F.col("_all") - match + own).alias("unknown"))
+
+
 def field_provenance(subjects: DataFrame, facts: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """``(subject_key, field, seq, how)``: the selected fact behind each field: the named one, else the only one of its family.
 

@@ -60,18 +60,17 @@ def traversal_flags(nodes: DataFrame, links: DataFrame, edges: DataFrame, max_de
     return out.select("root", "nodes", "deepest", *[F.coalesce(c, F.lit(False)).alias(c) for c in out.columns if c not in ("root", "nodes", "deepest")])
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left when nodes without an incoming or outgoing edge are trimmed again and again: what lies on or between cycles."""
     rest = settle(edges.filter("a <> b").select("a", "b").distinct())
     size = rest.count()
-    for _ in range(rounds):
+    while True:
         into, out = rest.select(F.col("b").alias("a")).distinct(), rest.select(F.col("a").alias("b")).distinct()
         rest = settle(rest.join(into, "a", "left_semi").join(out, "b", "left_semi").select("a", "b"))  # cut each time: every step names the last one thrice
         left = rest.count()
         if left == size:
-            break
+            return rest
         size = left
-    return rest
 
 
 def _reach(edges: DataFrame, labels: DataFrame) -> DataFrame:

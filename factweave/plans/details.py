@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.operators import details as d
-from factweave.plans.entities import LOOT, QUEST, _endpoints
+from factweave.plans.entities import COVERED, LOOT, QUEST, REASON, SETS, _endpoints
 from factweave.plans.ledger import KEYS
 from factweave.plans.registry import query
 from factweave.plans.searches import learned
@@ -235,3 +235,19 @@ def e25_ways(spark: SparkSession, sf: str) -> DataFrame:
 @query("e25_recipe_provenance", b.with_views("recipes", "obs", "selections") + _SEL + provenance_sql("(SELECT recipe_id AS subject_key FROM recipes)"))
 def e25_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return provenance(spark, sf, b.recipes(spark, sf).select(F.col("recipe_id").alias("subject_key")))
+
+
+@query(
+    "e14_zone_states",
+    b.with_views(*SETS, "zones")
+    + COVERED
+    + """, pairs AS (SELECT z.zone_id AS asked, e.kind, e.id, coalesce(declared, false) AS declared, coalesce(unresolved, 0) AS unresolved, coalesce(extra, 0) AS extra FROM zones z, entities e LEFT JOIN covered USING (kind, id)),
+  per AS (SELECT p.asked, p.kind, p.id, p.declared, p.unresolved, p.extra, coalesce(bool_or(s.zone_id = p.asked), false) AS hit, coalesce(bool_or(s.kind IS NOT NULL AND s.zone_id IS NULL), false) AS no_zone, false AS no_map FROM pairs p LEFT JOIN spawn_keys s USING (kind, id) GROUP BY ALL),
+  judged AS (SELECT asked, """
+    + REASON
+    + """ AS reason FROM per)
+  SELECT asked AS zone_id, count(*) FILTER (reason = 'known_matching_spawn') AS known_match, count(*) FILTER (reason = 'complete_spawn_set_proves_no_match') AS known_non_match, count(*) FILTER (reason NOT IN ('known_matching_spawn', 'complete_spawn_set_proves_no_match')) AS unknown FROM judged GROUP BY asked""",
+)
+def e14_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What is known of all entities in each zone."""
+    return d.zone_states(b.zones(spark, sf), b.entities(spark, sf), b.spawn_keys(spark, sf), b.set_headers(spark, sf), b.set_members(spark, sf))

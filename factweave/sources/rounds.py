@@ -15,15 +15,17 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset.
 
-    A cluster without the setting uses its shared warehouse, a single process a temporary folder.
-    The setting is fixed once a session runs, so our own choice is kept here.
+    Only a single process may go without the setting: it gets a temporary folder, which is kept here as
+    the setting is fixed once a session runs. A cluster without it is an error, as no folder is known to be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.applicationId not in _OWN:
             local = context.master.startswith("local[") or context.master == "local"
-            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="factweave-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+            if not local:
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="factweave-")
         found = _OWN[context.applicationId]
     return found.rstrip("/")
 
