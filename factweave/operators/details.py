@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.operators.entities import geography
+from factweave.sources.rounds import settle
 
 from factweave.operators.selection import unique_fallback
 
@@ -45,7 +46,7 @@ def inspect_zones(
     if not 1 <= entity_limit <= 1000 or not 1 <= recipe_limit <= 1000:
         raise ValueError("limits are 1 to 1000")
     here = spawns.join(zones.select("zone_id"), "zone_id", "left_semi").select("zone_id", "kind", "id").distinct()
-    entities = first_per(here, "zone_id", ["kind", "id"], entity_limit)
+    entities = settle(first_per(here, "zone_id", ["kind", "id"], entity_limit))  # every projection starts from it
     creatures = entities.filter("kind = 'creature'").select("zone_id", F.col("id").alias("source_id"))
     sold = loot.join(creatures, "source_id")
     path = F.struct("source_id", "family", "reference_id", "chance", "max_count")
