@@ -444,8 +444,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and compared by these pieces' words, so a block may begin and end inside lines; up to a piece of
     it stays at such an end. Every stretch of eight fifths of ``min_words`` words that an
     earlier document holds is compared with the earliest document that holds a run of it. ``removed_lines`` counts lines that went whole. Texts without a removed piece stay byte for
-    byte; a document may end up empty but no row is dropped. A null text stays null; an empty table
-    gives no rows; further columns are kept, but for any called ``n_lines`` or ``removed_lines``,
+    byte; a document may end up empty but no row is dropped. A null text stays null; places in a text are
+    32-bit numbers, which Spark's largest text fits; an empty table gives no rows; further columns are kept, but for any called ``n_lines`` or ``removed_lines``,
     whose places the counts take.
     """
     lines = stash(line_table(docs, id_col, text_col, min_words))

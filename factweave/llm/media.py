@@ -226,7 +226,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document with the facts of its stored samples, by way of its page's resolved sequence.
 
     Null and empty texts are one unit of 255s; equal texts have equal values; an empty table gives
-    no rows; repeated rows stay apart. Stored media go to the shared folder once and are read from it.
+    no rows; repeated rows, and those without an id, stay apart; other columns are ignored, whatever their names. Stored media go to the shared folder once and are read from it.
     """
     stored = stash(text_pages(docs, id_col, text_col))
     known = stash(read_media(stored))

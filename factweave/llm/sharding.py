@@ -97,8 +97,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     are differenced again, level by level, until at most ``TOP_BUCKETS`` are left; their sums and the
     groups that are large by themselves (at most ``2 * GRAIN * shards``) meet in a last differencing
     on the driver. A group above an even share gets what else its shard must take: nothing. Large
-    groups are found by a broadcast of that bounded list and never meet in one join key. An empty
-    table gives no rows; repeated ids keep their rows.
+    groups are found by a broadcast of that bounded list and never meet in one join key. Groups of
+    equal size are taken in falling order of their digests. An empty table gives no rows; repeated ids and
+    rows without one keep their rows; a very long text is a group like any other; other columns are ignored, whatever their names.
     """
     text = text_of(text_col)
     rows = docs.select(
