@@ -18,14 +18,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; all columns unchanged."""
+    """Documents that the classifier does not call toxic; all columns unchanged.
+
+    A null text scores as an empty one. Every row is judged by its own whole text, so rows that repeat a
+    text share its fate and rows that repeat an id, or have none, are judged apart; an empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", 4, 2)
     score = toxicity.scorer(spark, model)
     return docs.select(*COLUMNS, score("text").alias("_score")).filter("_score < 0.3").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, later ones without the blocks that earlier ones hold; ``n_chars`` follows the text."""
+    """All documents, later ones without the blocks that earlier ones hold; ``n_chars`` follows the text.
+
+    No row is dropped. Null and empty texts stay as they are; rows that repeat id and text are treated
+    alike, and a later copy under another id may end up empty. An empty table stays empty.
+    """
     cleared = linededup.dedup_lines(docs.select(*COLUMNS, F.length("text").alias("_before")))
     chars = F.when(F.length("text") != F.col("_before"), F.length("text")).otherwise(F.col("n_chars"))
     return cleared.withColumn("n_chars", chars.cast("long")).select(*COLUMNS)
@@ -63,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 1024 tokens."""
+    """Pieces of all documents in windows of 1024 tokens; a null or empty text is its end token alone, repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), window=1024)
 
 
