@@ -8,47 +8,78 @@ from pyspark.sql import functions as F
 from factweave.sources.rounds import settle
 
 
-def traverse(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int) -> tuple[DataFrame, DataFrame]:
+#: Ways to follow ``edges(a, b)``, "a needs b": from a node to what it needs, or to what needs it.
+DIRECTIONS = ("prerequisite", "follow_up")
+
+
+def traverse(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int, direction: str = "prerequisite", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first from many roots at once, ``root`` kept as a key: ``(nodes, links)``.
 
     ``nodes(root, node, depth)`` has the least depth. ``links(root, a, b, depth, cycle)`` lists each
-    edge out of a visited node, also to nodes seen before; it closes a cycle if its target is on the
+    edge out of a visited node in the ``direction``, also to nodes seen before; it closes a cycle if its target is on the
     path by which its source was reached. Nodes beyond ``max_nodes`` per root, in the order of depth,
-    parent's order and id, are left out; that is the order of paths, which are as long as the depth, 20
-    at most. Each depth is written once, links are made in the end.
+    parent's order and id, are left out. A target that is not one of ``known(node)``, where that is given, has links but is
+    no node and isn't followed. Repeated edges and roots count once, null ones not at all.
+
+    A root's nodes are numbered as they are reached and know their parent's number. New nodes are the
+    pairs of root and neighbour that no earlier depth has, with their least parent, combined in every
+    task before the shuffle; of those a task hands on the first ``max_nodes`` of a root, as row limits
+    do, so that a hub's neighbours never meet. Each depth and the edges are written once, links are made in the end.
     """
     if not 0 <= max_depth <= 20 or not 1 <= max_nodes <= 500:
         raise ValueError("depth is 0 to 20, nodes 1 to 500")
-    frontier = settle(roots.select("root", F.col("root").alias("node"), F.array(F.col("root")).alias("path"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("have")))
+    if direction not in DIRECTIONS:
+        raise ValueError(f"direction is one of {', '.join(DIRECTIONS)}")
+    a, b = ("a", "b") if direction == "prerequisite" else ("b", "a")
+    edges = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().distinct())
+    roots = roots.select("root").dropna().distinct()
+    frontier = settle(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(0).alias("parent"), F.lit(1).alias("have")))
     nodes = frontier
     for depth in range(1, max_depth + 1):
-        out = frontier.join(edges, frontier["node"] == edges["a"]).select("root", "b", F.concat("path", F.array("b")).alias("path"), "have")
-        fresh = out.join(nodes.select("root", F.col("node").alias("b")), ["root", "b"], "left_anti")
-        fresh = fresh.groupBy("root", F.col("b").alias("node")).agg(F.min("path").alias("path"), F.max("have").alias("have"))
+        out = frontier.filter(F.col("have") < max_nodes).join(edges, frontier["node"] == edges["a"]).select("root", F.col("b").alias("node"), F.col("at").alias("parent"), "have")
+        if known is not None:
+            out = out.join(known.select("node"), "node", "left_semi").select("root", "node", "parent", "have")
+        seen = nodes.select("root", "node", F.lit(0).alias("parent"), F.lit(0).alias("have"))  # parent 0: no new node has it
+        fresh = out.unionByName(seen).groupBy("root", "node").agg(F.min("parent").alias("parent"), F.max("have").alias("have")).filter("parent > 0")
         own = Window.partitionBy("root")
-        fresh = fresh.withColumn("at", F.row_number().over(own.orderBy("path"))).withColumn("new", F.count("*").over(own)).filter(F.col("at") + F.col("have") <= max_nodes)
-        frontier = settle(fresh.select("root", "node", "path", F.lit(depth).alias("depth"), (F.col("have") + F.col("new")).alias("have")))
-        nodes = nodes.unionByName(frontier)
+        first = fresh.withColumn("nth", F.row_number().over(own.orderBy("parent", "node"))).filter(F.col("nth") <= max_nodes)
+        kept = first.filter(F.col("nth") + F.col("have") <= max_nodes).withColumn("new", F.count("*").over(own))
+        frontier = settle(kept.select("root", "node", F.lit(depth).alias("depth"), (F.col("have") + F.col("nth")).cast("int").alias("at"), "parent", (F.col("have") + F.col("new")).cast("int").alias("have")))
         if not frontier.head(1):
             break
-    inner = nodes.filter(F.col("depth") < max_depth)
-    links = inner.join(edges, inner["node"] == edges["a"]).select("root", "a", "b", (F.col("depth") + 1).alias("depth"), F.array_contains("path", F.col("b")).alias("cycle"))
-    return nodes.select("root", "node", "depth"), links
-
-
-def traversal_flags(nodes: DataFrame, links: DataFrame, edges: DataFrame, max_depth: int, known: DataFrame | None = None, partial: DataFrame | None = None) -> DataFrame:
+        nodes = nodes.unionByName(frontier)
+    return nodes.select("root", "node", "depth"), _links(nodes, edges, max_depth)
+
+
+def _links(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """Edges out of visited nodes. Only those to a node that was reached no later may close a cycle: their
+    sources climb from parent to parent to the target's depth, where target and source's ancestor are one or not."""
+    out = nodes.filter(F.col("depth") < max_depth).join(edges, nodes["node"] == edges["a"]).select("root", "a", "b", "depth", "at")
+    out = out.join(nodes.select("root", F.col("node").alias("b"), F.col("depth").alias("_depth"), F.col("at").alias("_at")), ["root", "b"], "left")
+    earlier = F.coalesce(F.col("_depth") <= F.col("depth"), F.lit(False))
+    up = out.filter(earlier).withColumn("level", F.col("depth"))
+    steps = nodes.filter("depth > 0").select("root", "at", F.col("parent").alias("_parent"))
+    for _ in range(max_depth - 1):  # sources lie above the last depth
+        up = up.join(steps, ["root", "at"], "left")
+        climbs = F.col("level") > F.col("_depth")
+        up = up.withColumn("at", F.when(climbs, F.col("_parent")).otherwise(F.col("at"))).withColumn("level", F.when(climbs, F.col("level") - 1).otherwise(F.col("level"))).drop("_parent")
+    links = out.filter(~earlier).withColumn("cycle", F.lit(False)).select("root", "a", "b", "depth", "cycle")
+    return links.unionByName(up.select("root", "a", "b", "depth", (F.col("at") == F.col("_at")).alias("cycle"))).withColumn("depth", F.col("depth") + 1)
+
+
+def traversal_flags(nodes: DataFrame, links: DataFrame, edges: DataFrame, max_depth: int, known: DataFrame | None = None, partial: DataFrame | None = None, direction: str = "prerequisite") -> DataFrame:
     """Per root: how many nodes, the deepest, and what has to be said about the result.
 
     ``ambiguous``: a node had more than one neighbour. ``cycle``: a link leads back onto its path.
     ``unresolved``: a link's target is not among ``known(node)``. ``incomplete``: a visited node's own set
     is one of ``partial(node)``. ``truncated_by_depth``: a node at the last depth has neighbours.
-    ``truncated_by_budget``: a link's target was left out for the number of nodes.
+    ``truncated_by_budget``: a link's target was left out for the number of nodes. ``direction`` is the walk's.
     """
     per = nodes.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"))
     branch = links.groupBy("root", "a").agg(F.count("*").alias("n"), F.bool_or("cycle").alias("cycle"))
     branch = branch.groupBy("root").agg(F.bool_or(F.col("n") > 1).alias("ambiguous"), F.bool_or("cycle").alias("cycle"))
     roots_of = lambda rows, name: rows.select("root").distinct().withColumn(name, F.lit(True))
-    flags = [roots_of(nodes.filter(F.col("depth") == max_depth).join(edges.select(F.col("a").alias("node")), "node", "left_semi"), "truncated_by_depth")]
+    flags = [roots_of(nodes.filter(F.col("depth") == max_depth).join(edges.select(F.col("a" if direction == "prerequisite" else "b").alias("node")), "node", "left_semi"), "truncated_by_depth")]
     flags.append(roots_of(links.join(nodes.select("root", F.col("node").alias("b")), ["root", "b"], "left_anti"), "truncated_by_budget"))
     if known is not None:
         flags.append(roots_of(links.join(known.select(F.col("node").alias("b")), "b", "left_anti"), "unresolved"))

@@ -17,11 +17,11 @@ _WALK = f""", walk AS (SELECT o_orderkey AS root, o_orderkey AS node, [o_orderke
 _LINKS = f", links AS (SELECT n.root, e.a, e.b, n.depth + 1 AS depth, list_contains(n.path, e.b) AS cycle FROM best n JOIN edges e ON n.node = e.a WHERE n.depth < {DEPTH})"
 
 
-def _walk(spark: SparkSession, sf: str, depth: int = DEPTH):
+def _walk(spark: SparkSession, sf: str, depth: int = DEPTH, direction: str = "prerequisite"):
     """From every order, over all edges."""
     roots = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("root"))
     edges = b.edges(spark, sf)
-    return (*g.traverse(edges, roots, depth, 500), edges)
+    return (*g.traverse(edges, roots, depth, 500, direction), edges)
 
 
 @query("g01_traverse_nodes", b.with_views("edges") + _WALK + " SELECT * FROM nodes")
@@ -34,6 +34,12 @@ def g01_links(spark: SparkSession, sf: str) -> DataFrame:
     return _walk(spark, sf)[1]
 
 
+@query("g01_follow_up_links", b.with_views("edges") + ", fwd AS (SELECT b AS a, a AS b FROM edges)" + (_WALK + _LINKS).replace("JOIN edges e", "JOIN fwd e") + " SELECT * FROM links")
+def g01_follow_ups(spark: SparkSession, sf: str) -> DataFrame:
+    """From every order to what needs it."""
+    return _walk(spark, sf, direction="follow_up")[1]
+
+
 @query(
     "g02_traversal_flags",
     b.with_views("edges")

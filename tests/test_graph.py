@@ -70,3 +70,44 @@ def test_limits_are_checked(spark):
     edges = spark.createDataFrame([(1, 2)], "a long, b long")
     with pytest.raises(ValueError):
         g.traverse(edges, edges.selectExpr("a as root"), 21, 10)
+    with pytest.raises(ValueError):
+        g.traverse(edges, edges.selectExpr("a as root"), 2, 10, direction="sideways")
+
+
+def serial_walk(edges, root, depth, budget, known=None):
+    """Breadth-first with a queue: nodes by depth, and links with their depth and whether they close a cycle."""
+    out = {}
+    for a, b in sorted(set(edges)):
+        out.setdefault(a, []).append(b)
+    nodes, links, queue = {root: 0}, set(), [(root, 0, (root,))]
+    while queue:
+        a, d, path = queue.pop(0)
+        if d == depth:
+            continue
+        for b in out.get(a, ()):
+            links.add((a, b, d + 1, b in path))
+            if b not in nodes and len(nodes) < budget and (known is None or b in known):
+                nodes[b] = d + 1
+                queue.append((b, d + 1, (*path, b)))
+    return nodes, links
+
+
+@pytest.mark.parametrize(("seed", "budget", "direction"), [(4, 500, "prerequisite"), (5, 9, "prerequisite"), (6, 12, "follow_up")])
+def test_traversal_matches_a_serial_form(spark, seed, budget, direction):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(60)] + [(0, k) for k in range(30, 60)]  # with loops, repeats and a hub
+    roots, known = list(range(0, 30, 3)), set(range(60)) - {7, 11, 35}
+    table = spark.createDataFrame([*edges, (None, 1), (1, None)], "a long, b long")
+    for given in (None, known):
+        some = None if given is None else spark.createDataFrame([(k,) for k in given], "node long")
+        nodes, links = g.traverse(table, spark.createDataFrame([(r,) for r in [*roots, roots[0]]], "root long"), 4, budget, direction, some)
+        ways = edges if direction == "prerequisite" else [(b, a) for a, b in edges]
+        plain = {r: serial_walk(ways, r, 4, budget, given) for r in roots}
+        assert sorted(map(tuple, nodes.collect())) == sorted((r, n, d) for r, (ns, _) in plain.items() for n, d in ns.items())
+        assert sorted((x.root, x.a, x.b, x.depth, x.cycle) for x in links.collect()) == sorted((r, *x) for r, (_, ls) in plain.items() for x in ls)
+
+
+def test_a_hub_hands_on_no_more_than_the_budget(spark):
+    edges = spark.range(2, 200_002).selectExpr("1L as a", "id as b")
+    nodes, _ = g.traverse(edges, spark.createDataFrame([(1,)], "root long"), 1, 50)
+    assert {r.node for r in nodes.collect()} == set(range(1, 51))
