@@ -30,7 +30,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0x9E3779B97F4A7C15
 #: Hash of a piece, and twice its words, plus one at the end of a line.
-_PIECE = np.dtype([("h", "<i4"), ("n", "<i4")])
+_PIECE = np.dtype([("h", "<i8"), ("n", "<i4")])
 #: Bits of a mark's place for each of its three lengths.
 _BITS = 10
 
@@ -281,7 +281,7 @@ def _marks_and_chunks(raws: list[bytes], min_words: int) -> tuple[pa.ListArray,
     ends = piece_ends(w)
     begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     pieces = np.empty(len(ends), _PIECE)
-    pieces["h"] = _spans(w.hash, begins, ends).astype(np.uint32).view(np.int32)
+    pieces["h"] = _spans(w.hash, begins, ends).view(np.int64)
     pieces["n"] = 2 * (ends - begins) + (np.concatenate((w.line[1:] != w.line[:-1], [True]))[ends - 1] if n_words else 0)
     owner = w.text[begins] if len(ends) else np.empty(0, np.int64)
     first = np.searchsorted(owner, np.arange(len(raws)))  # each text's first piece
@@ -417,8 +417,8 @@ def aligned_pieces(pairs: DataFrame, min_words: int) -> DataFrame:
     def make():
         def one(shared: list[dict], parts: list[dict]) -> tuple[list[int], list[int]]:
             own, other = ({p["chunk"]: p["pieces"] for p in parts if p["own"] == side} for side in (True, False))
-            b, words, begins, places = _joined(own, -1 << 40)
-            a, a_words, _, _ = _joined(other, -1 << 41)
+            b, words, begins, places = _joined(own, -1 << 64)
+            a, a_words, _, _ = _joined(other, -1 << 65)  # gaps are no 64-bit numbers, so they equal no hash
             known = []
             for place in {s["here"] for s in shared if s["here"] % 2}:
                 at, n = place >> _BITS + 1, place >> 1 & (1 << _BITS) - 1
@@ -441,7 +441,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents are ordered by id, those without one last, then by content; rows that repeat id and
     text are one document and treated alike. Lines are cut at words that their hash chooses
-    and compared by these pieces' words, so a block may begin and end inside lines; up to a piece of
+    and compared by 64-bit hashes of these pieces' words, so a block may begin and end inside lines; up to a piece of
     it stays at such an end. Every stretch of eight fifths of ``min_words`` words that an
     earlier document holds is compared with the earliest document that holds a run of it. ``removed_lines`` counts lines that went whole. Texts without a removed piece stay byte for
     byte; a document may end up empty but no row is dropped. A null text stays null; places in a text are

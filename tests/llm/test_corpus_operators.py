@@ -612,6 +612,57 @@ def test_no_long_run_of_words_stays_in_two_documents(spark):
     assert found[0] == texts[0]
 
 
+def without_shared_blocks(texts: list[str], min_words: int) -> list[str]:
+    """All pairs of documents, plainly: a line goes if it lies in equal lines in a row, of so many words, of an earlier document."""
+    out = []
+    for late, text in enumerate(texts):
+        lines = text.split("\n")
+        gone = set()
+        for early in texts[:late]:
+            other = early.split("\n")
+            for i in range(len(other)):
+                for j in range(len(lines)):
+                    n = 0
+                    while i + n < len(other) and j + n < len(lines) and other[i + n] == lines[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[j : j + n]) >= min_words:
+                        gone.update(range(j, j + n))
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_final_texts_match_all_pairs_of_documents(spark, seed):
+    """Passages of some lines in any order, repeated inside a document or held by a third of all, between lines of a document's own."""
+    rng = random.Random(seed)
+    passages = ["\n".join(words(rng, rng.randint(4, 30)) for _ in range(rng.randint(1, 5))) for _ in range(12)]
+    texts = []
+    for k in range(36):
+        held = rng.choices(passages, k=rng.randint(0, 5)) + ([passages[0]] if k % 3 == 0 else [])
+        rng.shuffle(held)
+        parts = [words(rng, rng.randint(3, 50))]
+        for passage in held:
+            parts += [passage, words(rng, rng.randint(3, 50))]
+        texts.append("\n".join(parts))
+    want = without_shared_blocks(texts, 25)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.text for r in linededup.dedup_lines(rows).collect()}
+    assert sum(x != y for x, y in zip(texts, want, strict=True)) > 15
+    assert [found[k] for k in range(len(texts))] == want
+
+
+def test_words_that_agree_in_half_of_their_hash_are_unlike():
+    """Pieces are compared by all 64 bits, so 32 equal ones don't delete a line."""
+    rng = random.Random(14)
+    pieces = [np.frombuffer(linededup._marks_and_chunks([words(rng, 30).encode()], 25)[1][0].as_py()[0], linededup._PIECE) for _ in range(2)]
+    assert pieces[0]["h"].dtype == np.int64 and (np.abs(pieces[0]["h"]) >> 32).any()
+    low = pieces[0]["h"].tolist()
+    high = [h ^ 1 << 40 for h in low]  # equal in their lower halves
+    n = pieces[0]["n"].tolist()
+    assert linededup.common_blocks(low, high, n, n, [], 25) == (set(), set())
+    assert linededup.common_blocks(low, low, n, n, [], 25) == (set(range(len(low))), set())
+
+
 def test_words_lines_and_pieces_of_odd_texts():
     rng = random.Random(2)
     texts = ["", " ", "a", "a\n\nb  c\t d\n", "x" * 3_000_000, words(rng, 5000), "\n".join(words(rng, 9) for _ in range(50)), "é\u00a0é ü", "same " * 3000]
@@ -626,7 +677,7 @@ def test_words_lines_and_pieces_of_odd_texts():
     marks, chunks = linededup._marks_and_chunks(raws, 25)
     for k, text in enumerate(texts):
         pieces = np.frombuffer(b"".join(chunks[k].as_py()), linededup._PIECE)
-        assert (pieces["n"] // 2).sum() == len(text.encode().split()) and (pieces["n"] % 2).sum() == sum(bool(x.split()) for x in text.encode().split(b"\n")) and all(len(c) == 8 * linededup.CHUNK for c in chunks[k].as_py()[:-1])
+        assert (pieces["n"] // 2).sum() == len(text.encode().split()) and (pieces["n"] % 2).sum() == sum(bool(x.split()) for x in text.encode().split(b"\n")) and all(len(c) == linededup._PIECE.itemsize * linededup.CHUNK for c in chunks[k].as_py()[:-1])
         assert linededup.without(text, np.array([], int)) == (text, 0)
         assert linededup.without(text, np.arange(len(pieces)))[0].split() == []
     alone = linededup._marks_and_chunks([raws[5]], 25)
