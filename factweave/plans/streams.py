@@ -52,6 +52,6 @@ def s02(spark: SparkSession, sf: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={number}")
 
     tracked.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(tracked.schema.add("batch_id", "long")).parquet(f"{folder}/out")
+    out = spark.read.schema(tracked.schema.add("batch_id", "long")).parquet(f"{folder}/out").filter("NOT late")
     last = out.groupBy("item_id").agg(F.max_by(F.struct("state", "attempts"), "batch_id").alias("r"))
     return last.select("item_id", "r.state", "r.attempts")
