@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators.coverage import merge_sessions
-from factweave.streaming import probes
+from factweave.streaming import ingest, probes
 
 SCHEMA = "item_id long, session string, attempt long, o string"
 
@@ -65,3 +65,36 @@ def test_limits_and_empty_streams(spark, tmp_path):
     assert tracked(spark, tmp_path, [[]]) == []
     with pytest.raises(ValueError):
         probes.track(spark.createDataFrame([], SCHEMA), "item_id", "session", "attempt", "o", 0)
+
+
+def test_the_store_stays_small_and_a_batch_run_again_adds_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "MERGE", 2)
+    monkeypatch.setattr(ingest, "BUCKETS", 3)
+    rng = random.Random(5)
+    schema, store = "k long, v string, seq long", f"{tmp_path}/store"
+    batches = [[(rng.choice([None, *range(12)]), rng.choice([None, "x", "y"]), 20 * n + i) for i in range(20)] for n in range(6)]
+    batches[3] = []
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        ingest.continuous_ingest(stream, ["k", "v"], "seq", store, f"{tmp_path}/{checkpoint}").awaitTermination()
+        return sorted((r.k is None, r.k or 0, r.v or "", r.v is None, r.seq) for r in ingest.stored_statements(spark, store, stream.schema).collect())
+
+    assert ingest.stored_statements(spark, store, spark.createDataFrame([], schema).schema).count() == 0
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    first = {}
+    for k, v, seq in (r for rows in batches for r in rows):
+        first[k, v] = min(seq, first.get((k, v), seq))
+    found = run("one")
+    assert [r[:4] for r in found] == sorted((k is None, k or 0, v or "", v is None) for k, v in first)
+    held = ingest.Store(spark, store, spark.createDataFrame([], schema).schema)
+    numbers, tiers = held._numbers(), [t for t, _ in held.folders()]
+    assert len(numbers) == 2 and len(tiers) == len(set(tiers)) <= 3  # one folder a tier at most
+    named = {name for n in numbers for _, name in held._manifest(n)}
+    assert set(held._names("data")) == named
+    # the last batch again, after a crash that kept it from being noted as done
+    last = numbers[-1]
+    for done in (tmp_path / "one" / "commits").glob(f"*{last}*"):
+        done.unlink()
+    assert run("one") == found and held._numbers()[-1] == last
