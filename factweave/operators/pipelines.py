@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import compose
 from factweave.operators import evidence as ev
+from factweave.operators.reconcile import sync_sets
 from factweave.sources.rounds import settle
 
 
@@ -58,3 +59,25 @@ def reconcile_domain(base: DataFrame, patch: DataFrame, key: str, stored: Domain
     known = incoming.join(new, identity, "left_semi").withColumn("action", F.lit("new")).unionByName(incoming.join(new, identity, "left_anti").withColumn("action", F.lit("known")))
     summary = reduce(DataFrame.unionByName, [count(known, "record"), count(picks, "select"), count(both, "sync")])
     return Domain(settle(stored.statements.select(*identity).unionByName(new)), settle(kept.unionByName(chosen.drop("action"))), settle(state)), summary
+
+
+def reconcile_members(wanted: DataFrame, stored: DataFrame, owners: DataFrame, targets: DataFrame, keys: list[str], target: str, complete: Column) -> tuple[DataFrame, DataFrame]:
+    """The member sets that depend on a domain, after it: ``(members, summary)``, the latter as ``reconcile_domain`` gives it.
+
+    ``wanted(*keys, target)`` names members by their owner, the first of ``keys``, and what they refer to.
+    A member whose owner isn't among ``owners`` or whose target isn't in ``targets`` is unresolved and not
+    wanted. ``stored(*keys, custom)`` is kept where wanted or custom; else it is deleted if its owner's set is
+    ``complete`` or the owner is gone. ``members`` is stored state for the next pass, which then does nothing.
+    Repeated rows count once; null keys or targets never resolve.
+    """
+    owner = keys[0]
+    here = owners.select(owner).distinct().withColumn("_here", F.lit(True))
+    found = wanted.select(*keys, target).distinct().join(here, owner, "left").join(targets.select(target).distinct().withColumn("_there", F.lit(True)), target, "left")
+    found = settle(found.withColumn("action", F.when(F.col("_here").isNull(), "no_owner").when(F.col("_there").isNull(), "no_target").otherwise("resolved")))
+    want = found.filter("action = 'resolved'").select(*keys).distinct()
+    have = stored.groupBy(*keys).agg(F.bool_or("custom").alias("custom")).join(here, owner, "left")
+    gone = F.col("_here").isNull()
+    synced = settle(sync_sets(want, have, keys, ~F.coalesce(F.col("custom"), F.lit(False)), complete=gone | complete).drop("_here"))
+    members = synced.filter("action <> 'delete'").select(*keys, F.coalesce("custom", F.lit(False)).alias("custom"))
+    count = lambda df, step: df.groupBy("action").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "action", "n")
+    return members, count(found, "resolve").unionByName(count(synced, "members"))

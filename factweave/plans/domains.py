@@ -13,8 +13,8 @@ from factweave.sources import bindings as b
 DOMAINS = {"world": ("entities", "id * 2 + CASE WHEN kind = 'creature' THEN 0 ELSE 1 END", "name", "kind"), "items": ("items", "item_id", "name", "item_id % 100"), "quests": ("quests", "quest_id", "title", "level")}
 
 
-def _sql(view: str, key: str, first: str, second: str) -> str:
-    """Both passes in SQL: everything is text, keyed by ``k``."""
+def _sql(view: str, key: str, first: str, second: str, dependants: str = "") -> str:
+    """Both passes in SQL: everything is text, keyed by ``k``; with ``dependants``, what these make of the state in place of the passes' summary."""
     one = f"SELECT DISTINCT {key} AS k, CAST({first} AS VARCHAR) AS f1, CAST({second} AS VARCHAR) AS f2 FROM {view}"
 
     def passes(n: int, statements: str, selections: str, state: str) -> str:
@@ -32,13 +32,12 @@ def _sql(view: str, key: str, first: str, second: str) -> str:
   st0 AS (SELECT k, 'f1' AS field, f1 AS value FROM rw WHERE k % 4 = 0 AND f1 IS NOT NULL), se0 AS (SELECT k, 'f1' AS field, f1 AS value, CASE WHEN k % 9 = 0 THEN 'custom' ELSE 'managed' END AS policy FROM rw WHERE k % 2 = 0 AND f1 IS NOT NULL), cu0 AS (SELECT * FROM rw WHERE k % 3 <> 0)"""
         + passes(1, "st0", "se0", "cu0")
         + ", st1 AS (SELECT k, field, value FROM st0 UNION SELECT k, field, value FROM inc1), se1 AS (SELECT k, field, value, policy FROM pick1), cu1 AS (SELECT k, CASE WHEN action IN ('insert', 'update') THEN w1 ELSE h1 END AS f1, CASE WHEN action IN ('insert', 'update') THEN w2 ELSE h2 END AS f2 FROM sync1 WHERE action <> 'delete')"
-        + passes(2, "st1", "se1", "cu1")
-        + " "
-        + sums
+        + (dependants or passes(2, "st1", "se1", "cu1") + " " + sums)
     )
 
 
-def run(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def first_pass(spark: SparkSession, sf: str, name: str):
+    """The overlay's base and patch, what the first pass leaves, and its summary."""
     view, key, first, second = DOMAINS[name]
     rows = getattr(b, view)(spark, sf)
     rows = rows.select(F.expr(key).alias("k"), F.expr(first).cast("string").alias("f1"), F.expr(second).cast("string").alias("f2")).distinct()
@@ -48,6 +47,11 @@ def run(spark: SparkSession, sf: str, name: str) -> DataFrame:
     policy = F.when(F.col("k") % 9 == 0, "custom").otherwise("managed").alias("policy")
     stored = pipelines.Domain(fact.filter("k % 4 = 0"), fact.filter("k % 2 = 0").select("k", "field", "value", policy), rows.filter("k % 3 <> 0"))
     once, did = pipelines.reconcile_domain(base, patch, "k", stored, F.col("k") % 8 == 0)
+    return base, patch, once, did
+
+
+def run(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    base, patch, once, did = first_pass(spark, sf, name)
     again = pipelines.reconcile_domain(base, patch, "k", once, F.col("k") % 8 == 0)[1]
     return did.withColumn("pass", F.lit(1)).unionByName(again.withColumn("pass", F.lit(2)))
 
@@ -65,3 +69,28 @@ def m09_items(spark: SparkSession, sf: str) -> DataFrame:
 @query("m09_quests_pipeline", _sql(*DOMAINS["quests"]))
 def m09_quests(spark: SparkSession, sf: str) -> DataFrame:
     return run(spark, sf, "quests")
+
+
+def _members_sql() -> str:
+    view, key, *_ = DOMAINS["world"]
+    one = lambda n, stored: f""", fnd{n} AS (SELECT w.*, CASE WHEN w.k NOT IN (SELECT k FROM cu1) THEN 'no_owner' WHEN w.zone_id % 11 = 4 THEN 'no_target' ELSE 'resolved' END AS action FROM wanted w),
+  mem{n} AS (SELECT coalesce(w.k, h.k) AS k, coalesce(w.spawn_key, h.spawn_key) AS spawn_key, coalesce(h.custom, false) AS custom, CASE WHEN h.k IS NULL THEN 'insert' WHEN w.k IS NOT NULL THEN 'keep' WHEN h.custom THEN 'protected'
+    WHEN h.k IN (SELECT k FROM cu1) AND h.k % 6 = 1 THEN 'kept_partial' ELSE 'delete' END AS action FROM (SELECT DISTINCT k, spawn_key FROM fnd{n} WHERE action = 'resolved') w FULL JOIN {stored} h ON w.k = h.k AND w.spawn_key = h.spawn_key)"""
+    keyed = f""", keyed AS (SELECT DISTINCT {key} AS k, spawn_key, zone_id FROM spawn_keys), wanted AS (SELECT * FROM keyed WHERE zone_id % 5 <> 0),
+  mem0 AS (SELECT k, spawn_key, bool_or(k % 9 = 0) AS custom FROM keyed WHERE zone_id % 3 <> 0 GROUP BY k, spawn_key)"""
+    sums = " UNION ALL ".join(f"SELECT {n} AS pass, '{step}' AS step, action, count(*) AS n FROM {t}{n} GROUP BY action" for n in (1, 2) for step, t in (("resolve", "fnd"), ("members", "mem")))
+    dependants = keyed + one(1, "mem0") + ", kept1 AS (SELECT k, spawn_key, custom FROM mem1 WHERE action <> 'delete')" + one(2, "kept1") + " " + sums
+    return _sql(*DOMAINS["world"], dependants).replace(b.with_views(view), b.with_views("entities", "spawn_keys"))
+
+
+@query("m09_world_members", _members_sql())
+def m09_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Spawns of the reconciled world, twice; zones that can't be resolved are marked by their number."""
+    owners = first_pass(spark, sf, "world")[2].state
+    rows = b.spawn_keys(spark, sf).select(F.expr(DOMAINS["world"][1]).alias("k"), "spawn_key", "zone_id")
+    wanted = rows.filter("zone_id % 5 <> 0")
+    zones = rows.filter("zone_id % 11 <> 4").select("zone_id")
+    stored = rows.filter("zone_id % 3 <> 0").select("k", "spawn_key", (F.col("k") % 9 == 0).alias("custom"))
+    step = lambda held: pipelines.reconcile_members(wanted, held, owners, zones, ["k", "spawn_key"], "zone_id", F.col("k") % 6 != 1)
+    once, did = step(stored)
+    return did.withColumn("pass", F.lit(1)).unionByName(step(once)[1].withColumn("pass", F.lit(2)))
