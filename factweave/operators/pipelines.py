@@ -81,3 +81,75 @@ def reconcile_members(wanted: DataFrame, stored: DataFrame, owners: DataFrame, t
     members = synced.filter("action <> 'delete'").select(*keys, F.coalesce("custom", F.lit(False)).alias("custom"))
     count = lambda df, step: df.groupBy("action").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "action", "n")
     return members, count(found, "resolve").unionByName(count(synced, "members"))
+
+
+MEMBER = ["owner", "family", "target"]
+
+
+@dataclass(frozen=True)
+class Members:
+    """Member sets by family that depend on domains: ``wanted(owner, family, target)`` and ``stored`` of the same with ``custom``.
+
+    ``owners`` names the owners' domain and ``refers`` the domain of each family's targets. ``complete`` tells, over
+    owner and family, whose wanted set is whole; of other sets nothing is deleted. Without ``loops`` no row may refer to itself.
+    """
+
+    wanted: DataFrame
+    stored: DataFrame
+    owners: str
+    refers: dict[str, str]
+    complete: Column
+    loops: bool = False
+
+
+@dataclass(frozen=True)
+class Dependants:
+    """What the dependants' pass leaves: sets by step, rows by domain that are kept for them, unresolved rows, counts."""
+
+    members: dict[str, DataFrame]
+    held: dict[str, DataFrame]
+    unresolved: DataFrame
+    summary: DataFrame
+
+
+def reconcile_dependants(states: dict[str, DataFrame], gone: dict[str, DataFrame], key: str, steps: dict[str, Members]) -> Dependants:
+    """Sync the sets that depend on domains after these, and then decide what the domains may delete.
+
+    ``states`` are the domains' rows after their own pass and ``gone`` the stored rows that it would delete, by ``key``.
+    A wanted member is unresolved with the first reason that holds: ``no_owner``, ``self`` (where loops are refused) or
+    ``no_target``; a family without a domain has no targets. Stored members that aren't wanted go if their set is whole
+    or their owner has gone, unless custom. A gone row that a member which stays belongs to or refers to is ``held``: it
+    goes back to the domain's state, where the next pass finds it gone and holds it again, so that a second pass
+    changes nothing. Repeated rows count once, null parts never resolve, and a hot owner or target is one row of the
+    side that members are joined to.
+    """
+    members, unresolved, counts = {}, [], []
+    uses: dict[str, list[DataFrame]] = {name: [] for name in states}
+    for name, step in steps.items():
+        here = states[step.owners].select(F.col(key).alias("owner")).distinct().withColumn("_here", F.lit(True))
+        there = reduce(DataFrame.unionByName, [states[d].select(F.lit(f).alias("family"), F.col(key).alias("target")) for f, d in step.refers.items()])
+        there = there.distinct().withColumn("_there", F.lit(True))
+        inward = F.col("family").isin(*[f for f, d in step.refers.items() if d == step.owners])
+        loop = (F.col("owner") == F.col("target")) & inward & F.lit(not step.loops)
+        found = step.wanted.select(*MEMBER).distinct().join(here, "owner", "left").join(there, ["family", "target"], "left")
+        action = F.when(F.col("_here").isNull(), "no_owner").when(loop, "self").when(F.col("_there").isNull(), "no_target").otherwise("resolved")
+        found = settle(found.select(*MEMBER, action.alias("action")))
+        have = step.stored.groupBy(*MEMBER).agg(F.bool_or("custom").alias("custom")).join(here, "owner", "left")
+        whole = F.col("_here").isNull() | step.complete
+        synced = settle(sync_sets(found.filter("action = 'resolved'"), have, MEMBER, ~F.coalesce("custom", F.lit(False)), complete=whole).drop("_here"))
+        members[name] = synced.filter("action <> 'delete'").select(*MEMBER, F.coalesce("custom", F.lit(False)).alias("custom"))
+        uses[step.owners].append(members[name].select(F.col("owner").alias(key)))
+        for family, domain in step.refers.items():
+            uses[domain].append(members[name].filter(F.col("family") == family).select(F.col("target").alias(key)))
+        unresolved.append(found.filter("action <> 'resolved'").select(F.lit(name).alias("step"), *MEMBER, F.col("action").alias("reason")))
+        for rows, part in ((found, "resolve"), (synced, "members")):
+            counts.append(rows.groupBy("family", "action").agg(F.count("*").alias("n")).select(F.lit(f"{name}:{part}").alias("step"), "family", "action", "n"))
+
+    held = {}
+    for name, rows in gone.items():
+        used = reduce(DataFrame.unionByName, uses[name]).distinct().withColumn("_used", F.lit(True)) if uses[name] else None
+        guarded = rows.withColumn("_used", F.lit(None).cast("boolean")) if used is None else rows.join(used, key, "left")
+        guarded = settle(guarded.withColumn("action", F.when(F.col("_used"), "held").otherwise("deleted")).drop("_used"))
+        held[name] = guarded.filter("action = 'held'").drop("action")
+        counts.append(guarded.groupBy("action").agg(F.count("*").alias("n")).select(F.lit(f"{name}:guard").alias("step"), F.lit(None).cast("string").alias("family"), "action", "n"))
+    return Dependants(members, held, reduce(DataFrame.unionByName, unresolved), reduce(DataFrame.unionByName, counts))

@@ -21,3 +21,32 @@ def test_member_sets_follow_their_owners_and_a_second_pass_does_nothing(spark):
     assert not {r.action for r in did.filter("step = 'members'").collect()} & {"insert", "delete"} and again.exceptAll(members).count() == members.exceptAll(again).count() == 0
     empty = step(stored.limit(0))[0]
     assert {(r.k, r.m) for r in empty.collect()} == {(1, "a"), (2, "c")}
+
+
+def test_dependants_hold_back_deletes_until_nothing_refers_to_them(spark):
+    keys = lambda *k: spark.createDataFrame([(x, f"n{x}") for x in k], "k long, name string")
+    member = "owner long, family string, target long"
+    wanted = spark.createDataFrame([(1, "before", 2), (1, "before", 2), (1, "before", 1), (1, "before", 7), (1, "item", 50), (2, "other", 1), (9, "before", 1), (None, "item", 50), (2, "item", None), (2, "item", 50)], member)
+    stored = [(1, "before", 7, True), (7, "before", 2, False), (8, "item", 51, True), (8, "item", 50, False), (2, "before", 1, False), (1, "item", 52, False)]
+    stored = spark.createDataFrame(stored, member + ", custom boolean")
+    states, gone = {"quests": keys(1, 2), "items": keys(50)}, {"quests": keys(7, 8, 10), "items": keys(51, 52)}
+    step = lambda held, s=states, g=gone, whole=F.col("owner") != 2: pipelines.reconcile_dependants(
+        s, g, "k", {"links": pipelines.Members(wanted, held, "quests", {"before": "quests", "item": "items"}, whole)}
+    )
+    once = step(stored)
+    assert {tuple(r) for r in once.members["links"].collect()} == {
+        (1, "before", 2, False), (1, "item", 50, False), (2, "item", 50, False), (1, "before", 7, True), (8, "item", 51, True), (2, "before", 1, False),
+    }
+    assert {(r.owner, r.family, r.target, r.reason) for r in once.unresolved.collect()} == {
+        (1, "before", 1, "self"), (1, "before", 7, "no_target"), (2, "other", 1, "no_target"), (9, "before", 1, "no_owner"), (None, "item", 50, "no_owner"), (2, "item", None, "no_target"),
+    }
+    # a custom member refers to 7, and 8 has one that refers to item 51; nothing holds 10 and 52
+    assert {n: {tuple(r) for r in d.collect()} for n, d in once.held.items()} == {"quests": {(7, "n7"), (8, "n8")}, "items": {(51, "n51")}}
+    twice = step(once.members["links"], g=once.held)
+    assert not {r.action for r in twice.summary.collect()} & {"insert", "delete", "deleted"}
+    assert all(twice.held[n].exceptAll(once.held[n]).isEmpty() and once.held[n].exceptAll(twice.held[n]).isEmpty() for n in once.held)
+
+    loops = pipelines.Members(wanted, stored.limit(0), "quests", {"before": "quests"}, F.lit(True), loops=True)
+    assert not loops.wanted.isEmpty() and "self" not in {r.reason for r in pipelines.reconcile_dependants(states, gone, "k", {"links": loops}).unresolved.collect()}
+    empty = step(stored.limit(0), {n: d.limit(0) for n, d in states.items()}, {n: d.limit(0) for n, d in gone.items()})
+    assert empty.members["links"].isEmpty() and {r.reason for r in empty.unresolved.collect()} == {"no_owner"}
