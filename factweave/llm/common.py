@@ -28,6 +28,16 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def runs(df: DataFrame, columns: list[str], each: int) -> DataFrame:
+    """Rows alike in ``columns`` as runs: ``(*columns, _run, _alike)``, the number of a run and how many rows it stands for, ``each`` at most.
+
+    Rows are counted where they are read, so rows that repeat one id are spread like any others. Nulls are alike.
+    """
+    alike = df.groupBy(*columns).agg(F.count("*").alias("_n"))
+    alike = alike.select(*columns, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / each))).alias("_run"))
+    return alike.select(*columns, "_run", F.least(F.lit(each).cast("long"), F.col("_n") - F.col("_run") * each).alias("_alike"))
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

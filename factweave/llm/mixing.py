@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import WORD, chunks_for, stash, text_of
+from factweave.llm.common import WORD, chunks_for, runs, stash, text_of
 
-#: Rows of a cell that one task counts off.
-CELL_ROWS = 500
+#: Rows of a cell that one task counts off, and rows alike that stay together.
+CELL_ROWS, RUN_ROWS = 500, 5000
 #: Classes whose share of the words the mix keeps: lengths by powers of two, and languages by hash.
 LENGTHS, LANGS = 24, 16
 CLASSES = LENGTHS + LANGS
@@ -181,7 +181,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Size counts the words of the whole text (null: none). The rates of ``balance`` are rounded into
     whole copies of 0 to ``most``: documents of one source, language class and size form a cell,
     cells are rounded from the largest size down with what is left carried over, and a cell's copies
-    are spread evenly, the odd ones by hash order of the ids, so reruns agree. A source's taken words
+    are spread evenly, the odd ones by hash order of the ids, so reruns agree. Rows that repeat an id are counted, so a hot id is spread over tasks. A source's taken words
     thus miss its target by little more than half its smallest documents' size. A task rounds the
     distinct sizes of one source, not its documents. A source without words takes none; a null source
     or language is one of its own; an empty table gives no rows; repeated rows are separate documents;
@@ -190,6 +190,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lang = F.pmod(F.xxhash64(lang_col), F.lit(LANGS)).cast("int") if lang_col else F.lit(0)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), lang.alias("lang"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
     sized = stash(docs)
+    alike = stash(runs(sized, ["id", "source", "lang", "size"], RUN_ROWS))
     targets = stash(source_targets(sized, most))
     own = sized.groupBy("source", "lang", "size").agg(F.count("*").alias("n"))
     known = targets.select("sid", F.col("source").alias("_s"), "target")
@@ -204,15 +205,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cell = ["source", "lang", "size"]
     p = plan.withColumnsRenamed({c: f"_{c}" for c in cell})
     same = lambda a, b: a["source"].eqNullSafe(b["_source"]) & (a["lang"] == b["_lang"]) & (a["size"] == b["_size"])
-    rows = sized.join(p, same(sized, p)).drop("_source", "_lang", "_size")
-    rows = stash(rows.withColumn("h", F.xxhash64("id")).withColumn("sub", F.pmod(F.col("h"), F.col("subs"))))
+    rows = alike.join(p, same(alike, p)).drop("_source", "_lang", "_size")
+    rows = stash(rows.withColumn("h", F.xxhash64("id", "_run")).withColumn("sub", F.pmod(F.col("h"), F.col("subs"))))
     before = Window.partitionBy(*cell).orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*cell, "sub").agg(F.count("*").alias("_n"))
+    starts = rows.groupBy(*cell, "sub").agg(F.sum("_alike").alias("_n"))
     starts = stash(starts.select(*[F.col(c).alias(f"_{c}") for c in cell], F.col("sub").alias("_sub"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("start")))
-    at = F.row_number().over(Window.partitionBy(*cell, "sub").orderBy("h", "id"))
-    rows = rows.withColumn("at", at)
+    within = Window.partitionBy(*cell, "sub").orderBy("h", "id", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("_alike").over(within), F.lit(0)))
     rows = rows.join(starts, same(rows, starts) & (rows["sub"] == starts["_sub"]))
-    odd = F.col("start") + F.col("at") <= F.col("copies") % F.col("n")
-    copies = (F.floor(F.col("copies") / F.col("n")) + odd.cast("long")).cast("long")
-    rows = rows.withColumn("copies", copies)
+    odd = F.col("copies") % F.col("n") - F.col("start") - F.col("at")  # so many of these rows alike take one copy more
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_alike"))))
+    rows = rows.withColumn("copies", (F.floor(F.col("copies") / F.col("n")) + (F.col("_i") <= odd).cast("long")).cast("long"))
     return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import chunks_for, stash, text_of
+from factweave.llm.common import chunks_for, runs, stash, text_of
 
 #: A group with this part of an even shard's bytes or rows is placed by itself.
 GRAIN = 128
@@ -77,15 +77,19 @@ def _merge_buckets(k: int):
 def _numbered(df: DataFrame, shard: str, id_col: str, rows: int, each: int) -> DataFrame:
     """``slot``: the gapless number of each row in its shard.
 
-    Rows are counted off inside buckets of a shard's ids, and each bucket starts where those before
-    it end, so a shard that holds most rows is still numbered by many tasks.
+    Rows alike in all columns count as runs. Runs are counted off inside buckets of a shard, and each bucket
+    starts where those before it end, so a shard or an id that holds most rows is still numbered by many tasks.
     """
-    df = stash(df.withColumn("_sub", F.pmod(F.xxhash64(id_col), F.lit(chunks_for(rows, each))).cast("long")))
-    counts = df.groupBy(shard, "_sub").agg(F.count("*").alias("_n"))
+    columns = df.columns
+    df = runs(df, columns, each)
+    df = stash(df.withColumn("_sub", F.pmod(F.xxhash64(id_col, "text_crc32", "_run"), F.lit(chunks_for(rows, each))).cast("long")))
+    counts = df.groupBy(shard, "_sub").agg(F.sum("_alike").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = stash(counts.select(shard, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from")))
-    within = F.row_number().over(Window.partitionBy(shard, "_sub").orderBy(id_col, "text_crc32"))
-    return df.withColumn("_at", within).join(starts, [shard, "_sub"]).withColumn("slot", F.col("_from") + F.col("_at") - 1).drop("_sub", "_at", "_from")
+    within = Window.partitionBy(shard, "_sub").orderBy(id_col, "text_crc32", "size", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_at", F.coalesce(F.sum("_alike").over(within), F.lit(0))).join(starts, [shard, "_sub"])
+    first = F.col("_from") + F.col("_at")
+    return df.select(*columns, F.explode(F.sequence(first, first + F.col("_alike") - 1)).alias("slot"))
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 20_000) -> DataFrame:

@@ -112,3 +112,20 @@ def test_a_copy_does_not_stand_in_for_another_text_of_its_id(spark):
         rows = [(0, words(copied, 40), "en", "a", 1), (1, words(copied, 40), "en", "a", 1), (1, words(own, 40), "en", "b", 1)]
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         assert sorted(tuple(r) for r in cp.drop_near_copies(spark, docs, SF).collect()) == sorted([rows[0], rows[2]])
+
+
+def test_a_row_that_a_third_of_the_table_repeats(spark, monkeypatch):
+    """Its copies come from many tasks; unlike rows under one digest share copies out and none is lost."""
+    monkeypatch.setattr(cp, "COPIES", 7)
+    rows = [(None, "one two three four five six", "en", "a", 1)] * 200 + [(i, f"w{i} x{i} y{i} z{i}", "en", "b", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = Counter(tuple(r) for r in cp.drop_near_copies(spark, docs, SF).collect())
+    assert kept[rows[0]] == 1 and max(kept.values()) == 1
+    copies, found = Counter(), Counter(tuple(r) for r in cp.mix_sources(spark, docs, SF).collect())
+    for r in mixing.mix(cp.keyed(docs), id_col="_key").collect():
+        copies[r.source] += r.copies
+    assert found[rows[0]] == copies["a"] and sum(n for r, n in found.items() if r[3] == "b") == copies["b"] and max(found[r] for r in set(rows[200:])) <= 3
+
+    monkeypatch.setattr(cp, "keyed", lambda d: d.select(*cp.COLUMNS).withColumn("_key", F.when(F.col("doc_id") < 100, F.lit(5)).otherwise(F.xxhash64(*cp.COLUMNS))))
+    again = Counter(tuple(r) for r in cp.mix_sources(spark, docs, SF).collect())
+    assert set(again) <= set(rows) and max(again[r] for r in set(rows[200:])) <= 3
