@@ -7,13 +7,14 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factweave.llm import components, embeddings, linededup, media, mixing, packing, quality, sharding, simhash, token_counts, toxicity
+from factweave.llm import common, components, embeddings, linededup, media, mixing, packing, quality, sharding, simhash, token_counts, toxicity
 from factweave.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, row string, key string"
@@ -516,6 +517,34 @@ def test_balanced_rates_are_the_optimum(spark, soft):
     assert len({round(r, 6) for r in found.values()}) > 9  # documents of one source differ
 
 
+def test_rows_alike_stand_in_runs(spark):
+    rows = [(1, "a")] * 7 + [(None, "a")] * 3 + [(2, None)]
+    found = [tuple(r) for r in common.runs(spark.createDataFrame(rows, "id long, t string"), ["id", "t"], 3).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, [(1, "a", 0, 3), (1, "a", 1, 3), (1, "a", 2, 1), (None, "a", 0, 3), (2, None, 0, 1)]))
+
+
+def test_slots_and_copies_of_an_id_that_a_third_of_the_rows_repeat(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_ROWS", 4)
+    rows = [(None, "same words here", "a", "en")] * 300 + [(7, f"w{i} same", "b", "en") for i in range(300)] + [(i, f"w{i} x y z", "b", "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    found = sharding.shard_by_bytes(docs, shards=3, per_bucket=20).collect()
+    assert Counter((r.doc_id, r.size) for r in found) == Counter((i, len(t) + 8) for i, t, *_ in rows)
+    for shard in range(3):
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    mixed = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in mixed) == Counter((i, s, len(t.split())) for i, t, s, _ in rows)
+    assert all(0 <= r.copies <= 3 and r.taken == r.copies * r.size for r in mixed)
+    by_cell = {}
+    for r in mixed:
+        by_cell.setdefault((r.source, r.size), set()).add(r.copies)
+    assert all(max(c) - min(c) <= 1 for c in by_cell.values())  # a cell's copies are spread evenly
+    for source in "ab":
+        taken, target = sum(r.taken for r in mixed if r.source == source), next(r.target for r in mixed if r.source == source)
+        assert abs(taken - target) <= 4
+    assert sorted(map(str, mixing.mix(docs.repartition(2)).collect())) == sorted(map(str, mixed))
+
+
 def test_mix_of_repeated_huge_and_missing_ids_and_clashing_names(spark):
     rows = [(1, "a b c", "s", None), (1, "a b c", "s", "en"), (None, "d", None, "en"), ((1 << 63) - 1, "e f", "t", "de"), (2, None, "t", "de"), (3, "", None, None)]
     docs = spark.createDataFrame([(*r, 7, 8, 9, "x", "y", 1) for r in rows], "doc_id long, text string, source string, lang string, size long, sid int, n long, slice string, target string, copies int")
@@ -743,11 +772,11 @@ def test_documents_of_one_topic_share_a_shard(spark):
     found = packing.pack(rows, tokenizer_path("byte_bpe_50k.json"), window=4096, per_shard=100).collect()
     mixed = {}
     for r in found:
-        mixed.setdefault(r.sequence_id >> 32, []).append(r.doc_id % 4)
+        mixed.setdefault(r.sequence_id >> packing._SEQUENCE_BITS, []).append(r.doc_id % 4)
     same = sum(max(x.count(t) for t in range(4)) for x in mixed.values())
     assert len(mixed) <= 4 and same > 0.8 * len(found)
     alike = spark.createDataFrame([(i, "the same text") for i in range(400)], "doc_id long, text string")
     sizes = {}
     for r in packing.pack(alike, tokenizer_path("byte_bpe_50k.json"), window=64, per_shard=100).collect():
-        sizes.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+        sizes.setdefault(r.sequence_id >> packing._SEQUENCE_BITS, set()).add(r.doc_id)
     assert len(sizes) == 4 and max(map(len, sizes.values())) < 150
