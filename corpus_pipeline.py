@@ -15,6 +15,8 @@ from factweave.llm.common import WORD, stash, table, text_of
 from factweave.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Copies of one row that a task writes together.
+COPIES = 1000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,21 +54,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
     groups = simhash.near_duplicates(docs, id_col="_row").select("_row", "component_id").distinct()
-    named = docs.select("_row", F.col("doc_id").isNull().alias("_none"), "doc_id").distinct()
-    of_group = groups.join(named, "_row").groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row")).alias("_least"))
-    rows = docs.join(of_group.select("_least._row").hint("merge"), "_row", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_row").orderBy("lang", "source", "n_chars"))
-    return rows.withColumn("_at", first).filter("_at = 1").select(*COLUMNS)
+    named = docs.groupBy("_row", F.col("doc_id").isNull().alias("_none"), "doc_id").agg(F.count("*").alias("_n"))
+    of_group = groups.join(named, "_row").groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row", "_n")).alias("_least"))
+    least = of_group.select("_least._row", "_least._n").groupBy("_row").agg(F.max("_n").alias("_n"))
+    rows = stash(docs.join(least.hint("merge"), "_row"))
+    rest = F.struct("lang", "source", "n_chars")
+    repeated = rows.filter("_n > 1").groupBy("doc_id", "text").agg(F.min(rest).alias("_rest")).select("doc_id", "text", "_rest.*")
+    return rows.filter("_n = 1").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows that are alike in every column share their copies out."""
+    """Each document as many times as the mix takes it; rows that are alike in every column share their copies out.
+
+    Repeated rows are counted before they meet, and their copies are made by many tasks. Unlike rows under one digest
+    share its copies by their numbers, so that none is lost.
+    """
     docs = keyed(docs)
-    taken = F.sort_array(F.collect_list("copies")).alias("_taken")
-    taken = stash(mixing.mix(docs, id_col="_key").groupBy("_key").agg(taken).filter("exists(_taken, n -> n > 0)"))
-    rows = docs.join(taken.hint("merge"), "_key")
-    at = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    rows = rows.withColumn("_copies", F.get("_taken", at - 1)).filter("_copies > 0")
+    taken = mixing.mix(docs, id_col="_key").groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
+    rows = stash(docs.join(taken.filter("_copies > 0").hint("merge"), "_key"))
+    repeated = rows.filter("_n > 1").groupBy("_key", *COLUMNS).agg(F.count("*").alias("_alike"), F.first("_copies").alias("_copies"), F.first("_n").alias("_n"))
+    upto = F.sum("_alike").over(Window.partitionBy("_key").orderBy(*COLUMNS))
+    share = lambda n: F.when(n == F.col("_n"), F.col("_copies")).otherwise(F.floor(F.col("_copies") / F.col("_n") * n))
+    repeated = repeated.withColumn("_upto", upto).withColumn("_copies", share(F.col("_upto")) - share(F.col("_upto") - F.col("_alike"))).filter("_copies > 0")
+    repeated = repeated.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPIES)))).repartition("_key", "_part")
+    repeated = repeated.withColumn("_copies", F.least(F.lit(COPIES).cast("long"), F.col("_copies") - F.col("_part") * COPIES))
+    rows = rows.filter("_n = 1").select(*COLUMNS, "_copies").unionByName(repeated.select(*COLUMNS, "_copies"))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*COLUMNS)
 
 
