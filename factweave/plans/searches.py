@@ -201,7 +201,7 @@ def learned(spark: SparkSession, sf: str) -> DataFrame:
     of = lambda kind, column: teach.filter(F.col("kind") == kind).select("recipe_id", "kind", F.col("source_id").alias(column))
     none = F.lit(None).cast("string").alias("role")
     where = places(spark, sf)
-    sold_at = b.loot(spark, sf).select("item_id", "source_id").distinct().join(where, "source_id").select("item_id", "zone_id", "map_id").distinct()  # a common item has many sources, but few places
+    sold_at = b.loot(spark, sf).select("item_id", "source_id").distinct().join(where, "source_id", "left").select("item_id", "zone_id", "map_id").distinct()  # a common item has many sources, but few places; sources without one share a row without
     by_item = of("item", "item_id").join(sold_at, "item_id", "left").select("recipe_id", "kind", none, "zone_id", "map_id")
     by_trainer = of("trainer", "source_id").join(where, "source_id", "left").select("recipe_id", "kind", none, "zone_id", "map_id")
     by_quest = of("quest", "quest_id").join(ends_at(spark, sf), "quest_id", "left").select("recipe_id", "kind", "role", "zone_id", "map_id")

@@ -229,3 +229,18 @@ def test_names_are_in_order_of_their_lower_case(spark):
     ends = spark.createDataFrame([], "quest_id long, role string, zone_id int, map_id int")
     order = lambda down: [r.quest_id for r in s.query_quests(quests, ends, wanted=s.Wanted(ALL, "title", down)).rows.orderBy("position").collect()]
     assert order(False) == [3, 1, 5, 2, 4] and order(True) == [2, 5, 1, 3, 4]
+
+
+def test_unplaced_sources_of_an_item_stay_a_way_to_learn(spark, monkeypatch):
+    from factweave.plans import searches as plans
+
+    tables_of = {
+        "teaching": spark.createDataFrame([("item", 7, 70), ("item", 8, 80), ("item", 9, 90)], "kind string, source_id long, recipe_id long"),
+        "loot": spark.createDataFrame([(7, 1), (7, 2), (8, 1), (9, 2)], "item_id long, source_id long"),
+    }
+    for name, rows in tables_of.items():
+        monkeypatch.setattr(plans.b, name, lambda *_, rows=rows: rows)
+    monkeypatch.setattr(plans, "places", lambda *_: spark.createDataFrame([(1, 5, 3)], "source_id long, zone_id int, map_id int"))
+    monkeypatch.setattr(plans, "ends_at", lambda *_: spark.createDataFrame([], "quest_id long, role string, zone_id int, map_id int"))
+    found = {(r.recipe_id, r.zone_id, r.map_id) for r in plans.learned(spark, "").collect()}
+    assert found == {(70, 5, 3), (70, None, None), (80, 5, 3), (90, None, None)}
