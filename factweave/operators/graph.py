@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.sources.rounds import settle
@@ -153,9 +153,39 @@ def self_loops(edges: DataFrame) -> DataFrame:
     return edges.filter("a = b").select(F.col("a").alias("node")).distinct()
 
 
+def _mark(member: str) -> list[Column]:
+    """Aggregates over distinct members that are alike for equal sets, and differ for different ones but for chance."""
+    return [F.count("*").alias("_n"), F.bit_xor(F.xxhash64(member)).alias("_h"), F.bit_xor(F.xxhash64(F.lit("again"), F.col(member))).alias("_g")]
+
+
+def set_classes(members: DataFrame, owner: str, member: str) -> DataFrame:
+    """``(owner, class)``: owners have one class exactly if their sets of members are equal; it is named by one of them.
+
+    Sets meet only as marks of fixed size. The members of owners with one mark are held against those of their
+    least owner, member by member; who differs, which chance hardly allows, goes to another round. No set is gathered,
+    and a round joins each member once.
+    """
+    members = settle(members.select(owner, member).filter(F.col(owner).isNotNull()).distinct())
+    todo = settle(members.groupBy(owner).agg(*_mark(member)))
+    done = None
+    while True:
+        marks = ["_n", "_h", "_g"]
+        named = todo.join(todo.groupBy(*marks).agg(F.min(owner).alias("class")), marks).select(owner, "class", *marks)
+        first = members.select(F.col(owner).alias("_o"), F.col(member).alias("_m"))
+        checked = members.join(named.filter(F.col(owner) != F.col("class")).select(owner, "class"), owner)
+        others = checked.join(first, (F.col("class") == F.col("_o")) & F.col(member).eqNullSafe(F.col("_m")), "left_anti")
+        others = settle(others.select(owner).distinct())
+        fine = named.select(owner, "class") if others.isEmpty() else named.join(others, owner, "left_anti").select(owner, "class")
+        done = fine if done is None else done.unionByName(fine)
+        if others.isEmpty():
+            return settle(done)
+        todo = todo.join(others, owner, "left_semi")
+
+
 def group_consistency(members: DataFrame, owner: str, member: str) -> DataFrame:
-    """Pairs of owners that name each other although their sets differ."""
-    sets = members.groupBy(owner).agg(F.array_sort(F.collect_set(member)).alias("s"))
-    pairs = members.filter(F.col(owner) != F.col(member)).select(F.least(owner, member).alias("left"), F.greatest(owner, member).alias("right")).distinct()
-    l, r = sets.select(F.col(owner).alias("left"), F.col("s").alias("ls")), sets.select(F.col(owner).alias("right"), F.col("s").alias("rs"))
-    return pairs.join(l, "left").join(r, "right").filter("ls <> rs").select("left", "right")
+    """Pairs of an owner and a member that is an owner itself, whose sets differ."""
+    classes = set_classes(members, owner, member)
+    l, r = classes.select(F.col(owner).alias("_o"), F.col("class").alias("_l")), classes.select(F.col(owner).alias("_m"), F.col("class").alias("_r"))
+    named = members.filter(F.col(owner) != F.col(member)).select(F.col(owner).alias("_o"), F.col(member).alias("_m"))
+    differ = named.join(r, "_m").join(l, "_o").filter("_l <> _r")
+    return differ.select(F.least("_o", "_m").alias("left"), F.greatest("_o", "_m").alias("right")).distinct()

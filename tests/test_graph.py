@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factweave.operators import graph as g
 
@@ -111,3 +112,23 @@ def test_a_hub_hands_on_no_more_than_the_budget(spark):
     edges = spark.range(2, 200_002).selectExpr("1L as a", "id as b")
     nodes, _ = g.traverse(edges, spark.createDataFrame([(1,)], "root long"), 1, 50)
     assert {r.node for r in nodes.collect()} == set(range(1, 51))
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_sets_are_told_apart_also_where_their_marks_are_alike(spark, monkeypatch, weak):
+    if weak:
+        monkeypatch.setattr(g, "_mark", lambda member: [F.count("*").alias("_n"), F.lit(0).alias("_h"), F.lit(0).alias("_g")])
+    rng = random.Random(7)
+    sets = {o: frozenset(rng.choices([*range(6), None], k=3)) for o in range(12)}
+    rows = spark.createDataFrame([(o, m) for o, ms in sets.items() for m in ms] * 2, "o long, m long")
+    named = {r.o: r["class"] for r in g.set_classes(rows, "o", "m").collect()}
+    assert all((named[a] == named[b]) == (sets[a] == sets[b]) for a in sets for b in sets)
+    want = {(min(o, m), max(o, m)) for o, ms in sets.items() for m in ms - {None} if o != m and sets[o] != sets[m]}
+    assert sorted(map(tuple, g.group_consistency(rows, "o", "m").collect())) == sorted(want)
+
+
+def test_large_sets_are_not_carried_by_the_pairs(spark):
+    rows = spark.range(2_000).selectExpr("id % 20 as o", "id div 20 as m")
+    found = g.group_consistency(rows.union(spark.range(1).selectExpr("7L as o", "999L as m")), "o", "m")
+    assert "collect_set" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [(min(7, o), max(7, o)) for o in range(20) if o != 7]
