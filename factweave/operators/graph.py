@@ -91,13 +91,18 @@ def traversal_flags(nodes: DataFrame, links: DataFrame, edges: DataFrame, max_de
     return out.select("root", "nodes", "deepest", *[F.coalesce(c, F.lit(False)).alias(c) for c in out.columns if c not in ("root", "nodes", "deepest")])
 
 
+def _by_shuffle(rows: DataFrame) -> DataFrame:
+    """``rows`` to be joined by shuffle: a broadcast in every round would send all rounds' rows through the driver."""
+    return rows.hint("merge")
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left when nodes without an incoming or outgoing edge are trimmed again and again: what lies on or between cycles."""
     rest = settle(edges.filter("a <> b").select("a", "b").distinct())
     size = rest.count()
     while True:
         into, out = rest.select(F.col("b").alias("a")).distinct(), rest.select(F.col("a").alias("b")).distinct()
-        rest = settle(rest.join(into, "a", "left_semi").join(out, "b", "left_semi").select("a", "b"))  # cut each time: every step names the last one thrice
+        rest = settle(rest.join(_by_shuffle(into), "a", "left_semi").join(_by_shuffle(out), "b", "left_semi").select("a", "b"))  # cut each time: every step names the last one thrice
         left = rest.count()
         if left == size:
             return rest
@@ -115,10 +120,10 @@ def _reach(edges: DataFrame, labels: DataFrame) -> DataFrame:
     while True:
         src = labels.select(F.col("node").alias("a"), F.col("part").alias("_pa"), "label")
         dst = labels.select(F.col("node").alias("b"), F.col("part").alias("_pb"))
-        came = edges.join(src, "a").join(dst, "b").filter("_pa = _pb").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_l"))
-        labels = settle(labels.join(came, "node", "left").select("node", "part", F.least("label", F.coalesce("_l", "label")).alias("label")))
+        came = edges.join(_by_shuffle(src), "a").join(_by_shuffle(dst), "b").filter("_pa = _pb").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_l"))
+        labels = settle(labels.join(_by_shuffle(came), "node", "left").select("node", "part", F.least("label", F.coalesce("_l", "label")).alias("label")))
         of_label = labels.select(F.col("node").alias("label"), F.col("label").alias("_l"))
-        labels = settle(labels.join(of_label, "label").select("node", "part", F.least("label", "_l").alias("label")))
+        labels = settle(labels.join(_by_shuffle(of_label), "label").select("node", "part", F.least("label", "_l").alias("label")))
         now = tuple(labels.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "label"))).first())
         if now == seen:
             return labels
@@ -141,12 +146,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         start = settle(colour.select("node", F.col("label").alias("part"), F.col("node").alias("label")))
         found = settle(_reach(back, start).filter("label = part").select("node", F.col("part").alias("component")))
         done = found if done is None else done.unionByName(found)
-        rest = rest.join(found.select(F.col("node").alias("a")), "a", "left_anti").join(found.select(F.col("node").alias("b")), "b", "left_anti")
+        rest = rest.join(_by_shuffle(found.select(F.col("node").alias("a"))), "a", "left_anti").join(_by_shuffle(found.select(F.col("node").alias("b"))), "b", "left_anti")
         rest = cyclic_core(rest)
     if done is None:
         return edges.limit(0).select(F.col("a").alias("node"), F.col("a").alias("component"))
     many = done.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
-    return done.join(many, "component", "left_semi").select("node", "component")
+    return done.join(_by_shuffle(many), "component", "left_semi").select("node", "component")
 
 
 def self_loops(edges: DataFrame) -> DataFrame:

@@ -132,3 +132,12 @@ def test_large_sets_are_not_carried_by_the_pairs(spark):
     found = g.group_consistency(rows.union(spark.range(1).selectExpr("7L as o", "999L as m")), "o", "m")
     assert "collect_set" not in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == [(min(7, o), max(7, o)) for o in range(20) if o != 7]
+
+
+def test_components_send_no_sets_of_nodes_through_the_driver(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 4)], "a long, b long")
+    for found in (g.strong_components(edges), g.cyclic_core(edges)):
+        assert found.count() == 2
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    asked = g.settle(edges)
+    assert "Broadcast" not in asked.join(g._by_shuffle(g.settle(edges)), "a", "left_semi")._jdf.queryExecution().executedPlan().toString()
