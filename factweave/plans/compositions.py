@@ -278,7 +278,7 @@ def m03(spark: SparkSession, sf: str) -> DataFrame:
 )
 def m04(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["family", "source_id", "item_id"]
-    rows = b.loot(spark, sf).select(*keys).distinct()
+    rows = b.loot_lines(spark, sf).select(*keys).distinct()
     return rec.sync_sets(rows.filter("item_id % 4 <> 0"), rows.filter("item_id % 3 <> 0"), keys, F.col("source_id") % 5 != 0).select(*keys, "action")
 
 

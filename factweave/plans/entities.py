@@ -168,13 +168,16 @@ def e14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e15_zone_items", LOOT + _PLACES + " SELECT p.zone_id, l.item_id, count(DISTINCT l.source_id) AS sources, count(DISTINCT (l.source_id, l.family)) AS paths FROM loot l JOIN places p USING (source_id) WHERE p.zone_id IS NOT NULL GROUP BY ALL")
 def e15(spark: SparkSession, sf: str) -> DataFrame:
-    rows = b.loot(spark, sf).join(places(spark, sf).filter("zone_id is not null"), "source_id")
-    return rows.groupBy("zone_id", "item_id").agg(F.count_distinct("source_id").alias("sources"), F.count_distinct("source_id", "family").alias("paths"))
+    """A source and item's families are folded into bits where they are read, so that nothing is counted distinct later."""
+    bit = F.when(F.col("family") == "direct", 1).when(F.col("family") == "reference", 2).otherwise(4)
+    edges = b.loot_lines(spark, sf).groupBy("source_id", "item_id").agg(F.bit_count(F.bit_or(bit)).alias("_families"))
+    where = places(spark, sf).filter("zone_id is not null").select("source_id", "zone_id").distinct()
+    return edges.join(where, "source_id").groupBy("zone_id", "item_id").agg(F.count("*").alias("sources"), F.sum("_families").alias("paths"))
 
 
 def _endpoints(spark: SparkSession, sf: str) -> DataFrame:
     giver = b.quests(spark, sf).select("quest_id", F.lit("given").alias("role"), F.lit("object").alias("kind"), F.col("giver").alias("id"))
-    o = b.objectives(spark, sf)
+    o = b.objective_lines(spark, sf)
     finisher = o.groupBy("quest_id").agg(F.min("creature_id").alias("id")).select("quest_id", F.lit("finished").alias("role"), F.lit("creature").alias("kind"), "id")
     objective = o.select("quest_id", F.lit("objective").alias("role"), F.lit("creature").alias("kind"), F.col("creature_id").alias("id")).distinct()
     return giver.unionByName(finisher).unionByName(objective)
@@ -266,8 +269,9 @@ def e21(spark: SparkSession, sf: str) -> DataFrame:
   SELECT quest_id, subtype, count(*) AS selected, count(*) FILTER (target % 11 <> 4) AS materialised, count(*) = count(*) FILTER (target % 11 <> 4) AS complete FROM br GROUP BY ALL""",
 )
 def e22(spark: SparkSession, sf: str) -> DataFrame:
-    o = b.objectives(spark, sf)
-    branch = lambda c, names: o.select("quest_id", F.when(F.col(c) % 3 == 0, names[0]).when(F.col(c) % 3 == 1, names[1]).otherwise(names[2]).alias("subtype"), F.col(c).alias("target")).distinct()
+    o = b.objective_lines(spark, sf)
+    of = lambda c, names: F.when(F.col(c) % 3 == 0, names[0]).when(F.col(c) % 3 == 1, names[1]).otherwise(names[2])
+    branch = lambda c, names: o.select("quest_id", F.col(c).alias("target")).distinct().select("quest_id", of("target", names).alias("subtype"), "target")
     rows = branch("creature_id", ("U", "O", "A")).unionByName(branch("item_id", ("I", "IR", "Z")))
     out = rows.groupBy("quest_id", "subtype").agg(F.count("*").alias("selected"), F.count_if(F.col("target") % 11 != 4).alias("materialised"))
     return out.withColumn("complete", F.col("selected") == F.col("materialised"))

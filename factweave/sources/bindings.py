@@ -6,7 +6,7 @@ repeated cases occur at every scale.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.sources.tables import table
@@ -148,10 +148,19 @@ SQL["loot"] = """SELECT l_suppkey AS source_id, l_partkey AS item_id, CASE l_ret
   FROM lineitem GROUP BY l_suppkey, l_partkey, l_returnflag, CASE WHEN l_returnflag = 'A' THEN l_linenumber END"""
 
 
+def loot_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Source, item and family of every loot edge, with repeats, for those who fold them anyway."""
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("item_id"), _family(F.col("l_returnflag")).alias("family"))
+
+
+def _family(flag: Column) -> Column:
+    return F.when(flag == "R", "direct").when(flag == "A", "reference").otherwise("vendor")
+
+
 def loot(spark: SparkSession, sf: str) -> DataFrame:
     """Item edges of three families: direct and reference with a chance in percent, vendor with a count."""
     flag = F.col("l_returnflag")
-    family = F.when(flag == "R", "direct").when(flag == "A", "reference").otherwise("vendor")
+    family = _family(flag)
     rows = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("item_id"), family.alias("family"), F.when(flag == "A", F.col("l_linenumber")).alias("reference_id"), "l_discount", "l_tax", "l_quantity"
     )
@@ -281,8 +290,13 @@ def quests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("quest_id"), F.col("o_orderpriority").alias("title"), level.alias("level"), least.alias("minimum_level"), F.col("o_custkey").alias("giver"))
 
 
+def objective_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Objectives with repeats, for those who fold them anyway."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("quest_id"), F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("creature_id"))
+
+
 def objectives(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("quest_id"), F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("creature_id")).distinct()
+    return objective_lines(spark, sf).distinct()
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:

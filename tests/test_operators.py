@@ -118,3 +118,10 @@ def test_rejects_go_to_their_own_rows(spark, tmp_path):
 def test_record_digest_marks_missing(spark):
     out = spark.createDataFrame([("a", None)], "x string, y string").select(evidence.record_digest(["x", "y"])).first()[0]
     assert out == hashlib.sha256(b"a|~").hexdigest()
+
+
+def test_items_of_zones_are_counted_without_copies_of_rows(spark):
+    from factweave.plans import entities
+
+    plan = entities.e15(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "distinct" not in plan
