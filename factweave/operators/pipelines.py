@@ -27,26 +27,17 @@ def _facts(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return ev.unpivot_facts(rows, key, fields).withColumnRenamed("fact_key", "field")
 
 
-def reconcile_domain(base: DataFrame, patch: DataFrame, key: str, stored: Domain, protected: Column, policy: str = "managed") -> tuple[Domain, DataFrame]:
-    """The domain after an overlay, and ``(step, action, n)``: what each step did.
-
-    The overlay's composed rows are recorded as statements that are new or known, and selected: a custom
-    pick is protected, a managed one replaced if its value differs. Rows are made from the winners and
-    synced with the state: stored rows that are not wanted are deleted unless ``protected``, which
-    also keeps them from change. A second pass over the result does nothing.
-    """
+def _synced(base: DataFrame, patch: DataFrame, key: str, stored: Domain, protected: Column, policy: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(incoming, picks, chosen, both, state)``: the statements of an overlay, what is picked of them, and the rows made from the winners beside the stored ones."""
     fields = [c for c in base.columns if c != key]
     wanted = _facts(compose.overlay(base, patch, key), key, fields)
-    identity = [key, "field", "value"]
-    incoming = settle(wanted.select(*identity).distinct())
-    new = settle(ev.ingest(stored.statements.select(*identity), incoming.withColumn("_seq", F.col(key)), identity, "_seq").drop("_seq"))
+    incoming = settle(wanted.select(key, "field", "value").distinct())
 
     old = stored.selections.select(key, "field", F.col("value").alias("_old"), F.col("policy").alias("_policy"))
     action = F.when(F.col("_policy").isNull(), "selected").when(F.col("_policy") == "custom", "protected").when(F.col("_old") == F.col("value"), "unchanged").otherwise("replaced")
     picks = settle(incoming.join(old, [key, "field"], "left").withColumn("action", action))
     winner = F.when(F.col("action") == "protected", F.col("_old")).otherwise(F.col("value"))
     chosen = picks.select(key, "field", winner.alias("value"), F.coalesce("_policy", F.lit(policy)).alias("policy"), "action")
-    kept = stored.selections.join(chosen.select(key, "field"), [key, "field"], "left_anti").select(key, "field", "value", "policy")
 
     rows = chosen.groupBy(key).pivot("field", fields).agg(F.first("value"))
     want, have = (df.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(name)) for df, name in ((rows, "_want"), (stored.state, "_have")))
@@ -54,6 +45,26 @@ def reconcile_domain(base: DataFrame, patch: DataFrame, key: str, stored: Domain
     synced = F.when(F.col("_have").isNull(), "insert").when(F.col("_want").eqNullSafe(F.col("_have")), "unchanged").when(F.col("_protected"), "protected").when(F.col("_want").isNull(), "delete").otherwise("update")
     both = settle(both.withColumn("action", synced))
     state = both.filter("action <> 'delete'").select(key, F.when(F.col("action").isin("insert", "update"), F.col("_want")).otherwise(F.col("_have")).alias("_r")).select(key, "_r.*")
+    return incoming, picks, chosen, both, state
+
+
+def domain_state(base: DataFrame, patch: DataFrame, key: str, stored: Domain, protected: Column, policy: str = "managed") -> DataFrame:
+    """The rows alone that ``reconcile_domain`` leaves: for passes that neither store statements and selections nor count."""
+    return settle(_synced(base, patch, key, stored, protected, policy)[-1])
+
+
+def reconcile_domain(base: DataFrame, patch: DataFrame, key: str, stored: Domain, protected: Column, policy: str = "managed") -> tuple[Domain, DataFrame]:
+    """The domain after an overlay, and ``(step, action, n)``: what each step did.
+
+    The overlay's composed rows are recorded as statements that are new or known, and selected: a custom
+    pick is protected, a managed one replaced if its value differs. Rows are made from the winners and
+    synced with the state: stored rows that are not wanted are deleted unless ``protected``, which
+    also keeps them from change. A second pass over the result does nothing.
+    """
+    incoming, picks, chosen, both, state = _synced(base, patch, key, stored, protected, policy)
+    identity = [key, "field", "value"]
+    new = settle(ev.ingest(stored.statements.select(*identity), incoming.withColumn("_seq", F.col(key)), identity, "_seq").drop("_seq"))
+    kept = stored.selections.join(chosen.select(key, "field"), [key, "field"], "left_anti").select(key, "field", "value", "policy")
 
     count = lambda df, step: df.groupBy("action").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "action", "n")
     known = incoming.join(new, identity, "left_semi").withColumn("action", F.lit("new")).unionByName(incoming.join(new, identity, "left_anti").withColumn("action", F.lit("known")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factweave.operators import pipelines
 from factweave.plans.registry import query
 from factweave.sources import bindings as b
+from factweave.sources.rounds import settle
 
 #: View, key and two fields of each domain. Kinds of entities have ids of their own, so a world key tells them apart.
 DOMAINS = {"world": ("entities", "id * 2 + CASE WHEN kind = 'creature' THEN 0 ELSE 1 END", "name", "kind"), "items": ("items", "item_id", "name", "item_id % 100"), "quests": ("quests", "quest_id", "title", "level")}
@@ -54,7 +55,8 @@ class Pass(NamedTuple):
 def first_pass(spark: SparkSession, sf: str, name: str) -> Pass:
     view, key, first, second = DOMAINS[name]
     rows = getattr(b, view)(spark, sf)
-    rows = rows.select(F.expr(key).alias("k"), F.expr(first).cast("string").alias("f1"), F.expr(second).cast("string").alias("f2")).distinct()
+    rows = rows.select(F.expr(key).alias("k"), F.expr(first).cast("string").alias("f1"), F.expr(second).cast("string").alias("f2"))
+    rows = settle(rows.distinct())  # base, patch and stored state all start from it
     base = rows.filter("k % 7 <> 0")
     patch = rows.filter("k % 5 = 0").withColumn("tombstone", F.col("k") % 11 == 0).withColumn("f1", F.when(F.col("k") % 3 == 0, F.concat("f1", F.lit("!"))).otherwise(F.col("f1")))
     fact = rows.filter("f1 is not null").select("k", F.lit("f1").alias("field"), F.col("f1").alias("value"))
@@ -178,7 +180,7 @@ def _steps(spark: SparkSession, sf: str, names: tuple[str, ...]):
             parts = [member("item_id", F.lit("objective"), F.col("quest_id"))]
         return (b.edges if name == "progression" else b.objectives)(spark, sf).select(F.inline(F.array(*parts))).distinct()
 
-    sets = {n: rows(n) for n in names}
+    sets = {n: settle(rows(n)) for n in names}  # both passes read what is wanted and what is stored from it
     stored = {n: r.filter("target % 3 <> 1").withColumn("custom", (F.col("owner") + F.col("target")) % 9 == 0) for n, r in sets.items()}
 
     def step(after: dict[str, DataFrame], before: dict[str, DataFrame], held: dict[str, DataFrame]) -> pipelines.Dependants:
@@ -194,7 +196,7 @@ def run_steps(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     step, domains, stored = _steps(spark, sf, names)
     once = step({d: x.after.state for d, x in domains.items()}, {d: x.before for d, x in domains.items()}, stored)
     kept = {d: x.after.state.unionByName(once.held[d]) for d, x in domains.items()}
-    again = {d: pipelines.reconcile_domain(x.base, x.patch, "k", pipelines.Domain(x.after.statements, x.after.selections, kept[d]), F.col("k") % 8 == 0)[0].state for d, x in domains.items()}
+    again = {d: pipelines.domain_state(x.base, x.patch, "k", pipelines.Domain(x.after.statements, x.after.selections, kept[d]), F.col("k") % 8 == 0) for d, x in domains.items()}
     twice = step(again, kept, once.members)
     return once.summary.withColumn("pass", F.lit(1)).unionByName(twice.summary.withColumn("pass", F.lit(2)))
 

@@ -50,3 +50,13 @@ def test_dependants_hold_back_deletes_until_nothing_refers_to_them(spark):
     assert not loops.wanted.isEmpty() and "self" not in {r.reason for r in pipelines.reconcile_dependants(states, gone, "k", {"links": loops}).unresolved.collect()}
     empty = step(stored.limit(0), {n: d.limit(0) for n, d in states.items()}, {n: d.limit(0) for n, d in gone.items()})
     assert empty.members["links"].isEmpty() and {r.reason for r in empty.unresolved.collect()} == {"no_owner"}
+
+
+def test_the_state_alone_is_that_of_the_whole_pass_and_sets_are_read_once(spark, monkeypatch):
+    from factweave.plans import domains
+
+    first = domains.first_pass(spark, "/root/testdata/sf0.001", "items")
+    args = (first.base, first.patch, "k", first.after, F.col("k") % 8 == 0)
+    assert sorted(map(tuple, pipelines.domain_state(*args).collect())) == sorted(map(tuple, pipelines.reconcile_domain(*args)[0].state.collect()))
+    _, _, stored = domains._steps(spark, "/root/testdata/sf0.001", ("quest_items",))
+    assert all("round-" in f and "lineitem" not in f for rows in stored.values() for f in rows.inputFiles())
