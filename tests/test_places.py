@@ -63,3 +63,14 @@ def test_a_large_bucket_is_narrowed(spark):
     g = places.both_ways(a, b, ["p"])
     left = places.narrowed(g, places._nearest_cells(g.bucket), 1000)
     assert sum(size for _, _, size in left) < 2 * 8_000**2 / 20
+
+
+def test_small_buckets_are_measured_in_rows_and_crowded_ones_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(places, "IN_ROW", 100)
+    left, right = ([(p, k, float(k % 7), float(k // 7)) for p, n in ((1, 20), (2, 90)) for k in range(side, 2 * n, 2)] for side in (0, 1))
+    a, b = (spark.createDataFrame(x, SCHEMA) for x in (left, right))
+    rows, large = places.in_rows(places._placed(a, b, ["p"]), ["p"], 1 << 16)
+    assert [r.p for r in rows.collect()] == [1] and {r.p for r in large.select("p").distinct().collect()} == {2}
+    plan = places.distance_extremes(a.filter("p = 1"), b.filter("p = 1"), ["p"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "_extremes(" in plan
+    assert {r.p: r.pairs for r in places.distance_extremes(a, b, ["p"]).collect()} == {1: 400, 2: 8100}
