@@ -127,6 +127,6 @@ def comparison_report(compared: DataFrame, *, kinds: tuple[str, ...] | None = No
 
 def pair_classes(near: DataFrame, left: str, right: str, distance: Column) -> DataFrame:
     """Nearest pairs by the patterns of both members and the distance's band: all, mutual, and how many partners tie for nearest."""
-    ties = near.filter("nearest_a").groupBy("parent", "context", "a").agg(F.count("*").alias("_ties"))
-    rows = near.join(ties, ["parent", "context", "a"], "left").withColumn("tied", F.when(F.col("nearest_a"), cardinality(F.col("_ties"))).otherwise("not_nearest"))
+    ties = F.count_if("nearest_a").over(Window.partitionBy("parent", "context", "a"))
+    rows = near.withColumn("_ties", ties).withColumn("tied", F.when(F.col("nearest_a"), cardinality(F.col("_ties"))).otherwise("not_nearest"))
     return rows.groupBy(F.concat(F.col(left), F.lit(">"), F.col(right)).alias("class"), distance.alias("band"), "tied").agg(F.count("*").alias("pairs"), F.count_if("mutual").alias("mutual"))

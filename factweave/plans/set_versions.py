@@ -78,8 +78,8 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Places of members that only the active or only the comparison version holds."""
-    rows = settle(b.members(spark, sf).filter("in_active <> in_comparison").select("parent", "context", "member", "x", "y", "in_active"))
+    """Places of members that only the active or only the comparison version holds, and the versions that hold each."""
+    rows = settle(b.members(spark, sf).filter("in_active <> in_comparison").select("parent", "context", "member", "x", "y", "in_active", v.pattern("in_base", "in_active", "in_comparison").alias("pattern")))
     return rows.filter("in_active"), rows.filter("not in_active")
 
 
@@ -253,8 +253,6 @@ _PATTERN = "(CASE WHEN {0}in_base THEN '1' ELSE '0' END) || (CASE WHEN {0}in_act
 )
 def d11_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Replacement candidates by which versions hold each of both."""
-    known = b.members(spark, sf).select("parent", "member", v.pattern("in_base", "in_active", "in_comparison").alias("pattern"))
-    near = _near(spark, sf)
-    for side in "ab":
-        near = near.join(known.withColumnsRenamed({"member": side, "pattern": f"pattern_{side}"}), ["parent", side])
-    return v.pair_classes(near, "pattern_a", "pattern_b", v.band(F.col("distance"), EDGES))
+    who = [side.withColumn("who", F.struct("member", "pattern")) for side in _sides(spark, sf)]
+    near = places.nearest_partners(*who, ["parent", "context"], "who")
+    return v.pair_classes(near, "a.pattern", "b.pattern", v.band(F.col("distance"), EDGES))

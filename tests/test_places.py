@@ -74,3 +74,10 @@ def test_small_buckets_are_measured_in_rows_and_crowded_ones_by_cells(spark, mon
     plan = places.distance_extremes(a.filter("p = 1"), b.filter("p = 1"), ["p"])._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and "_extremes(" in plan
     assert {r.p: r.pairs for r in places.distance_extremes(a, b, ["p"]).collect()} == {1: 400, 2: 8100}
+
+
+def test_pair_classes_read_members_once(spark):
+    from factweave.plans import set_versions
+
+    plan = set_versions.d11_classes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bool_or" not in plan and "lineitem" not in plan
