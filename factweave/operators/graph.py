@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factweave.sources.rounds import settle
 
@@ -21,50 +22,80 @@ def traverse(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int,
     parent's order and id, are left out. A target that is not one of ``known(node)``, where that is given, has links but is
     no node and isn't followed. Repeated edges and roots count once, null ones not at all.
 
-    A root's nodes are numbered as they are reached and know their parent's number. New nodes are the
-    pairs of root and neighbour that no earlier depth has, with their least parent, combined in every
-    task before the shuffle; of those a task hands on the first ``max_nodes`` of a root, as row limits
-    do, so that a hub's neighbours never meet. Each depth and the edges are written once, links are made in the end.
+    A root's nodes, in that order and with their parents' numbers, are arrays in one row, which travels with the root's
+    next nodes to their neighbours and back: no depth compares with the earlier ones by a join. Nodes hand on their first
+    ``max_nodes`` neighbours only, as a root can't take more, so that a hub's neighbours never meet; links come from all edges in the end.
     """
+    edges, near = _ways(edges, max_depth, max_nodes, direction, known)
+    walked = settle(_walk(near, roots, edges.schema["a"].dataType, max_depth, max_nodes))
+    return walked.select("root", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("depths").alias("depth")))), _links(walked, edges, max_depth)
+
+
+def _ways(edges: DataFrame, max_depth: int, max_nodes: int, direction: str, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The edges in the ``direction``, and each node's first known neighbours ``(a, to)``, settled both; one more than the budget tells a hub."""
     if not 0 <= max_depth <= 20 or not 1 <= max_nodes <= 500:
         raise ValueError("depth is 0 to 20, nodes 1 to 500")
     if direction not in DIRECTIONS:
         raise ValueError(f"direction is one of {', '.join(DIRECTIONS)}")
     a, b = ("a", "b") if direction == "prerequisite" else ("b", "a")
     edges = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().distinct())
-    roots = roots.select("root").dropna().distinct()
-    frontier = settle(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(0).alias("parent"), F.lit(1).alias("have")))
-    nodes = frontier
+    to = edges if known is None else edges.join(known.select(F.col("node").alias("b")), "b", "left_semi")
+    to = to.withColumn("_nth", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("_nth") <= max_nodes + 1)
+    return edges, settle(to.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("to")))
+
+
+#: Depths walked before the rows are settled and looked at for whether any root goes on.
+AT_A_TIME = 7
+
+
+def _walk(near: DataFrame, roots: DataFrame, kind: T.DataType, max_depth: int, max_nodes: int) -> DataFrame:
+    """``(root, nodes, parents, depths, live)``: a root's nodes as they are reached, their parents' positions (0: none) and depths, and where the last depth begins."""
+    root = F.col("root").cast(kind)
+    rows = roots.select("root").dropna().distinct().select("root", F.array(root).alias("nodes"), F.array(F.lit(0)).alias("parents"), F.array(F.lit(0)).alias("depths"), F.lit(1).alias("live"))
     for depth in range(1, max_depth + 1):
-        out = frontier.filter(F.col("have") < max_nodes).join(edges, frontier["node"] == edges["a"]).select("root", F.col("b").alias("node"), F.col("at").alias("parent"), "have")
-        if known is not None:
-            out = out.join(known.select("node"), "node", "left_semi").select("root", "node", "parent", "have")
-        seen = nodes.select("root", "node", F.lit(0).alias("parent"), F.lit(0).alias("have"))  # parent 0: no new node has it
-        fresh = out.unionByName(seen).groupBy("root", "node").agg(F.min("parent").alias("parent"), F.max("have").alias("have")).filter("parent > 0")
-        own = Window.partitionBy("root")
-        first = fresh.withColumn("nth", F.row_number().over(own.orderBy("parent", "node"))).filter(F.col("nth") <= max_nodes)
-        kept = first.filter(F.col("nth") + F.col("have") <= max_nodes).withColumn("new", F.count("*").over(own))
-        frontier = settle(kept.select("root", "node", F.lit(depth).alias("depth"), (F.col("have") + F.col("nth")).cast("int").alias("at"), "parent", (F.col("have") + F.col("new")).cast("int").alias("have")))
-        if not frontier.head(1):
-            break
-        nodes = nodes.unionByName(frontier)
-    return nodes.select("root", "node", "depth"), _links(nodes, edges, max_depth)
-
-
-def _links(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """Edges out of visited nodes. Only those to a node that was reached no later may close a cycle: their
-    sources climb from parent to parent to the target's depth, where target and source's ancestor are one or not."""
-    out = nodes.filter(F.col("depth") < max_depth).join(edges, nodes["node"] == edges["a"]).select("root", "a", "b", "depth", "at")
-    out = out.join(nodes.select("root", F.col("node").alias("b"), F.col("depth").alias("_depth"), F.col("at").alias("_at")), ["root", "b"], "left")
-    earlier = F.coalesce(F.col("_depth") <= F.col("depth"), F.lit(False))
-    up = out.filter(earlier).withColumn("level", F.col("depth"))
-    steps = nodes.filter("depth > 0").select("root", "at", F.col("parent").alias("_parent"))
-    for _ in range(max_depth - 1):  # sources lie above the last depth
-        up = up.join(steps, ["root", "at"], "left")
-        climbs = F.col("level") > F.col("_depth")
-        up = up.withColumn("at", F.when(climbs, F.col("_parent")).otherwise(F.col("at"))).withColumn("level", F.when(climbs, F.col("level") - 1).otherwise(F.col("level"))).drop("_parent")
-    links = out.filter(~earlier).withColumn("cycle", F.lit(False)).select("root", "a", "b", "depth", "cycle")
-    return links.unionByName(up.select("root", "a", "b", "depth", (F.col("at") == F.col("_at")).alias("cycle"))).withColumn("depth", F.col("depth") + 1)
+        came = _asked(rows, near, ["to"])
+        taken = F.aggregate(F.col("came"), F.struct(F.col("own.nodes").alias("nodes"), F.col("own.parents").alias("parents")), lambda acc, x: _joined(acc, x, max_nodes))
+        came = came.select("root", "own", taken.alias("_t"))
+        added = F.array_repeat(F.lit(depth), F.size("_t.nodes") - F.size("own.nodes"))
+        rows = came.select("root", "_t.nodes", "_t.parents", F.concat("own.depths", added).alias("depths"), (F.size("own.nodes") + 1).alias("live"))
+        if depth % AT_A_TIME == 0 and depth < max_depth:
+            rows = settle(rows)
+            if rows.filter(F.col("live") <= F.size("nodes")).isEmpty():
+                break
+    return rows
+
+
+def _asked(rows: DataFrame, near: DataFrame, said: list[str]) -> DataFrame:
+    """``(root, came, own)``: what ``near`` says of each node of the last depth, in their order, and the root's row, which went along with the first of them.
+
+    A root without such nodes goes to its own node's task and gets nothing.
+    """
+    state = [c for c in rows.columns if c != "root"]
+    last = F.slice("nodes", F.col("live"), F.greatest(F.size("nodes") - F.col("live") + 1, F.lit(0)))
+    out = rows.select("root", *state, F.posexplode_outer(last).alias("_i", "_node"))
+    out = out.select("root", (F.col("live") + F.col("_i")).alias("at"), F.coalesce("_node", F.col("nodes")[0]).alias("_node"), F.when(F.coalesce("_i", F.lit(0)) == 0, F.struct(*state)).alias("own"))
+    out = out.join(near, out["_node"] == near["a"], "left")
+    told = F.when(F.col("at").isNotNull() & F.col("a").isNotNull(), F.struct("at", *said))
+    return out.groupBy("root").agg(F.sort_array(F.collect_list(told)).alias("came"), F.first("own", ignorenulls=True).alias("own"))
+
+
+def _joined(acc: Column, x: Column, max_nodes: int) -> Column:
+    """The nodes so far and a node's neighbours that are new, with its position as their parent, up to the budget."""
+    new = F.slice(F.array_except(x["to"], acc["nodes"]), F.lit(1), F.lit(max_nodes) - F.size(acc["nodes"]))
+    return F.struct(F.concat(acc["nodes"], new).alias("nodes"), F.concat(acc["parents"], F.array_repeat(x["at"], F.size(new))).alias("parents"))
+
+
+def _paths(kind: T.DataType) -> Column:
+    """For each of ``nodes`` the path by which it was reached, from itself up to the root."""
+    longer = lambda acc, i: F.concat(F.array(F.col("nodes")[i - 1]), F.coalesce(F.get(acc, F.col("parents")[i - 1] - 1), F.array().cast(T.ArrayType(kind))))
+    return F.aggregate(F.sequence(F.lit(1), F.size("nodes")), F.array().cast(T.ArrayType(T.ArrayType(kind))), lambda acc, i: F.concat(acc, F.array(longer(acc, i))))
+
+
+def _links(walked: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """Edges out of visited nodes above the last depth; a target on the node's own path closes a cycle."""
+    rows = walked.select("root", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("depths").alias("depth"), _paths(edges.schema["a"].dataType).alias("path"))))
+    out = rows.filter(F.col("depth") < max_depth).join(edges, rows["node"] == edges["a"])
+    return out.select("root", "a", "b", (F.col("depth") + 1).alias("depth"), F.array_contains("path", F.col("b")).alias("cycle"))
 
 
 def traversal_flags(nodes: DataFrame, links: DataFrame, edges: DataFrame, max_depth: int, known: DataFrame | None = None, partial: DataFrame | None = None, direction: str = "prerequisite") -> DataFrame:

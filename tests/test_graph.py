@@ -141,3 +141,15 @@ def test_components_send_no_sets_of_nodes_through_the_driver(spark):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     asked = g.settle(edges)
     assert "Broadcast" not in asked.join(g._by_shuffle(g.settle(edges)), "a", "left_semi")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_need_one_join_and_walks_may_be_settled_in_between(spark, monkeypatch):
+    monkeypatch.setattr(g, "AT_A_TIME", 2)
+    rng = random.Random(8)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(70)]
+    for depth in (6, 5):
+        nodes, links = g.traverse(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(r,) for r in range(5)], "root long"), depth, 500)
+        assert links._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+        plain = {r: serial_walk(edges, r, depth, 500) for r in range(5)}
+        assert sorted(map(tuple, nodes.collect())) == sorted((r, n, d) for r, (ns, _) in plain.items() for n, d in ns.items())
+        assert sorted((x.root, x.a, x.b, x.depth, x.cycle) for x in links.collect()) == sorted((r, *x) for r, (_, ls) in plain.items() for x in ls)
