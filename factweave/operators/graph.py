@@ -50,14 +50,9 @@ AT_A_TIME = 7
 
 def _walk(near: DataFrame, roots: DataFrame, kind: T.DataType, max_depth: int, max_nodes: int) -> DataFrame:
     """``(root, nodes, parents, depths, live)``: a root's nodes as they are reached, their parents' positions (0: none) and depths, and where the last depth begins."""
-    root = F.col("root").cast(kind)
-    rows = roots.select("root").dropna().distinct().select("root", F.array(root).alias("nodes"), F.array(F.lit(0)).alias("parents"), F.array(F.lit(0)).alias("depths"), F.lit(1).alias("live"))
+    rows = _start(roots, kind)
     for depth in range(1, max_depth + 1):
-        came = _asked(rows, near, ["to"])
-        taken = F.aggregate(F.col("came"), F.struct(F.col("own.nodes").alias("nodes"), F.col("own.parents").alias("parents")), lambda acc, x: _joined(acc, x, max_nodes))
-        came = came.select("root", "own", taken.alias("_t"))
-        added = F.array_repeat(F.lit(depth), F.size("_t.nodes") - F.size("own.nodes"))
-        rows = came.select("root", "_t.nodes", "_t.parents", F.concat("own.depths", added).alias("depths"), (F.size("own.nodes") + 1).alias("live"))
+        rows = _taken(_asked(rows, near, ["to"]), max_nodes).select("root", *_longer(depth))
         if depth % AT_A_TIME == 0 and depth < max_depth:
             rows = settle(rows)
             if rows.filter(F.col("live") <= F.size("nodes")).isEmpty():
@@ -65,6 +60,11 @@ def _walk(near: DataFrame, roots: DataFrame, kind: T.DataType, max_depth: int, m
     return rows
 
 
+def _start(roots: DataFrame, kind: T.DataType) -> DataFrame:
+    root = F.array(F.col("root").cast(kind)).alias("nodes")
+    return roots.select("root").dropna().distinct().select("root", root, F.array(F.lit(0)).alias("parents"), F.array(F.lit(0)).alias("depths"), F.lit(1).alias("live"))
+
+
 def _asked(rows: DataFrame, near: DataFrame, said: list[str]) -> DataFrame:
     """``(root, came, own)``: what ``near`` says of each node of the last depth, in their order, and the root's row, which went along with the first of them.
 
@@ -79,6 +79,18 @@ def _asked(rows: DataFrame, near: DataFrame, said: list[str]) -> DataFrame:
     return out.groupBy("root").agg(F.sort_array(F.collect_list(told)).alias("came"), F.first("own", ignorenulls=True).alias("own"))
 
 
+def _taken(came: DataFrame, max_nodes: int) -> DataFrame:
+    """With ``_t``: the root's nodes and their parents after what came in."""
+    before = F.struct(F.col("own.nodes").alias("nodes"), F.col("own.parents").alias("parents"))
+    return came.withColumn("_t", F.aggregate("came", before, lambda acc, x: _joined(acc, x, max_nodes)))
+
+
+def _longer(depth: int) -> list[Column]:
+    """The root's row after a depth."""
+    depths = F.concat("own.depths", F.array_repeat(F.lit(depth), F.size("_t.nodes") - F.size("own.nodes")))
+    return [F.col("_t.nodes"), F.col("_t.parents"), depths.alias("depths"), (F.size("own.nodes") + 1).alias("live")]
+
+
 def _joined(acc: Column, x: Column, max_nodes: int) -> Column:
     """The nodes so far and a node's neighbours that are new, with its position as their parent, up to the budget."""
     new = F.slice(F.array_except(x["to"], acc["nodes"]), F.lit(1), F.lit(max_nodes) - F.size(acc["nodes"]))
@@ -122,6 +134,60 @@ def traversal_flags(nodes: DataFrame, links: DataFrame, edges: DataFrame, max_de
     return out.select("root", "nodes", "deepest", *[F.coalesce(c, F.lit(False)).alias(c) for c in out.columns if c not in ("root", "nodes", "deepest")])
 
 
+def walk_flags(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int, known: DataFrame | None = None, partial: DataFrame | None = None, direction: str = "prerequisite") -> DataFrame:
+    """``traversal_flags`` of a walk over all edges, found while walking: neither nodes nor links become rows.
+
+    What is said of a node (a target isn't known, its set is partial) comes along with its neighbours; one more
+    step asks the nodes at the last depth. Only hubs, with more neighbours than the budget, are held against all their edges, for cycles.
+    """
+    edges, near = _ways(edges, max_depth, max_nodes, direction, None)
+    kind = edges.schema["a"].dataType
+    if known is not None:
+        lost = edges.join(known.select(F.col("node").alias("b")), "b", "left_anti").select("a").distinct()
+        near = near.join(lost.withColumn("unresolved", F.lit(True)), "a", "left")
+    if partial is not None:
+        near = near.join(partial.select(F.col("node").alias("a")).distinct().withColumn("incomplete", F.lit(True)), "a", "full_outer")
+    notes = [c for c in ("unresolved", "incomplete") if c in near.columns]
+    near = settle(near.select("a", F.coalesce("to", F.array().cast(T.ArrayType(kind))).alias("to"), *(F.coalesce(c, F.lit(False)).alias(c) for c in notes)))
+    found = ["ambiguous", "cycle", "truncated_by_budget", *notes]
+    some = lambda c, said: (F.col(f"own.{c}") | F.exists("came", said)).alias(c)
+    rows = _start(roots, kind).select("*", *(F.lit(False).alias(c) for c in found))
+    for depth in range(1, max_depth + 1):
+        says = {
+            "ambiguous": lambda x: F.size(x["to"]) > 1,
+            "cycle": lambda x: F.arrays_overlap(x["to"], _way_up(x["at"], depth, kind)),  # noqa: B023
+            "truncated_by_budget": lambda x: F.size(F.array_except(x["to"], F.col("_t.nodes"))) > 0,
+            "unresolved": lambda x: x["unresolved"],
+            "incomplete": lambda x: x["incomplete"],
+        }
+        rows = _taken(_asked(rows, near, ["to", *notes]), max_nodes).select("root", *_longer(depth), *(some(c, says[c]) for c in found))
+        if depth % AT_A_TIME == 0 and depth < max_depth:
+            rows = settle(rows)
+            if rows.filter(F.col("live") <= F.size("nodes")).isEmpty():
+                break
+    wide = near.filter(F.size("to") > max_nodes).select(F.col("a").alias("node"))
+    hubs = not wide.isEmpty()
+    if hubs:
+        rows = settle(rows)
+        back = _links(rows, edges.join(wide.withColumnRenamed("node", "a"), "a", "left_semi"), max_depth).filter("cycle").select("root").distinct()
+    goes = F.col("live") <= F.size("nodes")
+    last = F.when(goes, F.slice("nodes", F.col("live"), F.greatest(F.size("nodes") - F.col("live") + 1, F.lit(0)))).otherwise(F.slice("nodes", 1, 1))
+    ends = rows.select("root", last.alias("nodes"), F.when(goes, 1).otherwise(2).alias("live"), F.size("nodes").cast("long").alias("_n"), F.array_max("depths").alias("deepest"), *found)
+    out = _asked(ends, near, ["to", *notes])
+    more = {"truncated_by_depth": F.exists("came", lambda x: F.size(x["to"]) > 0)} | {c: some(c, lambda x: x["incomplete"]) if c == "incomplete" else F.col(f"own.{c}") for c in found}
+    out = out.select("root", F.col("own._n").alias("nodes"), "own.deepest", *(c.alias(name) for name, c in more.items()))
+    if hubs:
+        out = out.join(back.withColumn("_back", F.lit(True)), "root", "left").withColumn("cycle", F.col("cycle") | F.coalesce("_back", F.lit(False))).drop("_back")
+    return out
+
+
+def _way_up(at: Column, length: int, kind: T.DataType) -> Column:
+    """The ``length`` nodes from the node at a position up to the root."""
+    nodes, parents = F.col("own.nodes"), F.col("own.parents")
+    up = lambda s, _: F.struct(F.get(parents, s["p"] - 1).alias("p"), F.concat(s["way"], F.array(F.get(nodes, s["p"] - 1))).alias("way"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(length)), F.struct(at.alias("p"), F.array().cast(T.ArrayType(kind)).alias("way")), up, lambda s: s["way"])
+
+
 def _by_shuffle(rows: DataFrame) -> DataFrame:
     """``rows`` to be joined by shuffle: a broadcast in every round would send all rounds' rows through the driver."""
     return rows.hint("merge")

@@ -51,9 +51,8 @@ def g01_follow_ups(spark: SparkSession, sf: str) -> DataFrame:
    false AS truncated_by_budget, coalesce(any_value(unresolved), false) AS unresolved, bool_or(node % 6 = 5) AS incomplete FROM nodes n LEFT JOIN amb USING (root) LEFT JOIN l USING (root) GROUP BY n.root""",
 )
 def g02(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, links, edges = _walk(spark, sf)
     orders = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"))
-    return g.traversal_flags(nodes, links, edges, DEPTH, known=orders.filter("node % 7 <> 2"), partial=orders.filter("node % 6 = 5"))
+    return g.walk_flags(b.edges(spark, sf), orders.withColumnRenamed("node", "root"), DEPTH, 500, known=orders.filter("node % 7 <> 2"), partial=orders.filter("node % 6 = 5"))
 
 
 BUDGET = 4

@@ -153,3 +153,14 @@ def test_links_need_one_join_and_walks_may_be_settled_in_between(spark, monkeypa
         plain = {r: serial_walk(edges, r, depth, 500) for r in range(5)}
         assert sorted(map(tuple, nodes.collect())) == sorted((r, n, d) for r, (ns, _) in plain.items() for n, d in ns.items())
         assert sorted((x.root, x.a, x.b, x.depth, x.cycle) for x in links.collect()) == sorted((r, *x) for r, (_, ls) in plain.items() for x in ls)
+
+
+@pytest.mark.parametrize(("seed", "budget", "direction"), [(9, 500, "prerequisite"), (10, 6, "prerequisite"), (11, 9, "follow_up")])
+def test_flags_found_while_walking_are_those_of_nodes_and_links(spark, seed, budget, direction):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(40)] + [(0, k) for k in range(30, 45)] + [(40, 0)]  # a hub with a cycle beyond the budget
+    edges, roots = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(r,) for r in range(0, 46, 3)], "root long")
+    known, partial = (spark.createDataFrame([(k,) for k in range(50) if k % m], "node long") for m in (7, 2))
+    got = g.walk_flags(edges, roots, 3, budget, known, partial, direction)
+    want = g.traversal_flags(*g.traverse(edges, roots, 3, budget, direction), edges, 3, known, partial, direction)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
